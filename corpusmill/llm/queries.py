@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries; each may have ORACLE, its queries' SQL.
-MODULES = ("simhash",)
+MODULES = ("simhash", "decontaminate", "toxicity", "quality")
 
 
 def queries() -> dict:
