@@ -71,6 +71,20 @@ def simhash_batch(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """One text's fingerprint from its shingle hashes."""
+    n = len(hashes)
+    if not n:
+        return 0
+    at = np.arange(0, n, 255)
+    out = 0
+    for k in range(8):
+        counts = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, at).view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+        for byte in np.flatnonzero(2 * counts > n).tolist():
+            out |= 1 << (8 * byte + k)
+    return out
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long)."""
 
@@ -91,31 +105,31 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(queries: np.ndarray, planes: np.ndarray, n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, fingerprint) of all pairs at distance up to radius, 3 at most.
+    """Indices (query, fingerprint) of all pairs at distance up to radius.
 
-    Two carry-save planes count up to three differing bits for 64 fingerprints at once, a third remembers the
-    overflow; queries whose whole block has overflowed leave the comparison."""
-    assert 0 <= radius <= 3
+    Carry-save planes count the differing bits of 64 fingerprints at once. The counters start so that they overflow
+    just past the radius; overflow is remembered, and queries whose whole block has overflowed leave the comparison."""
     alive = np.arange(len(queries))
     shape = (len(queries), planes.shape[1])
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
+    over = np.zeros(shape, np.uint64)
     if n % 64:
         over[:, -1] = _ALL << np.uint64(n % 64)
+    size = radius.bit_length()
+    start = (1 << size) - 1 - radius
+    counters = [np.full(shape, _ALL if start >> k & 1 else 0, np.uint64) for k in range(size)]
     for b in range(64):
-        flip = (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[:, None]
-        differs = planes[b] ^ flip
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
+        carry = planes[b] ^ (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[:, None]
+        for c in counters:
+            after = c & carry
+            c ^= carry
+            carry = after
+        over |= carry
         if b % 8 == 7:
             keep = (over != _ALL).any(axis=1)
             if not keep.all():
-                alive, queries, ones, twos, over = alive[keep], queries[keep], ones[keep], twos[keep], over[keep]
+                alive, queries, over, counters = alive[keep], queries[keep], over[keep], [c[keep] for c in counters]
                 if not len(alive):
                     break
-    if radius < 3:
-        over = over | {0: ones | twos, 1: twos, 2: ones & twos}[radius]
     q, w = np.nonzero(~over)
     if not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -124,28 +138,33 @@ def within(queries: np.ndarray, planes: np.ndarray, n: int, radius: int = RADIUS
     return alive[q[r]], w[r] * 64 + c
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node of its component under the links a, b."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (before == root).all():
+            break
+    return root
+
+
 def local_links(fps: np.ndarray) -> np.ndarray:
     """A spanning set of the links within fps: rows (smaller, larger) of each local component's star.
 
     Any two fingerprints of fps within the radius end in one component, whichever bucket each came from."""
     fps = np.unique(fps)
-    root = np.arange(len(fps))
     planes = bit_planes(fps)
     found = []
     for at in range(0, len(fps), 256):
         q, w = within(fps[at : at + 256], planes, len(fps))
         q = q + at
         found.append(np.stack([q[q < w], w[q < w]]))
-    a, b = np.concatenate(found, axis=1) if found else (root[:0], root[:0])
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (before == root).all():
-            break
+    root = spanning(len(fps), *np.concatenate(found, axis=1)) if found else np.arange(0)
     far = np.flatnonzero(root != np.arange(len(fps)))
     return np.stack([fps[root[far]], fps[far]], axis=1)
 
@@ -184,17 +203,20 @@ def _masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(block, 2))]
 
 
-def candidate_units(fps: DataFrame, tile: int = TILE) -> DataFrame:
-    """(unit, fp): fingerprints that share two blocks share a unit; a bucket over `tile` becomes a unit per pair of tiles.
-
-    fps: distinct fingerprints. Buckets of one never leave the counting join."""
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks())])
-    rows = fps.select("fp", F.explode(masks).alias("m")).select("fp", "m.t", "m.key")
+def units_of(rows: DataFrame, node: str, tile: int = TILE) -> DataFrame:
+    """rows (node, t, key) -> (unit, node): nodes that share a key of a table share a unit; a bucket of over `tile`
+    nodes becomes a unit for each pair of tiles. Buckets of one never leave the counting join."""
     sizes = write_cut(rows.groupBy("t", "key").count().where("count > 1"), "buckets")
     tiles = F.ceil(F.col("count") / tile).cast("int")
-    met = rows.join(sizes, ["t", "key"]).select("fp", "t", "key", tiles.alias("tiles")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    pairs = met.select("fp", "t", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    return pairs.select(F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "fp")
+    met = rows.join(sizes, ["t", "key"]).select(node, "t", "key", tiles.alias("tiles")).withColumn("mine", F.pmod(F.xxhash64(node), F.col("tiles")).cast("int"))
+    pairs = met.select(node, "t", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), node)
+
+
+def candidate_units(fps: DataFrame, tile: int = TILE) -> DataFrame:
+    """(unit, fp) of distinct fingerprints that share two blocks."""
+    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks())])
+    return units_of(fps.select("fp", F.explode(masks).alias("m")).select("fp", "m.t", "m.key"), "fp", tile)
 
 
 def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
@@ -225,12 +247,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, tile: int = TILE) -> DataFr
 def op10_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5, tile: int = TILE) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the smallest id stays, once.
-
-    Rows with a null id have no name to be chosen by and all stay."""
-    kept = near_duplicates(docs, width, tile).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
