@@ -5,20 +5,20 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-#: Modules of plans; each has QUERIES (name -> f(spark, sf_dir)) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ()
+#: Modules with QUERIES (name -> f(spark, sf_dir)) and ORACLE (name -> SQL).
+MODULES = ("plans.ingest", "plans.queue", "plans.knowledge", "streaming.events")
 FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable]:
     found = {}
     for name in MODULES:
-        found |= importlib.import_module(f"corpusmill.plans.{name}").QUERIES
+        found |= importlib.import_module(f"corpusmill.{name}").QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name in MODULES:
-        found |= importlib.import_module(f"corpusmill.plans.{name}").ORACLE
+        found |= importlib.import_module(f"corpusmill.{name}").ORACLE
     return found
