@@ -23,7 +23,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep: F.Column, rows:
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     # at most `rows` pairs of an id and a label: the bound makes the broadcast safe at any size of the corpus
     both = texts.join(F.broadcast(drawn.select(F.col("doc_id").cast("long"), "y")), "doc_id")
-    return write_cut(both.dropDuplicates(["text"]), "labelled")
+    return write_cut(both.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).select("doc_id", "y", "text"), "labelled")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

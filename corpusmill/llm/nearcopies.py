@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import texts_of, tune, write_cut
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.simhash import CHUNK, TILE, bit_planes, fingerprint_of, shingle_hashes, spanning, units_of, within
+from corpusmill.llm.simhash import CHUNK, bit_planes, fingerprint_of, shingle_hashes, spanning, units_of, within
 
 WIDTH, SIMILARITY = 5, 0.8
 #: One standard error at 0.8: pairs that are estimated this little below count as well.
@@ -29,6 +29,8 @@ MARGIN = 0.018
 #: Bands of three minima: a pair at 0.8 shares one with probability 0.997, and one at 0.9 with 0.9999.
 BANDS, BAND_ROWS = 8, 3
 BINS = 512
+#: Shingle sets of a tile: a bucket of more is dealt to several tasks.
+TILE = 512
 #: A pair at 0.8 differs in about ten bits, an unrelated one in 32.
 WIDE = 24
 

@@ -128,12 +128,22 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if len(index) >= 4096:
                         yield _index_batch(index)
                         index = []
-        fs.move(draft, posixpath.join(root, name))
+        _settle(fs, draft, posixpath.join(root, name), offset)
         yield _index_batch(index)
 
     return write_cut(ordered.mapInArrow(run, _INDEX_SQL), "warc-index")
 
 
+def _settle(fs: FileSystem, draft: str, final: str, size: int) -> None:
+    """Rename a whole archive. Where another attempt of the task has done so already, its equal file stays."""
+    try:
+        fs.move(draft, final)
+    except OSError:
+        if fs.get_file_info(final).size != size:
+            raise
+        fs.delete_file(draft)
+
+
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(_INDEX)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX.values(), strict=True)], list(_INDEX))
