@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a secret, in the order of redaction.
 SECRET_PATTERNS = (
@@ -35,7 +36,7 @@ def fold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_unicode(texts: pd.Series) -> pd.Series:
     """Compatibility form, stripped, fully folded; no built-in function does this."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().casefold())

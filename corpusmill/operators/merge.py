@@ -44,7 +44,7 @@ def versions(facts: DataFrame, key: str, at: str, identity: str) -> DataFrame:
 def finalise(entries: DataFrame, run: Column, started: Column) -> DataFrame:
     """A finished run marks absent what it has not seen, but not what a newer run has seen since."""
     gone = F.col("present") & ~F.col("last_seen_by").eqNullSafe(run) & (F.col("last_seen_at") <= started)
-    return entries.withColumn("present", F.col("present") & ~gone).withColumn("removed", gone)
+    return entries.withColumn("removed", gone).withColumn("present", F.col("present") & ~F.col("removed"))
 
 
 def reconcile(expected: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -163,7 +163,7 @@ def replica_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 def replica_summary(spark: SparkSession, d: str) -> DataFrame:
     s = replica_reconcile(spark, d)
-    return s.groupBy("store").agg(F.count("*").alias("checked"), *[F.count_if(F.col("state") == x).alias(x) for x in ("healthy", "missing", "corrupt", "orphan")], F.count_if("repairable").alias("repaired"))
+    return s.groupBy("store").agg(F.count("*").alias("checked"), *[F.count_if(F.col("state") == x).alias(x) for x in ("healthy", "missing", "corrupt", "orphan")], F.count_if(F.col("repairable")).alias("repaired"))
 
 
 def historical_path_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -110,7 +110,7 @@ def field_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    l = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if("l_returnflag = 'R'").alias("analyzed"), F.count_if("l_linestatus = 'F' AND l_returnflag = 'A'").alias("excluded"))
+    l = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("analyzed"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("excluded"))
     rest = F.col("total") - F.col("excluded")
     return l.withColumn("coverage", F.when(rest == 0, 1.0).otherwise(F.round(R.clamp(F.col("analyzed") / rest), 6)))
 
@@ -214,9 +214,9 @@ v AS (SELECT chunk_id, row_number() OVER (ORDER BY dist, chunk_id) AS rank FROM
 m AS (SELECT chunk_id, min({{'c': c, 'r': rank}}) AS seq FROM (SELECT *, 1 AS c FROM p UNION ALL SELECT *, 2 FROM t UNION ALL SELECT *, 3 FROM v) GROUP BY 1),
 r AS (SELECT chunk_id, doc_id, path, text, seq, {_hits("text", _T)} AS hits FROM m JOIN k USING (chunk_id)),
 w AS (SELECT *, row_number() OVER (ORDER BY hits DESC, seq) AS rank FROM r QUALIFY rank <= 20),
-s AS (SELECT chunk_id, 2 + 1 / rank AS part, 'exact_path' AS reason, 1 AS at, rank FROM p UNION ALL SELECT chunk_id, 1 / (60 + rank), 'vector', 2, rank FROM v UNION ALL SELECT chunk_id, 1 / (60 + rank), 'keyword', 3, rank FROM w
+s AS (SELECT chunk_id, 2 + 1 / rank AS part, 'exact_path' AS reason, 1 AS ch, rank FROM p UNION ALL SELECT chunk_id, 1 / (60 + rank), 'vector', 2, rank FROM v UNION ALL SELECT chunk_id, 1 / (60 + rank), 'keyword', 3, rank FROM w
   UNION ALL SELECT chunk_id, 1.0, 'exact_text', 4, rank FROM w WHERE contains({_FOLD.format("text")}, '{QUERY.casefold()}')),
-g AS (SELECT chunk_id, round(sum(part), 9) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, min({{'a': at, 'r': rank}}) AS f FROM s GROUP BY 1),
+g AS (SELECT chunk_id, round(sum(part), 9) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, min({{'a': ch, 'r': rank}}) AS f FROM s GROUP BY 1),
 o AS (SELECT g.*, doc_id, path, text, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f, chunk_id) > 2 AS over FROM g JOIN r USING (chunk_id)),
 res AS (SELECT *, row_number() OVER (ORDER BY over, score DESC, f, chunk_id) AS position FROM o QUALIFY position <= 10)"""
 _FACTS = """c AS (SELECT l_partkey % 97 AS field, l_returnflag || '-' || l_linestatus AS value, CAST(l_linenumber + l_suppkey % 5 AS BIGINT) AS priority, l_discount AS confidence, l_orderkey, l_linenumber FROM lineitem),
@@ -242,8 +242,8 @@ ORACLE = {
     "coverage": "WITH c AS (SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS analyzed, count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'A') AS excluded FROM lineitem GROUP BY 1) SELECT *, CASE WHEN total = excluded THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, analyzed / (total - excluded))), 6) END AS coverage FROM c",
     "scope_resolution": """WITH c AS (SELECT c_custkey, lower('site ' || CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE n_name END || ' code ' || CASE WHEN c_custkey % 3 = 0 THEN '999' ELSE CAST(c_custkey % 25 AS VARCHAR) END) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey),
       p AS (SELECT c_custkey, n_nationkey AS root, 100 * CAST(list_contains(regexp_split_to_array(s, '[^0-9a-z]+'), CAST(n_nationkey AS VARCHAR)) AS INT) + 10 * CAST(contains(s, lower(n_name)) AS INT) AS score FROM c, nation),
-      m AS (SELECT * FROM p WHERE score > 0 QUALIFY score = max(score) OVER (PARTITION BY c_custkey)), g AS (SELECT c_custkey, count(*) AS n, min(root) AS r, max(score) AS s FROM m GROUP BY 1)
-      SELECT c_custkey, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN r END AS root, CASE WHEN n = 1 THEN CASE WHEN s >= 100 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END END AS confidence FROM c LEFT JOIN g USING (c_custkey)""",
+      m AS (SELECT * FROM p WHERE score > 0 QUALIFY score = max(score) OVER (PARTITION BY c_custkey)), g AS (SELECT c_custkey, count(*) AS n, min(root) AS r, max(score) AS top FROM m GROUP BY 1)
+      SELECT c_custkey, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN r END AS root, CASE WHEN n = 1 THEN CASE WHEN top >= 100 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END END AS confidence FROM c LEFT JOIN g USING (c_custkey)""",
     "code_symbols_fallback": """SELECT p_partkey AS doc_id, 'class' AS kind, 'P' || p_partkey AS name, 2 AS start_line, 2 AS end_line, 'public class P' || p_partkey || ' {' AS signature FROM part
       UNION ALL SELECT p_partkey, 'function', 'run' || p_size, 3, 6, 'int run' || p_size || '(int a) {' FROM part UNION ALL SELECT p_partkey, 'function', 'f' || p_partkey, 7, 9, 'def f' || p_partkey || '(x):' FROM part""",
     "line_islands": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N'), r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM l) SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM r GROUP BY l_orderkey, g",

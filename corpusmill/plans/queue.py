@@ -87,7 +87,7 @@ def issue_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def command_policy(spark: SparkSession, d: str) -> DataFrame:
-    command = F.element_at(F.array(*map(F.lit, ("git status", "rm -rf /tmp", "git reset --hard", "pytest -q", "curl x", " npm run build", "format c:", "svn info"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    command = F.element_at(F.array(*map(F.lit, ("git status", "rm -fr /tmp", "git reset --hard", "pytest -q", "curl x", " npm run build", "format c:", "svn info"))), (F.col("p_partkey") % 8 + 1).cast("int"))
     p = read(spark, d, "part").select(command.alias("command"), F.when(F.col("p_size") % 9 == 0, "file_change").otherwise("command").alias("kind"))
     return p.groupBy("command", "kind", R.command_policy(F.col("command"), F.col("kind")).alias("decision")).agg(F.count("*").alias("n"))
 
@@ -168,8 +168,8 @@ ORACLE = {
       SELECT 'total' AS measure, 'all' AS value, count(*) AS n FROM i UNION ALL SELECT 'status', coalesce(status, 'unclassified'), count(*) FROM i GROUP BY 2 UNION ALL SELECT 'severity', coalesce(severity, 'unclassified'), count(*) FROM i GROUP BY 2 UNION ALL SELECT 'boundary', coalesce(boundary, 'undetermined'), count(*) FROM i GROUP BY 2""",
     "issue_fold_by_fingerprint": "SELECT sha256('p|runtime||user {id} failed on shard ' || user_id % 7) AS fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, last(user_id ORDER BY ts, event_id) AS last_user FROM events WHERE event_type = 'error' GROUP BY 1",
     "issue_boundary": f"WITH {_BOUND} SELECT boundary, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n, CAST(sum(CASE lower(split_part(o_orderpriority, '-', -1)) WHEN 'critical' THEN 300 WHEN 'high' THEN 200 WHEN 'medium' THEN 100 WHEN 'low' THEN 50 ELSE 100 END) AS BIGINT) AS priority FROM b GROUP BY 1, 2",
-    "command_policy": """WITH p AS (SELECT list_extract(['git status', 'rm -rf /tmp', 'git reset --hard', 'pytest -q', 'curl x', ' npm run build', 'format c:', 'svn info'], CAST(p_partkey % 8 + 1 AS INT)) AS command, CASE WHEN p_size % 9 = 0 THEN 'file_change' ELSE 'command' END AS kind FROM part)
-      SELECT command, kind, CASE WHEN kind = 'file_change' THEN 'allow' WHEN command IN ('rm -rf /tmp', 'git reset --hard', 'format c:') THEN 'deny' WHEN command = 'curl x' THEN 'approval_required' ELSE 'allow' END AS decision, count(*) AS n FROM p GROUP BY 1, 2, 3""",
+    "command_policy": """WITH p AS (SELECT list_extract(['git status', 'rm -fr /tmp', 'git reset --hard', 'pytest -q', 'curl x', ' npm run build', 'format c:', 'svn info'], CAST(p_partkey % 8 + 1 AS INT)) AS command, CASE WHEN p_size % 9 = 0 THEN 'file_change' ELSE 'command' END AS kind FROM part)
+      SELECT command, kind, CASE WHEN kind = 'file_change' THEN 'allow' WHEN command IN ('rm -fr /tmp', 'git reset --hard', 'format c:') THEN 'deny' WHEN command = 'curl x' THEN 'approval_required' ELSE 'allow' END AS decision, count(*) AS n FROM p GROUP BY 1, 2, 3""",
     "audit_task_summary": "SELECT user_id, count(*) AS events, last(event_type ORDER BY ts, event_id) AS last_type, max(event_id) AS last_event FROM events GROUP BY 1",
     "audit_event_join": "SELECT event_id, user_id, event_type FROM events JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING' AND event_id > 100 ORDER BY event_id LIMIT 500",
     "idempotent_admission": """WITH r AS (SELECT conv_id % 50 AS key, conv_id, turn, md5(role || '|' || substr(text, 1, 3)) AS h FROM conversations)

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.paths import is_excluded
 
@@ -27,7 +28,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(~is_excluded(F.col("path"))).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha256"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_probability(content: pd.Series) -> pd.Series:
     """Share of printable characters and line breaks in the first bytes: 0 with a NUL, 1 with a byte order mark or if empty."""
 
