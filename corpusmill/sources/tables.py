@@ -13,8 +13,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; one of our own where none is set."""
+#: What this driver has written to the shared folder; release() removes it.
+_WRITTEN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -22,16 +26,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _WRITTEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table, so that later steps neither repeat nor depend on the work before it."""
+    """df as a written table, read again: a lost executor then costs a read, not the work before it."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables and archives written to the shared folder so far. Results that read them must be stored before."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 EXTENSIONS = (".txt", ".doc", ".exe", ".zip", ".py", ".lnk", ".sql", ".png", ".pem", ".gz", ".md", ".xyz")
 
 

@@ -171,3 +171,36 @@ def test_files(spark, tmp_path):
     assert got["a.txt"].text == "héllo" and got["b.txt"].text == "日本語" and got["b.txt"].extractor == "cp932"
     assert "inside" in got["d.zip"].text and "climbs" not in got["d.zip"].text and "[left out] ../b.txt" in got["d.zip"].text
     assert "Subject: s" in got["e.eml"].text and "body" in got["e.eml"].text and got["g.docx"].error
+
+
+def test_values(spark):
+    import json
+    from fnmatch import translate
+
+    from corpusmill.functions import values as V
+
+    names = ["a/b.txt", "a.txt", "[x]", "a\nb", "ab.TXT", "x-1", "x!1"]
+    for pattern in ("*", "a*.txt", "?.txt", "[ax]*", "[!a]*", "*.t?t", "x[-!]1", "a.txt"):
+        regex = V.glob_regex(pattern)
+        assert one(spark, names, lambda c, regex=regex: c.rlike(regex)) == [bool(re.match(translate(pattern), n)) for n in names]
+    assert one(spark, ["x {bad {\"a\": [1, 2]} y", "none", "{}", None], V.first_json_object) == ['{"a":[1,2]}', None, "{}", None]
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["string", "null"]}, "b": {"type": "array", "minItems": 1, "items": {"type": "integer"}}, "c": {"type": "string", "enum": ["x"]}}, "additionalProperties": False}
+    cases = [({"a": "x"}, True), ({"a": None}, True), ({}, False), ({"a": 1}, False), ({"a": "", "b": []}, False), ({"a": "", "b": [1]}, True), ({"a": "", "b": [True]}, False), ({"a": "", "z": 1}, False), ({"a": "", "c": "y"}, False), ([], False)]
+    assert one(spark, [json.dumps(v) for v, _ in cases] + ["no json"], V.json_fits(schema)) == [ok for _, ok in cases] + [False]
+    assert V.resource_uri("git", "git@github.com:o/r.git", None, None, "abc", "a b.md") == "https://github.com/o/r/blob/abc/a%20b.md"
+    assert V.resource_uri("git", "https://other.example/r", "v1", "s", None, "x") == "https://other.example/r#revision=v1&path=s/x"
+    assert V.resource_uri("local_directory", "/srv/", None, None, None, "./a/é") == "file:///srv/a/%C3%A9"
+    assert one(spark, ["2025-01-02T03:04:05Z", " 2025-01-02 ", "x", "", None], lambda c: F.date_format(V.parse_time(c), "yyyy-MM-dd HH:mm")) == ["2025-01-02 03:04", "2025-01-02 00:00", None, None, None]
+    assert one(spark, [["a ", "b", ""], ["b", "c"]], lambda c: V.merge_lists(c, F.array(F.lit("a"))), "array<string>") == [["a", "b"], ["b", "c", "a"]]
+
+
+def test_release(spark):
+    import os
+
+    from corpusmill.sources import tables as T
+
+    df = T.written(spark.range(3).toDF("n"), "some")
+    path = T._WRITTEN[-1]
+    assert df.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    T.release(spark)
+    assert not os.path.exists(path.removeprefix("file:")) and not T._WRITTEN
