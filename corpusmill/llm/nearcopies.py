@@ -30,7 +30,7 @@ MARGIN = 0.018
 BANDS, BAND_ROWS = 8, 3
 BINS = 512
 #: Shingle sets of a tile: a bucket of more is dealt to several tasks.
-TILE = 512
+TILE = 256
 #: A pair at 0.8 differs in about ten bits, an unrelated one in 32.
 WIDE = 24
 
