@@ -32,7 +32,7 @@ TRAIN_ROWS = 10_000
 MAX_TOKENS = 50_000
 #: Weight of the prior as a share of the labelled counts; least z-score and documents of a kept token.
 PRIOR = 0.05
-LEAST_Z = 3.0
+LEAST_Z = 2.3
 LEAST_CONTEXTS = 4
 #: Least log-odds of a kept token: it is so much likelier in toxic text (twenty times).
 LEAST_ODDS = 3.0
