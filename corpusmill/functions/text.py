@@ -54,7 +54,7 @@ def normalise_lines(c: Column) -> Column:
 
 
 def token_estimate(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.expr("1") * F.floor(F.char_length(c) / 4)).cast("long")
+    return F.greatest(F.lit(1), F.floor(F.char_length(c) / 4)).cast("long")
 
 
 def redact(c: Column, patterns: tuple[str, ...] = SECRET_PATTERNS, mark: str = REDACTED) -> Column:
@@ -143,6 +143,22 @@ def first_line(c: Column, limit: int = 300) -> Column:
     return F.substring(py_strip(F.element_at(F.filter(F.split(c, "\n"), lambda x: py_strip(x) != ""), 1)), 1, limit)
 
 
+def symbol_score(name: Column, qualified: Column, path: Column, query: str, terms: list[str]) -> Column:
+    """How well a symbol fits a query: 10 for the same name, else points for names and path inside it, and terms."""
+    q, n, u, p = F.lit(query.casefold()), fold(name), fold(qualified), fold(path)
+    inside = lambda c, points: F.when((c != "") & F.contains(q, c), float(points)).otherwise(0.0)
+    hits = F.lit(0.0)
+    for t in terms:
+        hits = hits + (n.contains(t) | u.contains(t)).cast("double")
+    return F.when((n == q) | (u == q), 10.0).otherwise(inside(n, 6) + inside(u, 7) + inside(p, 5) + hits)
+
+
+def shortcut_text(path: Column, status: Column, target: Column, kind: Column) -> Column:
+    """What a shortcut says; lines without a value are left out."""
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), F.nullif(value, F.lit("")))
+    return F.concat_ws("\n", line("relative_path", path), F.lit("entry_type: windows_shortcut"), line("shortcut_target_status", status), line("shortcut_target_path", target), line("shortcut_target_kind", kind))
+
+
 def contains_cjk(c: Column) -> Column:
     return c.rlike(r"[㐀-䶿一-鿿]")
 

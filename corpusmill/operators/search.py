@@ -11,14 +11,15 @@ from corpusmill.functions import text as X
 from corpusmill.functions import vectors as V
 from corpusmill.functions.paths import is_historical
 from corpusmill.operators.windows import diversified
+from corpusmill.sources.tables import written
 
 CANDIDATES, RANKED = 40, 20
 
 
 def channel(chunks: DataFrame, keep: Column, order: list[Column], limit: int, number: int) -> DataFrame:
     """The first rows of one channel, with their rank. Old copies are left out after the limit, as rows of the limit."""
-    top = chunks.where(keep).orderBy(*order).limit(limit).where(~is_historical(F.col("path")))
-    return top.select("chunk_id", F.lit(number).alias("channel"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    top = chunks.where(keep).withColumn("_by", F.struct(*order)).orderBy("_by").limit(limit).where(~is_historical(F.col("path")))
+    return top.select("chunk_id", "doc_id", "path", "text", F.lit(number).alias("channel"), F.row_number().over(Window.orderBy("_by")).alias("rank"))
 
 
 def any_term(c: Column, terms: list[str]) -> Column:
@@ -28,31 +29,26 @@ def any_term(c: Column, terms: list[str]) -> Column:
 def search(chunks: DataFrame, query: str, vector: list[float] | None, limit: int = 10) -> DataFrame:
     """chunks (chunk_id, doc_id, path, text, vector) -> the best chunks for query, with score and reasons.
 
-    Each channel is a top-k over all chunks; what follows works on at most a hundred rows."""
+    Each channel is one top-k over all chunks. What they leave, at most a hundred rows, is written once; all that
+    follows reads only that."""
     terms = X.query_terms(query)
-    by_id = [F.col("chunk_id").asc()]
-    path = channel(chunks, any_term(F.col("path"), terms), by_id, CANDIDATES, 1)
-    text = channel(chunks, any_term(F.col("text"), terms), by_id, CANDIDATES, 2)
-    channels = [path, text]
+    by_id = F.col("chunk_id")
+    channels = [channel(chunks, any_term(F.col("path"), terms), [by_id], CANDIDATES, 1), channel(chunks, any_term(F.col("text"), terms), [by_id], CANDIDATES, 2)]
     if vector is not None:
-        distance = (1 - V.cosine(F.col("vector"), F.array(*map(F.lit, vector)))).asc()
-        channels.append(channel(chunks.where("vector IS NOT NULL"), F.lit(True), [distance, *by_id], RANKED, 3))
-    met = reduce(DataFrame.unionByName, channels)
-    # at most CANDIDATES rows of each channel: small enough to go to every task
-    candidates = met.groupBy("chunk_id").agg(F.min(F.struct("channel", "rank")).alias("seq"))
-    rows = chunks.join(F.broadcast(candidates), "chunk_id").select("chunk_id", "doc_id", "path", "text", "seq", X.term_hits(F.col("text"), terms).alias("hits"))
-    keyword = rows.orderBy(F.desc("hits"), "seq").limit(RANKED).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "seq")))
+        distance = 1 - V.cosine(F.col("vector"), F.array(*map(F.lit, vector)))
+        channels.append(channel(chunks.where("vector IS NOT NULL"), F.lit(True), [distance.alias("distance"), by_id], RANKED, 3))
+    met = written(reduce(DataFrame.unionByName, channels).coalesce(1), "candidates")
+    rows = met.groupBy("chunk_id", "doc_id", "path", "text").agg(F.min(F.struct("channel", "rank")).alias("seq")).withColumn("hits", X.term_hits(F.col("text"), terms))
+    keyword = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "seq"))).where(F.col("rank") <= RANKED)
     exact = X.fold(F.col("text")).contains(query.casefold())
+    score = lambda df, part, reason, at: df.select("chunk_id", part.alias("part"), F.lit(reason).alias("reason"), F.lit(at).alias("at"), "rank")
     parts = [
-        path.select("chunk_id", (2 + 1 / F.col("rank")).alias("part"), F.lit("exact_path").alias("reason"), F.lit(1).alias("at"), "rank"),
-        keyword.select("chunk_id", (1 / (60 + F.col("rank"))).alias("part"), F.lit("keyword").alias("reason"), F.lit(3).alias("at"), "rank"),
-        keyword.where(exact).select("chunk_id", F.lit(1.0).alias("part"), F.lit("exact_text").alias("reason"), F.lit(4).alias("at"), "rank"),
-    ]
-    if vector is not None:
-        parts.append(channels[2].select("chunk_id", (1 / (60 + F.col("rank"))).alias("part"), F.lit("vector").alias("reason"), F.lit(2).alias("at"), "rank"))
+        score(met.where("channel = 1"), 2 + 1 / F.col("rank"), "exact_path", 1), score(met.where("channel = 3"), 1 / (60 + F.col("rank")), "vector", 2),
+        score(keyword, 1 / (60 + F.col("rank")), "keyword", 3), score(keyword.where(exact), F.lit(1.0), "exact_text", 4),
+    ]
     scores = reduce(DataFrame.unionByName, parts).groupBy("chunk_id").agg(F.round(F.sum("part"), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.min(F.struct("at", "rank")).alias("first"))
     ranked = scores.join(rows.select("chunk_id", "doc_id", "path", "text"), "chunk_id")
-    return diversified(ranked, "doc_id", [F.desc("score"), F.col("first").asc(), *by_id]).where(F.col("position") <= limit).drop("first")
+    return diversified(ranked, "doc_id", [F.desc("score"), F.col("first").asc(), by_id.asc()]).where(F.col("position") <= limit).drop("first")
 
 
 def context(results: DataFrame, budget: int, preamble: int) -> DataFrame:

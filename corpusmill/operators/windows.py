@@ -35,23 +35,23 @@ def islands(df: DataFrame, key: str, line: str) -> DataFrame:
     return df.select(key, line, run.alias("_r")).groupBy(key, "_r").agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("_r")
 
 
-def chunks(docs: DataFrame, size: int = 3200, overlap: int = 480) -> DataFrame:
-    """doc_id, ordinal, text: overlapping windows of characters, stripped; empty ones are left out before numbering."""
+def chunks(docs: DataFrame, size: int = 3200, overlap: int = 480, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns of `keep`, ordinal, chunk: overlapping windows of characters, stripped; empty ones are left out before numbering."""
     n, step = F.char_length("text"), size - overlap
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
     cut = F.filter(F.transform(starts, lambda s: py_strip(F.substring(F.col("text"), s + 1, F.lit(size)))), lambda c: c != "")
-    return docs.select("doc_id", F.posexplode(cut).alias("ordinal", "chunk"))
+    return docs.select("doc_id", *keep, F.posexplode(cut).alias("ordinal", "chunk"))
 
 
 def diversified(ranked: DataFrame, document: str, order: list[Column], most: int = 2) -> DataFrame:
-    """Adds position: at most `most` rows of a document come first, the rest follow in their order."""
+    """ranked is a result list, short enough for one task. Adds position: at most `most` rows of a document come first, the rest follow in their order."""
     nth = F.row_number().over(Window.partitionBy(document).orderBy(*order))
     with_n = ranked.withColumn("_over", (nth > most).cast("int"))
     return with_n.withColumn("position", F.row_number().over(Window.orderBy("_over", *order)).cast("long")).drop("_over")
 
 
 def within_budget(ranked: DataFrame, position: str, size: Column, budget: int, preamble: int = 0) -> DataFrame:
-    """Rows in order until the first that would exceed the budget."""
+    """ranked is a result list, short enough for one task. Rows in order until the first that would exceed the budget."""
     used = F.sum(size).over(Window.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return ranked.withColumn("used", used + preamble).where(F.col("used") <= budget)
 

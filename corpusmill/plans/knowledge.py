@@ -74,8 +74,8 @@ def vector_dimensions(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    path = docs.select("doc_id", F.concat_ws("/", "source", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("lang")), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"))
-    c = W.chunks(docs).join(path, "doc_id").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
+    path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("lang")), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
+    c = W.chunks(docs.select("doc_id", "text", path.alias("path")), keep=("path",)).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
     v = read(spark, d, "embeddings").select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("embedding").alias("vector"))
     return c.join(v, "chunk_id", "left").select("chunk_id", "doc_id", "path", F.col("chunk").alias("text"), "vector")
 

@@ -255,10 +255,32 @@ def plain_urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", X.plain_url(url).alias("url"))
 
 
+def symbol_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as symbols, by how well their first word fits a query."""
+    first = F.element_at(F.split("p_name", " "), 1)
+    s = read(spark, d, "part").select("p_partkey", X.symbol_score(first, F.concat_ws(".", "p_brand", first), F.lit("lib/part"), "Blue lib/part red", ["blue", "re", "brand"]).alias("score"))
+    return s.where("score > 0")
+
+
+def python_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of small modules by their syntax tree; what does not parse gives none."""
+    from corpusmill.sources.formats import symbols_of_python
+
+    key = F.col("p_partkey").cast("string")
+    module = F.concat(F.lit("class C"), key, F.lit(":\n    def run(self):\n        return go.fast(len("), key, F.lit("))\n"), F.when(F.col("p_size") % 10 == 0, "oops (\n").otherwise(""))
+    s = symbols_of_python(read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), module.alias("text")))
+    return s.select("doc_id", "kind", "qualified_name", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
+
+
+def shortcut_texts(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part")
+    return p.select("p_partkey", X.shortcut_text(F.concat(F.lit("a/"), "p_partkey", F.lit(".lnk")), F.lit("resolved"), F.when(F.col("p_size") > 20, "D:/x"), F.when(F.col("p_size") > 30, "file")).alias("text"))
+
+
 QUERIES = {f.__name__: f for f in (
     audit_tasks, entry_page, entry_keyset_page, issue_event_page, due_sources, reusable_files, extraction_manifest, extraction_progress, field_routing, code_summary, revisions, version_leads, nested_ranges, source_priorities,
     identity_codes, evidence_locations, parsed_times, json_fields, embedded_json, resource_links, sealed_round_trip, embedding_cache, stand_in_vectors, term_sets, retrieval_health, repair_set, batch_flush, memory_promotion,
-    archive_paths, harness_score, error_lines, plain_urls,
+    archive_paths, harness_score, error_lines, plain_urls, symbol_scores, python_symbols, shortcut_texts,
 )}
 
 from corpusmill.plans.ingest import _ENTRIES, _ROUTED, _in  # noqa: E402
@@ -300,5 +322,10 @@ ORACLE = {
     "archive_paths": "SELECT doc_id, source || '#history/' || doc_id AS path, 'archive' AS scope FROM documents WHERE doc_id % 10 IN (1, 2)",
     "harness_score": "SELECT l_orderkey, round(100.0::DOUBLE * (count(*) FILTER (WHERE l_returnflag = 'R') + count(*) FILTER (WHERE l_linestatus = 'O')) / greatest(1, count(*)), 2) AS score FROM lineitem GROUP BY 1",
     "error_lines": "SELECT doc_id, md5(substr(trim(list_filter(string_split(substr(text, 1, 400), chr(10)), lambda x: trim(x) <> '')[1]), 1, 300)) AS digest, regexp_matches(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]') AS cjk FROM documents",
+    "symbol_scores": """WITH p AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS n, lower(p_brand) || '.' || lower(split_part(p_name, ' ', 1)) AS u FROM part),
+      s AS (SELECT p_partkey, CAST(5 + 6 * CAST(contains('blue lib/part red', n) AS INT) + CAST(contains(u, 'blue') AS INT) + CAST(contains(u, 're') AS INT) + CAST(contains(u, 'brand') AS INT) AS DOUBLE) AS score FROM p) SELECT * FROM s""",
+    "python_symbols": """SELECT p_partkey AS doc_id, 'class' AS kind, 'C' || p_partkey AS qualified_name, 1 AS start_line, 3 AS end_line, 'go.fast,len' AS calls FROM part WHERE p_size % 10 <> 0
+      UNION ALL SELECT p_partkey, 'method', 'C' || p_partkey || '.run', 2, 3, 'go.fast,len' FROM part WHERE p_size % 10 <> 0""",
+    "shortcut_texts": "SELECT p_partkey, 'relative_path: a/' || p_partkey || '.lnk' || chr(10) || 'entry_type: windows_shortcut' || chr(10) || 'shortcut_target_status: resolved' || CASE WHEN p_size > 20 THEN chr(10) || 'shortcut_target_path: D:/x' ELSE '' END || CASE WHEN p_size > 30 THEN chr(10) || 'shortcut_target_kind: file' ELSE '' END AS text FROM part",
     "plain_urls": "SELECT page_id, url FROM pages",
 }

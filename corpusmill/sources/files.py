@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.paths import is_excluded
+from corpusmill.sources.formats import rtf_text, workbook_text
 
 # First bytes of formats, in the order of the probe.
 MAGIC = (("25504446", "pdf"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("1F8B", "gzip"), ("7B5C727466", "rtf"))
@@ -72,7 +73,7 @@ def decode_text(data: bytes) -> tuple[str | None, str | None]:
 
 def _office(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        parts = sorted(n for n in z.namelist() if n.endswith(".xml") and n.startswith(("word/document", "ppt/slides/slide", "xl/sharedStrings", "xl/worksheets/", "content")))
+        parts = sorted(n for n in z.namelist() if n.endswith(".xml") and n.startswith(("word/document", "ppt/slides/slide", "content")))
         return "\n".join(" ".join(ElementTree.fromstring(z.read(n)).itertext()) for n in parts)
 
 
@@ -103,8 +104,12 @@ def _archive(data: bytes) -> str:
 def _extract(path: str, data: bytes) -> tuple[str | None, str | None, str | None]:
     ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     try:
-        if ext in (".docx", ".pptx", ".xlsx", ".xlsm", ".odt"):
+        if ext in (".xlsx", ".xlsm"):
+            return workbook_text(data, path.rsplit("/", 1)[-1]), "workbook", None
+        if ext in (".docx", ".pptx", ".odt"):
             return _office(data), "office", None
+        if ext == ".rtf":
+            return rtf_text(data), "rtf", None
         if ext == ".eml":
             return _mail(data), "mail", None
         if ext == ".zip":

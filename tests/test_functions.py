@@ -204,3 +204,26 @@ def test_release(spark):
     assert df.count() == 3 and os.path.isdir(path.removeprefix("file:"))
     T.release(spark)
     assert not os.path.exists(path.removeprefix("file:")) and not T._WRITTEN
+
+
+def test_formats():
+    import io
+    import zipfile
+
+    from corpusmill.sources import formats as G
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        f.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        f.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Name</t></si></sst>")
+        f.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c><c r="C1"/></row></sheetData></worksheet>')
+    text = G.workbook_text(z.getvalue(), "b.xlsx")
+    assert text.split("\n") == ["[workbook] name=b.xlsx", "[sheet] index=1 name=Data state=visible", "A1\tvalue=Name", "B1\tformula==1+1\tcached_value=2"]
+    with pytest.raises(G.LimitExceeded):
+        G.workbook_text(z.getvalue(), cells=1)
+    assert G.rtf_text(rb"{\rtf1{\fonttbl{\f0 Arial;}}\b Hello\b0  w\'f6rld\par next \u26085?}") == "Hello wörld\nnext 日"
+    assert G.printable_runs("ab\0hello\x01 wo \x02    \x03tab\tok") == ["hello", "wo", "tab\tok"]
+    got = G.python_symbols("class A:\n    def f(self):\n        return g(1)\n\ndef g(x):\n    return x\n")
+    assert [(k, q, a, b, c) for k, _, q, a, b, _, c in got] == [("class", "A", 1, 3, ["g"]), ("method", "A.f", 2, 3, ["g"]), ("function", "g", 5, 6, [])]
