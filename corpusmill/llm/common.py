@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import read, shared_path
+from corpusmill.sources.tables import importable, read, shared_path
 from corpusmill.sources.tables import written as write_cut
 
 __all__ = ["read", "shared_path", "texts_of", "tune", "write_cut"]
@@ -16,7 +16,8 @@ BATCH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold, so that long texts cannot fill a Python worker."""
+    """Bound what one Arrow batch may hold, so that long texts cannot fill a Python worker; let workers find this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
