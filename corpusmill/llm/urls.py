@@ -35,6 +35,7 @@ class Rule:
     tokens: tuple[str, ...]
     kind: str  # host or pattern
     length: int  # of a host rule; the longest wins
+    whole: str = ""  # of a pattern rule that is split: the expression that its parts make up together
 
 
 def tokens_of(text: str) -> list[str]:
@@ -52,6 +53,11 @@ def pattern_rule(verdict: str, name: str, regex: str, *tokens: str) -> Rule:
     return Rule(name, verdict, regex, tokens, "pattern", 0)
 
 
+def split_rule(verdict: str, name: str, whole: str, parts: dict[str, tuple[str, ...]]) -> tuple[Rule, ...]:
+    """An expression whose matches have no literal token in common: a rule of its name for each of parts (regex -> tokens)."""
+    return tuple(Rule(name, verdict, regex, tokens, "pattern", 0, whole) for regex, tokens in parts.items())
+
+
 HOST_RULES = (
     host_rule("allow", "org/"),
     host_rule("block", "example.org/es/"),
@@ -61,8 +67,8 @@ HOST_RULES = (
 )
 #: Matched against host and path in lower case. Every one needs its tokens as whole tokens of the URL.
 PATTERN_RULES = (
-    pattern_rule("block", "ad tracker", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", "ads", "track"),
-    pattern_rule("block", "ad server", r"^(ads|adserver|banners)\.", "ads"),
+    *split_rule("block", "ad tracker", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", {rf"(^|[./-]){a}-{t}([./-]|$)": (a, t) for a in ("ad", "ads") for t in ("track", "tracker", "tracking")}),
+    *split_rule("block", "ad server", r"^(ads|adserver|banners)\.", {rf"^{t}\.": (t,) for t in ("ads", "adserver", "banners")}),
     pattern_rule("block", "login page", r"/login(/|\.|$)", "login"),
     pattern_rule("block", "cart", r"/cart(/|$)", "cart"),
     pattern_rule("block", "archive file", r"\.zip$", "zip"),
@@ -120,7 +126,8 @@ def _oracle() -> str:
     """Every rule against every URL, without an index."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     hosts = ", ".join(f"({quote(r.name.partition('/')[0])}, {quote('/' + r.name.partition('/')[2])}, {quote(r.name)}, {quote(r.verdict)}, {r.length})" for r in HOST_RULES)
-    found = {v: ", ".join(f"CASE WHEN regexp_matches(lower(host || path), {quote(r.regex)}) THEN {quote(r.name)} END" for r in PATTERN_RULES if r.verdict == v) for v in ("block", "allow")}
+    patterns = dict.fromkeys((r.verdict, r.name, r.whole or r.regex) for r in PATTERN_RULES)
+    found = {v: ", ".join(f"CASE WHEN regexp_matches(lower(host || path), {quote(regex)}) THEN {quote(name)} END" for verdict, name, regex in patterns if verdict == v) for v in ("block", "allow")}
     return f"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM pages

@@ -54,3 +54,24 @@ def test_query_matches_sql(spark):
     want = db.execute(U.ORACLE["op7_url_rules"]).fetchall()
     got = U.op7_url_rules(spark, SF).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_split_rules_lose_no_match(spark):
+    """URLs that share no token with each other match one rule; verdicts of a URL do not depend on the other rows."""
+    urls = [f"http://x.net/{a}-{t}{end}" for a in ("ad", "ads", "adz") for t in ("track", "tracker", "tracking", "trackers") for end in ("", "/", ".js", "x")]
+    urls += [f"http://{h}.example.net{p}" for h in ("ads", "adserver", "banners", "banner", "x.ads") for p in ("", "/", "/ad-tracker")]
+    whole = {"ad tracker": r"(^|[./-])ads?-track(er|ing)?([./-]|$)", "ad server": r"^(ads|adserver|banners)\."}
+    want = {}
+    for u in urls:
+        rest = u.removeprefix("http://")
+        names = sorted(n for n, regex in whole.items() if re.search(regex, rest))
+        assert names == sorted({r.name for r in U.PATTERN_RULES if re.search(r.regex, rest)})
+        for r in U.PATTERN_RULES:
+            assert not re.search(r.regex, rest) or set(r.tokens) <= set(U.tokens_of(rest))
+        want[u] = ("block" if names else "allow", (names or [None])[0])
+    got = {urls[r.page_id]: (r.verdict, r.pattern) for r in U.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == want
+    assert want["http://x.net/ad-tracker/"] == ("block", "ad tracker") and want["http://banners.example.net/"] == ("block", "ad server")
+    for u in ("http://x.net/ad-track/", "http://adserver.example.net/"):
+        alone = U.judged(spark.createDataFrame([(1, u)], "page_id long, url string")).first()
+        assert (alone.verdict, alone.pattern) == want[u]
