@@ -1,9 +1,13 @@
 """Packing by lexical retrieval.
 
 Documents become token ids, which are written once. Shards of bounded size hold an inverted BM25 index over their
-documents' token ids; document frequencies, document count and mean length come from the whole corpus. A seed
-document opens a window; its best unused neighbours by BM25 fill it greedily; the last one is cut at the window's end,
-and what is left of it seeds the next window. Only a shard's last window can have room left.
+documents' token ids; document frequencies, document count and mean length come from the whole corpus. Documents are
+dealt to shards by content: by a token that is drawn by its IDF, the same one for documents that share most of their
+weight, so that related documents meet whatever the number of shards. A seed document opens a window; its best unused
+neighbours by BM25 over all its terms fill it greedily; the last one is cut at the window's end, and what is left of it
+seeds the next window. Only a shard's last window can have room left.
+
+A seed's neighbours in other shards are not found: README gives the measured share that is.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null doc_id stays null;
 an empty table gives no rows. Columns other than id and text are not read.
@@ -29,7 +33,10 @@ WINDOW = 2048
 END_ID = 1
 #: Tokens of a shard: bounds what a task holds.
 SHARD_TOKENS = 1 << 22
-QUERY_TERMS = 12
+#: A shard is made of cells of at most this part of it, where documents can be told apart by content.
+CELLS = 4
+#: Terms of a seed that are queried; None: all.
+QUERY_TERMS = None
 K1, B = 1.2, 0.75
 #: Runs of blanks over this length go through the slower encoder.
 LONG_RUN = " " * 512
@@ -126,12 +133,16 @@ class Bm25Shard:
         self.posting_doc, self.posting_weight = self.doc[order], weight[order]
         self.of_term = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(idf)))])
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of used documents, which are never returned."""
+        left = ~used[self.posting_doc]
+        self.of_term = np.concatenate([[0], np.cumsum(left)])[self.of_term]
+        self.posting_doc, self.posting_weight = self.posting_doc[left], self.posting_weight[left]
+
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents that share the seed's highest-idf terms, best first; ties by position."""
+        """Unused documents that share a term with the seed, best first; ties by position."""
         terms = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
-        terms = terms[self.of_term[terms + 1] - self.of_term[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
+        terms = terms[self.of_term[terms + 1] > self.of_term[terms]]
         if not len(terms):
             return
         slices = [slice(a, b) for a, b in zip(self.of_term[terms], self.of_term[terms + 1], strict=True)]
@@ -153,7 +164,11 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
     used = np.zeros(len(ids), bool)
     sequence = offset = 0
     seed, following = None, 0
+    placed, forgotten = 0, 0
     while True:
+        if placed - forgotten > (len(ids) - forgotten) // 4:
+            index.forget(used)
+            forgotten = placed
         picks = index.neighbours(seed, used) if seed is not None else iter(())
         pick = next(picks, None)
         if pick is None:  # no neighbour: the next unused document is a seed of its own
@@ -164,6 +179,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
             pick, picks = following, iter(())
         while pick is not None:
             used[pick] = True
+            placed += 1
             start, opened = 0, sequence
             while start < len(ids[pick]):
                 length = min(len(ids[pick]) - start, window - offset)
@@ -175,12 +191,80 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
             pick = next(picks, None) if sequence == opened else None
 
 
+def races(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """(2, ids): numbers of which a document's least one is at the same id for two documents with a probability that
+    is their shared part of the squared IDF. Ids of one document only come last."""
+    drawn = np.random.default_rng(1).exponential(size=(2, len(idf))) / np.maximum(idf, 1e-9) ** 2
+    drawn[:, df < 2] += 1e30
+    return drawn
+
+
+def keyed(texts: DataFrame, race, kind: type) -> DataFrame:
+    """texts (doc_id, n, ids, h) with a and b, the ids that win each race."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = race.value
+        for batch in batches:
+            ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
+            a, b = (pa.array([int(x[r[x].argmin()]) for x in ids], pa.int64()) for r in (first, second))
+            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], [*batch.schema.names, "a", "b"])
+
+    return texts.mapInArrow(run, "doc_id long, n long, ids binary, h long, a long, b long")
+
+
+def dealt(keys: DataFrame, size: int, tokens: int, shards: int) -> tuple[np.ndarray, ...]:
+    """Arrays (parts, first, pieces, start, shard): a document with keys a, b and hash h is in shard
+    shard[start[c] + h % pieces[c]], where its cell c is first[a] + b % parts[a].
+
+    A key of too many tokens is split by the second key, and what that leaves too large (copies) by a hash. Cells in
+    order fill shards of equal size, so no shard exceeds its share by more than a cell. Sizes are bounded by the
+    vocabulary and the number of shards."""
+    most = max(1, tokens // (shards * CELLS))
+    mass = np.zeros(size, np.int64)
+    for a, n in keys.groupBy("a").agg(F.sum("n").alias("n")).collect():
+        mass[a] = n
+    parts = np.where(mass > most, 16 * -(-mass // most), 1)
+    first = np.cumsum(parts) - parts
+    cells = np.zeros(parts.sum(), np.int64)
+    cells[first] = mass
+    heavy = np.flatnonzero(parts > 1)
+    cells[first[heavy]] = 0
+    if len(heavy):
+        split = keys.sparkSession.createDataFrame([(int(a), int(parts[a]), int(first[a])) for a in heavy], "a long, parts long, first long")
+        cell = (F.col("first") + F.col("b") % F.col("parts")).alias("cell")
+        for c, n in keys.join(F.broadcast(split), "a").groupBy(cell).agg(F.sum("n").alias("n")).collect():
+            cells[c] = n
+    pieces = np.maximum(1, -(-cells // most))
+    start = np.cumsum(pieces) - pieces
+    each = np.repeat(cells / pieces, pieces)
+    middle = np.cumsum(each) - each / 2
+    shard = np.minimum(shards - 1, middle * shards / max(1, tokens)).astype(np.int64)
+    return parts, first, pieces, start, shard
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def sharded(texts: DataFrame, idf: np.ndarray, df: np.ndarray, kind: type, tokens: int, shards: int) -> DataFrame:
+    """texts (doc_id, n, ids) -> (doc_id, ids, shard). The keys alone are written, and made again where ids are dealt."""
+    context = texts.sparkSession.sparkContext
+    race = context.broadcast(races(idf, df))
+    rows = keyed(texts.select("doc_id", "n", "ids", F.xxhash64("doc_id", F.crc32("ids")).alias("h")), race, kind)
+    found = context.broadcast(dealt(write_cut(rows.select("n", "a", "b"), "shard-keys"), len(idf), tokens, shards))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, first, pieces, start, shard = found.value
+        for batch in batches:
+            h, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "a", "b"))
+            cell = first[a] + b % parts[a]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(shard[start[cell] + h % pieces[cell]])], ["doc_id", "ids", "shard"])
+
+    return rows.mapInArrow(run, "doc_id long, ids binary, shard long")
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The pieces of all documents. Shards are dealt by a hash of id and content, so copies of one text may meet but
-    no key gathers in one shard, and a lost task reads the written ids again."""
+    """The pieces of all documents. Shards are dealt by content, with large groups split; a lost task reads the written
+    ids again."""
     spark = docs.sparkSession
     tune(spark)
     enc = encoder(path)
@@ -191,6 +275,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     idf = spark.sparkContext.broadcast(np.log1p((total.docs - df + 0.5) / (df + 0.5)))
     mean_length, kind = max(1.0, total.tokens / max(1, total.docs)), enc.kind
     shards = max(1, ceil(total.tokens / shard_tokens))
+    placed = sharded(texts, idf.value, df, kind, total.tokens, shards)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
@@ -200,8 +285,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
         out["doc_id"] = part["doc_id"].astype("Int64").to_numpy()[out["doc_id"].to_numpy(dtype=np.int64)]
         return out
 
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards))
-    return texts.select("doc_id", "ids", shard.alias("shard")).groupBy("shard").applyInPandas(run, _PIECES)
+    return placed.groupBy("shard").applyInPandas(run, _PIECES)
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

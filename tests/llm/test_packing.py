@@ -84,3 +84,33 @@ def test_neighbours_share_a_window():
     for d, _, _, q, _ in K.pack_shard(docs, idf, 16.0, 128):
         windows.setdefault(q, []).append(d % 2)
     assert sum(len(set(w)) > 1 for w in windows.values()) <= 1
+
+
+def test_related_documents_meet_at_every_size(spark):
+    """Near copies share a shard far more often than by chance, with few or many shards; a seed's terms all count; shards stay even."""
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nprstvz"]
+    texts = []
+    for _ in range(300):
+        base = list(rng.choice(words, 120))
+        for _ in range(2):
+            copy = list(base)
+            for i in rng.integers(0, 120, 4):
+                copy[i] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    texts += ["one text of many copies"] * 2000
+    enc = K.encoder(K.default_vocabulary())
+    ids = [enc.ids(t) for t in texts]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=enc.size)
+    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+    frame = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(ids)], "doc_id long, n long, ids binary")
+    total = sum(map(len, ids))
+    for shards in (8, 40):
+        of = {r.doc_id: r.shard for r in K.sharded(frame, idf, df, enc.kind, total, shards).collect()}
+        assert len(of) == len(ids) and max(of.values()) < shards
+        sizes = np.bincount([of[i] for i in range(len(ids))], [len(x) for x in ids], shards)
+        assert sizes.max() <= total / shards * (1 + 1 / K.CELLS) + max(map(len, ids)) * 4
+        assert np.mean([of[i] == of[i + 1] for i in range(0, 600, 2)]) > 0.3
+    docs = [np.array([*range(40)], np.uint16), np.array([39, 40], np.uint16), np.array([38, 39, 41], np.uint16)]
+    index = K.Bm25Shard(docs, np.linspace(9, 1, 60), 10.0)
+    assert sorted(index.neighbours(0, np.array([True, False, False]))) == [1, 2]
