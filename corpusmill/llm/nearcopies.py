@@ -38,7 +38,7 @@ _FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * BAND_ROW
 
 
 def signature(hashes: list[int]) -> tuple[int, int, bytes, list[int]]:
-    """(set key, SimHash, smallest hash in each bin, band keys) of one text's shingle hashes."""
+    """(set key, SimHash, smallest hash in each bin, band keys) of one text's set of shingle hashes; repeats do not count."""
     h = np.unique(np.array(hashes, np.uint64))
     if not len(h):
         return 0, 0, bytes(BINS), [0] * BANDS
@@ -49,7 +49,7 @@ def signature(hashes: list[int]) -> tuple[int, int, bytes, list[int]]:
     low = np.where(bins < 1 << 32, bins % 255 + 1, 0).astype(np.uint8)
     least = np.array([(h * f).min() for f in _FACTORS], np.uint64).reshape(BANDS, BAND_ROWS)
     mixed = (least[:, 0] * np.uint64(3) ^ (least[:, 1] >> np.uint64(7)) * np.uint64(5) ^ (least[:, 2] << np.uint64(9))) * np.uint64(0x9E3779B97F4A7C15)
-    return key, fingerprint_of(np.array(hashes, np.uint64)), low.tobytes(), mixed.view(np.int64).tolist()
+    return key, fingerprint_of(h), low.tobytes(), mixed.view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:

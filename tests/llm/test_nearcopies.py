@@ -67,3 +67,18 @@ def test_keeps_one_of_each_group(spark):
 
 def test_empty(spark):
     assert N.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    """Two texts with the same 1000 shingles and each its own line, repeated thousands of times, are near copies."""
+    rng = np.random.default_rng(8)
+    common = " ".join(rng.choice([f"w{i}" for i in range(4000)], 1004))
+    texts = [f"{common} {' '.join([line] * 3000)}" for line in ("alpha beta gamma", "delta epsilon zeta")]
+    assert jaccard(*texts) > 0.97
+    prints = [N.signature(shingle_hashes(t, 5))[1] for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() < 10
+    # one SimHash for each set of shingles, however often each occurs
+    a, b = shingle_hashes(texts[0], 5), sorted(set(shingle_hashes(texts[0], 5)))
+    assert N.signature(a) == N.signature(b)
+    out = N.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.doc_id for r in out.collect()] == [0]
