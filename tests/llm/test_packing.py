@@ -111,6 +111,6 @@ def test_related_documents_meet_at_every_size(spark):
         sizes = np.bincount([of[i] for i in range(len(ids))], [len(x) for x in ids], shards)
         assert sizes.max() <= total / shards * (1 + 1 / K.CELLS) + max(map(len, ids)) * 4
         assert np.mean([of[i] == of[i + 1] for i in range(0, 600, 2)]) > 0.3
-    docs = [np.array([*range(40)], np.uint16), np.array([39, 40], np.uint16), np.array([38, 39, 41], np.uint16)]
+    docs = [np.arange(40, dtype=np.uint16), np.arange(20, dtype=np.uint16), np.array([39, 41], np.uint16)]  # the last shares the 21st term alone
     index = K.Bm25Shard(docs, np.linspace(9, 1, 60), 10.0)
     assert sorted(index.neighbours(0, np.array([True, False, False]))) == [1, 2]
