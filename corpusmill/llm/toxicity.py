@@ -1,10 +1,15 @@
 """Toxic passages by maximum-scoring segments.
 
 Tokens get log-odds of toxic against other labelled documents under an informative Dirichlet prior (the labelled
-tokens' own frequencies); only tokens whose log-odds stand out keep them, every other token costs DRIFT. A token is
+tokens' own frequencies); only tokens whose log-odds stand out keep them, every other token costs a drift. A token is
 counted once with each token before it, so that copies, shared passages and repetitions teach nothing twice; a word
-that is not known itself counts as its stem, its first letters. A linear scan finds all maximal scoring segments of a text. Their scores are judged against the extreme-value law of the best
-segment in clean text of the same length; the evidence of all significant segments is summed and mapped to 0 to 1.
+that is not known itself counts as its stem, its first letters. A linear scan finds all maximal scoring segments of a
+text. Their scores are judged against the extreme-value law of the best segment in clean text of the same length; the
+evidence of all significant segments is summed and mapped to 0 to 1.
+
+What counts as standing out, the prior's weight and the drift are a Setting; the best of GRID is chosen by
+cross-validation within the labelled rows that may be learned from: each document is scored with the log-odds of the
+other folds, which also fit the extreme-value law and the map to 0 to 1. No other row takes part in any choice.
 
 Defined results: null and empty texts have no segment and get the score of no evidence; repeated rows each get a
 row; without labels of both kinds there is nothing to learn, no segment is found, and every score is the share of
@@ -17,6 +22,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,22 +34,27 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import read, texts_of, tune, write_cut
 from corpusmill.llm.labelled import fold, logistic_fit, sample, sigmoid
 
-#: At most so many labelled documents are learned from, and so many tokens kept: both bound what a task holds.
+#: At most so many labelled documents are learned from, half of them of each kind: bounds what a task holds.
 TRAIN_ROWS = 10_000
-MAX_TOKENS = 50_000
-#: Weight of the prior as a share of the labelled counts; least z-score and documents of a kept token.
-PRIOR = 0.05
-LEAST_Z = 2.3
-LEAST_CONTEXTS = 4
-#: Least log-odds of a kept token: it is so much likelier in toxic text (twenty times).
-LEAST_ODDS = 3.0
+#: Parts of the labelled sample: each is scored by what the others teach.
+FOLDS = 4
 #: Letters of a stem; longer words have one.
 STEM = 5
-DRIFT = -0.25
-#: Share of the labelled sample that calibrates instead of teaching tokens: one in so many.
-CALIBRATE = 4
 THRESHOLD = 0.7
 
+
+class Setting(NamedTuple):
+    """Which tokens keep their log-odds, and what the others cost."""
+
+    prior: float  # the prior's weight as a share of the labelled counts
+    contexts: int  # least contexts in toxic documents
+    z: float  # least z-score
+    odds: float  # least log-odds
+    drift: float  # of every other token, below 0
+
+
+GRID = tuple(Setting(*x) for x in product((0.05, 0.3), (3, 5), (1.6, 2.3, 3.2), (2.0, 3.0), (-0.25, -0.5)))
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,33 +62,43 @@ def tokens_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def maximal_segments(scores: list[tuple[int, float]], n: int, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """(first, last, score) of every maximal scoring segment of n tokens, in one pass over the tokens that score.
+def maximal_segments(scores: list[tuple[int, float]], n: int, drift: float) -> list[tuple[int, int, float]]:
+    """(first, last, score) of every maximal scoring segment of n tokens, in linear time in the tokens that score.
 
     scores: (position, score > 0) in order; all other tokens score `drift`, below 0. A segment is maximal if no
-    longer or shorter one around it scores higher. Each entry keeps the running total before and after it; a new one
-    is joined with the nearest earlier entry that starts lower, as long as it ends higher."""
-    open_: list[list[float]] = []  # first, last, total before, total after
+    longer or shorter one around it scores higher. Each entry keeps the running total before and after it, and a link
+    to the nearest earlier entry that starts lower; a new one is joined with that entry, as long as it ends higher.
+    A link that is followed is never followed again: the new entry's own link passes over it."""
+    firsts: list[int] = []
+    lasts: list[int] = []
+    befores: list[float] = []
+    afters: list[float] = []
+    links: list[int] = []
     total, at = 0.0, 0
     for position, score in scores:
         before = total + drift * (position - at)
         total, at = before + score, position + 1
-        new = [position, position, before, total]
+        first, k = position, len(firsts) - 1
         while True:
-            k = len(open_) - 1
-            while k >= 0 and open_[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or open_[k][3] >= new[3]:
-                open_.append(new)
+            while k >= 0 and befores[k] >= before:
+                k = links[k]
+            if k < 0 or afters[k] >= total:
                 break
-            new = [open_[k][0], new[1], open_[k][2], new[3]]
-            del open_[k:]
-    return [(int(a), int(b), after - before) for a, b, before, after in open_]
+            first, before, link = firsts[k], befores[k], links[k]
+            del firsts[k:], lasts[k:], befores[k:], afters[k:], links[k:]
+            k = link
+        firsts.append(first)
+        lasts.append(position)
+        befores.append(before)
+        afters.append(total)
+        links.append(k)
+    return [(a, z, after - before) for a, z, before, after in zip(firsts, lasts, befores, afters, strict=True)]
 
 
 @dataclass
 class Model:
     log_odds: dict[str, float] = field(default_factory=dict)
+    drift: float = GRID[0].drift
     rate: float = 1.0  # the extreme-value law's decay, usually lambda
     size: float = 1.0  # its K
     weights: tuple[float, float] = (0.0, -30.0)
@@ -90,7 +112,7 @@ class Model:
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         n, found = self.hits(text)
-        return n, maximal_segments(found, n) if found else []
+        return n, maximal_segments(found, n, self.drift) if found else []
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
         """Sum over segments of how far each exceeds chance: -log of its expected number in n clean tokens."""
@@ -102,45 +124,77 @@ class Model:
         return sigmoid(self.weights[0] * np.log1p(e) + self.weights[1])
 
 
-def token_log_odds(counts: DataFrame) -> DataFrame:
-    """counts (token, y1, y0: contexts of each kind) -> token, log_odds, z of tokens that point to toxic."""
-    sums = counts.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))
-    n1, n0 = (float(v or 0) for v in sums.first())
-    alpha, weight = F.lit(PRIOR) * (F.col("y1") + F.col("y0")), PRIOR * (n1 + n0)
-    odds = lambda y, n: F.log((y + alpha) / (F.lit(n + weight) - y - alpha))
-    spread = F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
-    scored = counts.where(F.col("y1") >= LEAST_CONTEXTS).withColumn("log_odds", odds(F.col("y1"), n1) - odds(F.col("y0"), n0))
-    return scored.select("token", "log_odds", (F.col("log_odds") / spread).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("log_odds") >= LEAST_ODDS))
+def log_odds(y1: np.ndarray, y0: np.ndarray, n1: np.ndarray, n0: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, z) of toxic against other contexts of tokens that y1 of n1 and y0 of n0 contexts hold."""
+    alpha, weight = (y1 + y0) * prior + 1e-9, (n1 + n0) * prior + 1e-6
+    odds = np.log((y1 + alpha) / (n1 + weight - y1 - alpha)) - np.log((y0 + alpha) / (n0 + weight - y0 - alpha))
+    return odds, odds / np.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha))
 
 
 def token_contexts(drawn: DataFrame) -> DataFrame:
-    """drawn (text, y) -> token, y1, y0: in how many contexts it occurs in documents of each kind. A stem ends with *."""
+    """drawn (text, y, part) -> token, y1, y0: arrays of the contexts that documents of each kind hold, without each
+    part in turn and, last, without none. A stem ends with *."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds: dict[tuple[str, str], int] = {}
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for text, y, part in zip(*(b.column(c).to_pylist() for c in ("text", "y", "part")), strict=True):
                 tokens = tokens_of(text)
                 for pair in set(zip(tokens, ["", *tokens], strict=False)):
-                    kinds[pair] = kinds.get(pair, 0) | 1 << y
+                    kinds[pair] = kinds.get(pair, 0) | 1 << 2 * part + y
             columns = [[t for t, _ in kinds], [c for _, c in kinds]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(kinds.values(), pa.int32())], ["token", "before", "kinds"])
 
+    def counts(y: int) -> F.Column:
+        masks = [sum(1 << 2 * part + y for part in range(FOLDS) if part != out) for out in range(FOLDS + 1)]
+        return F.array(*[F.count_if(F.col("kinds").bitwiseAND(m) != 0) for m in masks])
+
     pairs = drawn.mapInArrow(run, "token string, before string, kinds int").groupBy("token", "before").agg(F.bit_or("kinds").alias("kinds"))
     names = F.when(F.length("token") > STEM, F.array("token", F.concat(F.substring("token", 1, STEM), F.lit("*")))).otherwise(F.array("token"))
-    count = lambda bit: F.sum(F.col("kinds").bitwiseAND(bit) / bit).cast("long")
-    return pairs.select(F.explode(names).alias("token"), "kinds").groupBy("token").agg(count(2).alias("y1"), count(1).alias("y0"))
+    return pairs.select(F.explode(names).alias("token"), "kinds").groupBy("token").agg(counts(1).alias("y1"), counts(0).alias("y0"))
 
 
-def decay(scores: np.ndarray, frequencies: np.ndarray, drift: float = DRIFT) -> float:
-    """The positive root of the mean of exp(rate * score) = 1 over clean tokens."""
-    rest = 1 - frequencies.sum()
+@dataclass
+class Counts:
+    """Contexts of the tokens that any setting may keep, and of all tokens; the last axis is the part left out."""
+
+    at: dict[str, int]
+    y1: np.ndarray
+    y0: np.ndarray
+    n1: np.ndarray
+    n0: np.ndarray
+
+    def kept(self, s: Setting) -> np.ndarray:
+        """Log-odds of each token and part left out; nan where the setting does not keep the token."""
+        odds, z = log_odds(self.y1, self.y0, self.n1, self.n0, s.prior)
+        return np.where((self.y1 >= s.contexts) & (z >= s.z) & (odds >= s.odds), odds, np.nan)
+
+
+def counted(contexts: DataFrame) -> Counts:
+    """Only tokens that are likelier in toxic text come to the driver; the bounded sample of texts bounds them. Those
+    that no setting keeps go there."""
+    size = lambda c: [F.sum(F.col(c)[e]).alias(f"{c}{e}") for e in range(FOLDS + 1)]
+    sums = contexts.agg(*size("y1"), *size("y0")).first()
+    n1, n0 = (np.array([float(sums[f"{c}{e}"] or 0) for e in range(FOLDS + 1)]) for c in ("y1", "y0"))
+    all1, all0 = F.col("y1")[FOLDS], F.col("y0")[FOLDS]
+    rows = contexts.where((all1 >= min(s.contexts for s in GRID)) & (all1 * float(n0[FOLDS]) > all0 * float(n1[FOLDS]))).orderBy("token").collect()
+    table = lambda c: np.array([r[c] for r in rows], float).reshape(-1, FOLDS + 1)
+    found = Counts({}, table("y1"), table("y0"), n1, n0)
+    some = np.zeros(len(rows), bool)
+    for s in GRID:
+        some |= (~np.isnan(found.kept(s))).any(axis=1)
+    tokens = [rows[i].token for i in np.flatnonzero(some)]
+    return Counts({t: i for i, t in enumerate(tokens)}, found.y1[some], found.y0[some], n1, n0)
+
+
+def decay(score: float, frequency: float, drift: float) -> float:
+    """The positive root of the mean of exp(rate * x) = 1 over clean tokens, of which `frequency` score `score` and the rest drift."""
 
     def mean(rate: float) -> float:
-        return float(rest * math.exp(rate * drift) + (frequencies * np.exp(np.minimum(rate * scores, 500))).sum() - 1)
+        return (1 - frequency) * math.exp(rate * drift) + frequency * math.exp(min(rate * score, 500)) - 1
 
     low, high = 1e-3, 1.0
-    if not len(scores) or mean(low) >= 0:
+    if mean(low) >= 0:
         return low
     while mean(high) < 0 and high < 64:
         high *= 2
@@ -150,42 +204,77 @@ def decay(scores: np.ndarray, frequencies: np.ndarray, drift: float = DRIFT) ->
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: F.Column, rows: int = TRAIN_ROWS) -> Model:
-    """Learn from at most `rows` labelled documents that `keep` admits; only token counts and scores reach the driver."""
-    drawn = sample(docs, labels, "toxic", keep, rows)
-    teach = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) != 0
-    kinds = {r.y: r["count"] for r in drawn.groupBy("y").count().collect()}
-    share = kinds.get(1, 0) / max(1, sum(kinds.values()))
-    model = Model(weights=(0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    if len(kinds) < 2:
-        return model
-    counts = write_cut(token_contexts(drawn.where(teach).select("text", "y")), "contexts")
-    kept = token_log_odds(counts).orderBy(F.desc("z"), "token").limit(MAX_TOKENS)
-    model.log_odds = {r.token: r.log_odds for r in kept.collect()}
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measured(drawn: DataFrame, counts: Counts) -> pd.DataFrame:
+    """y, n, and for each setting of GRID the scores of a document's segments, by the log-odds of the other parts, and
+    the number and sum of its tokens that score."""
+    shared = drawn.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        tables = [np.append(c.kept(s), np.full((1, FOLDS + 1), np.nan), axis=0) for s in GRID]
         for b in batches:
-            hit = [model.hits(t) for t in b.column("text").to_pylist()]
-            found = [(n, maximal_segments(h, n)) for n, h in hit]
-            hits = [[x for _, x in h] for _, h in hit]
-            columns = [b.column("y"), b.column("calibrates"), pa.array([n for n, _ in found], pa.int64()), pa.array([[s[2] for s in f] for _, f in found], pa.list_(pa.float64())), pa.array([sum(h) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["y", "calibrates", "n", "scores", "hit_score", "hits"])
-
-    rows_ = drawn.select("text", "y", (~teach).alias("calibrates")).mapInArrow(measure, "y int, calibrates boolean, n long, scores array<double>, hit_score double, hits long").toPandas()
-    clean = rows_[rows_.y == 0]
+            n, segments, hits, sums = [], [], [], []
+            for text, part in zip(b.column("text").to_pylist(), b.column("part").to_pylist(), strict=True):
+                tokens = tokens_of(text)
+                pairs = ((i, c.at.get(t, -1), c.at.get(t[:STEM] + "*", -1) if len(t) > STEM else -1) for i, t in enumerate(tokens))
+                places, words, stems = np.array([p for p in pairs if p[1] >= 0 or p[2] >= 0], np.int64).reshape(-1, 3).T
+                found = []
+                for table in tables:
+                    own = table[:, part]
+                    scores = np.where(np.isnan(own[words]), own[stems], own[words])
+                    at = np.flatnonzero(~np.isnan(scores))
+                    found.append((places[at].tolist(), scores[at].tolist()))
+                n.append(len(tokens))
+                hits.append([len(x) for x, _ in found])
+                sums.append([sum(x) for _, x in found])
+                segments.append([[x for *_, x in maximal_segments(list(zip(*f, strict=True)), len(tokens), s.drift)] for f, s in zip(found, GRID, strict=True)])
+            types = (pa.int64(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x, t) for x, t in zip((n, segments, hits, sums), types, strict=True))], ["y", "n", "segments", "hits", "sums"])
+
+    return drawn.select("text", "y", "part").mapInArrow(run, "y int, n long, segments array<array<double>>, hits array<long>, sums array<double>").toPandas()
+
+
+def calibrated(rows: pd.DataFrame, k: int, mean_score: float, share: float) -> tuple[Model, float]:
+    """The extreme-value law of setting k from clean documents, the map from evidence to a score, and its log loss.
+
+    share: of toxic labels among all that may be learned from; the sample's kinds are weighed to it."""
+    model = Model(drift=GRID[k].drift)
+    y, n = rows.y.to_numpy(float), rows.n.to_numpy()
+    scores = [s[k] for s in rows.segments]
+    hit, sums = (np.array([x[k] for x in rows[c]], float) for c in ("hits", "sums"))
+    clean = np.flatnonzero(y == 0)
     # clean tokens that score, smoothed by one: how often, and how much on the whole
-    n_clean, hits = max(1, int(clean.n.sum())), int(clean.hits.sum())
-    mean_score = float(np.mean(list(model.log_odds.values()))) if model.log_odds else 1.0
-    typical = (float(clean.hit_score.sum()) + mean_score) / (hits + 1)
-    model.rate = decay(np.array([typical]), np.array([(hits + 1) / (n_clean + 1)]))
-    best = np.array([max(s, default=0.0) for s in clean.scores])
-    model.size = max(len(clean) / max(float((clean.n.to_numpy() * np.exp(-model.rate * best)).sum()), 1e-9), 1e-9)
-    held = rows_[rows_.calibrates]
-    if held.y.nunique() < 2:
-        held = rows_
-    evidence = np.array([model.evidence(n, [(0, 0, x) for x in s]) for n, s in zip(held.n, held.scores, strict=True)])
-    slope, cut = logistic_fit(np.log1p(evidence)[:, None], held.y.to_numpy(float), ridge=0.1)
+    tokens, hits = max(1, int(n[clean].sum())), int(hit[clean].sum())
+    typical = (float(sums[clean].sum()) + mean_score) / (hits + 1)
+    model.rate = decay(typical, min(0.5, (hits + 1) / (tokens + 1)), model.drift)
+    best = np.array([max(scores[i], default=0.0) for i in clean])
+    model.size = max(len(clean) / max(float((n[clean] * np.exp(-model.rate * best)).sum()), 1e-9), 1e-9)
+    evidence = np.log1p(np.array([model.evidence(int(m), [(0, 0, x) for x in s]) for m, s in zip(n, scores, strict=True)]))
+    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    slope, cut = logistic_fit(evidence[:, None], y, 0.1, weight)
     model.weights = (float(max(slope, 0.0)), float(cut))
+    p = np.clip(sigmoid(model.weights[0] * evidence + model.weights[1]), 1e-9, 1 - 1e-9)
+    return model, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: F.Column, rows: int = TRAIN_ROWS) -> Model:
+    """Learn from at most `rows` labelled documents that `keep` admits; only token counts and scores reach the driver."""
+    tune(docs.sparkSession)
+    drawn = sample(docs, labels, "toxic", keep, rows, balanced=True)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & keep).agg(F.avg("toxic")).first()[0]
+    share = min(max(float(known or 0), 1e-9), 1 - 1e-9)
+    if drawn.select("y").distinct().count() < 2:
+        return Model(weights=(0.0, math.log(share / (1 - share))))
+    drawn = drawn.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    counts = counted(write_cut(token_contexts(drawn.select("text", "y", "part")), "contexts"))
+    rows_ = measured(drawn, counts)
+    best, model, own = math.inf, Model(), np.zeros(0)
+    for k, s in enumerate(GRID):
+        odds = counts.kept(s)[:, FOLDS]
+        m, loss = calibrated(rows_, k, float(np.nanmean(odds)) if (~np.isnan(odds)).any() else 1.0, share)
+        if loss < best:
+            best, model, own = loss, m, odds
+    model.log_odds = {t: float(own[i]) for t, i in counts.at.items() if not np.isnan(own[i])}
     return model
 
 
@@ -206,6 +295,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
+
+
 def teaches() -> F.Column:
     """The rows that labels may be learned from."""
     return fold("doc_id", 3) != 1
