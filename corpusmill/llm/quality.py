@@ -152,15 +152,16 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: F.Column, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Model:
     """Learn from at most `rows` labelled documents that `keep` admits. Whole documents are taken in the order of
-    their ids' hash until `passages` are gathered, so that the driver holds a bounded number."""
+    their ids' hash as long as they fit into `passages`, so that the driver holds a bounded number; one that does not
+    fit is passed over, and only the very first may be larger on its own."""
     tune(docs.sparkSession)
     drawn = sample(docs, labels, "quality", keep, rows)
     bags, y, total = [], [], 0
     for r in drawn.mapInArrow(_bags, "doc_id long, y int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         bag = np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES)
+        if bags and total + len(bag) > passages:
+            continue
         total += len(bag)
-        if total > passages and bags:
-            break
         bags.append(bag)
         y.append(r.y)
     return train(bags, np.array(y, float))
