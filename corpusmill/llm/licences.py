@@ -126,18 +126,15 @@ def words_of(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case. The faster lower() changes other letters too, which no word of a licence has; only two of
+    them become ASCII letters, and texts with those take the exact way."""
+    return F.when(text.rlike("[\u0130\u212a]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def mentions(text: Column, words: list[str]) -> Column:
-    """Whether any of words occurs at all, in whatever case: spares most files the search. Letters and digits only."""
-    return text.rlike("(?i)(?:" + "|".join(words) + ")")
-
-
 def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
     """How many files hold each mandatory word, over all files; and how many files there are. Every file counts for the
     empty word, which no file has."""
@@ -161,9 +158,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             half.setdefault(w, []).append((k << SHIFT) + REACH - at[w])
     anchors = sorted(set(postings[0]) | set(postings[1]))
 
-    words = words_of(F.col("text"))
-    split = texts.select("doc_id", words.alias("raw"), mentions(F.col("text"), anchors).alias("may"))
-    low = split.select("doc_id", F.size("raw").cast("long").alias("n_words"), F.when(F.col("may"), F.transform("raw", lower_ascii)).otherwise(F.array().cast("array<string>")).alias("words"))
+    split = texts.select("doc_id", words_of(lower_ascii(F.col("text"))).alias("all"))
+    may = F.arrays_overlap("all", strings(anchors))
+    low = split.select("doc_id", F.size("all").cast("long").alias("n_words"), F.when(may, F.col("all")).otherwise(F.array().cast("array<string>")).alias("words"))
 
     def starts(half: dict[str, list[int]]) -> Column:
         """Places that the words of one half of the index point to, as longs, which are intersected by hashing."""

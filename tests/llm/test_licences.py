@@ -14,7 +14,7 @@ ODD = [
     *(" -- ".join(p.text.replace("the", "THE") for p in reversed(t.passages)) for t in L.TEMPLATES),
     "x " + L.AS_IS.text.replace("express or implied", "be it so"), L.AS_IS.text.replace("as is without", "as is and without"), L.TEMPLATES[3].passages[0].text,
     "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
-    L.TEMPLATES[3].passages[0].text.replace("documentation files", "documents files") + " copies. " + L.AS_IS.text, "all rights reserved", "apache apache license version 2.0 apache license", "cc by nc 4.0, licensed under CC BY-NC", "admit license", "MİT license", "word " * 60_000 + "MIT License", "mit license " * 20_000, "license\x00general\x7fpublic license",
+    L.TEMPLATES[3].passages[0].text.replace("documentation files", "documents files") + " copies. " + L.AS_IS.text, "all rights reserved", "apache apache license version 2.0 apache license", "cc by nc 4.0, licensed under CC BY-NC", "admit license", "MIT LİCENSE; MIT LICENSE \u212a", "\u212aey MIT License É", "mit licen\u017fe", "MİT license", "word " * 60_000 + "MIT License", "mit license " * 20_000, "license\x00general\x7fpublic license",
 ]
 
 
