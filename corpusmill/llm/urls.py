@@ -1,8 +1,10 @@
 """URL rules indexed by their rarest literal token.
 
-A rule is a regular expression with the literal tokens that every URL it matches must contain. Each rule is filed
-under that one of its tokens which the fewest distinct URLs have; a URL's own tokens fetch candidate rules, and only
-those run their expressions. Host rules decide first, the longest one wins; URLs without one take the verdict of the
+A rule is a regular expression with the literal tokens that every URL it matches must contain. Pattern rules come in
+families: choices of words, one after the other, between an expression for what stands before them and one for what
+stands after; each combination of words is a rule of its own, and as no letter or digit can stand beside a word, its
+words are whole tokens of every URL that it matches. Each rule is filed under that one of its tokens which the fewest
+distinct URLs have; a URL's own tokens fetch candidate rules, and only those run their expressions. Host rules decide first, the longest one wins; URLs without one take the verdict of the
 pattern rules: block if any blocking pattern matches that no allowing pattern outweighs, else allow.
 
 Defined results: a null URL, or one without "://", has an empty host and path and no host rule; repeated rows keep
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +38,40 @@ class Rule:
     tokens: tuple[str, ...]
     kind: str  # host or pattern
     length: int  # of a host rule; the longest wins
-    whole: str = ""  # of a pattern rule that is split: the expression that its parts make up together
+
+
+#: What may stand before the first word of a family, and after its last one: each lets no letter or digit touch the word.
+ANYWHERE, IN_HOST, SEGMENT, EXTENSION = "(^|[^a-z0-9])", "^([^/]*[.])?", "/", "[.]"
+ENDS, HOST_DOT, AT_END, SEGMENT_ENDS = "([^a-z0-9]|$)", "[.]", "$", "([/.]|$)"
+BETWEEN = "[._/-]"
+
+
+@dataclass(frozen=True)
+class Family:
+    """Rules of one name and verdict: every combination of one word of each of `words`."""
+
+    name: str
+    verdict: str
+    words: tuple[tuple[str, ...], ...]
+    before: str = ANYWHERE
+    after: str = ENDS
+    tail: str = ""  # whatever else follows; it can only narrow the match
+
+    def __post_init__(self) -> None:
+        if self.before not in (ANYWHERE, IN_HOST, SEGMENT, EXTENSION) or self.after not in (ENDS, HOST_DOT, AT_END, SEGMENT, SEGMENT_ENDS):
+            raise ValueError(f"{self.name}: a word's neighbours must be neither letters nor digits")
+        if not self.words or any(not re.fullmatch("[a-z0-9]+", w) for choice in self.words for w in choice) or not all(self.words):
+            raise ValueError(f"{self.name}: words are letters a-z and digits")
+
+    def regex(self, words: tuple[str, ...]) -> str:
+        return self.before + BETWEEN.join(words) + self.after + self.tail
+
+    def whole(self) -> str:
+        """One expression for all of the family."""
+        return self.regex(tuple(f"(?:{'|'.join(choice)})" for choice in self.words))
+
+    def rules(self) -> tuple[Rule, ...]:
+        return tuple(Rule(self.name, self.verdict, self.regex(w), tuple(dict.fromkeys(w)), "pattern", 0) for w in product(*self.words))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -49,15 +85,6 @@ def host_rule(verdict: str, name: str) -> Rule:
     return Rule(name, verdict, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(dict.fromkeys(tokens_of(f"{host}/{whole}"))), "host", len(name))
 
 
-def pattern_rule(verdict: str, name: str, regex: str, *tokens: str) -> Rule:
-    return Rule(name, verdict, regex, tokens, "pattern", 0)
-
-
-def split_rule(verdict: str, name: str, whole: str, parts: dict[str, tuple[str, ...]]) -> tuple[Rule, ...]:
-    """An expression whose matches have no literal token in common: a rule of its name for each of parts (regex -> tokens)."""
-    return tuple(Rule(name, verdict, regex, tokens, "pattern", 0, whole) for regex, tokens in parts.items())
-
-
 HOST_RULES = (
     host_rule("allow", "org/"),
     host_rule("block", "example.org/es/"),
@@ -65,18 +92,27 @@ HOST_RULES = (
     host_rule("allow", "com/fr/"),
     host_rule("block", "com/de/"),
 )
-#: Matched against host and path in lower case. Every one needs its tokens as whole tokens of the URL.
-PATTERN_RULES = (
-    *split_rule("block", "ad tracker", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", {rf"(^|[./-]){a}-{t}([./-]|$)": (a, t) for a in ("ad", "ads") for t in ("track", "tracker", "tracking")}),
-    *split_rule("block", "ad server", r"^(ads|adserver|banners)\.", {rf"^{t}\.": (t,) for t in ("ads", "adserver", "banners")}),
-    pattern_rule("block", "login page", r"/login(/|\.|$)", "login"),
-    pattern_rule("block", "cart", r"/cart(/|$)", "cart"),
-    pattern_rule("block", "archive file", r"\.zip$", "zip"),
-    pattern_rule("block", "casino", r"(^|[./-])casino([./-]|$)", "casino"),
-    pattern_rule("block", "adult", r"(^|[./-])xxx([./-]|$)", "xxx"),
-    pattern_rule("block", "session", r"/session/[0-9a-f]+", "session"),
-    pattern_rule("allow", "encyclopedia", r"(^|\.)wikipedia\.", "wikipedia"),
+#: Matched against host and path in lower case.
+FAMILIES = (
+    Family("ad tracker", "block", (("ad", "ads", "adv", "advert"), ("beacon", "click", "pixel", "redirect", "track", "tracker", "tracking"))),
+    Family("ad server", "block", (("ads", "adserv", "adserver", "adservice", "advertising", "banner", "banners", "doubleclick", "popads", "sponsors"),), IN_HOST, HOST_DOT),
+    Family("tracking call", "block", (("analytics", "beacon", "counter", "metrics", "pixel", "telemetry"), ("collect", "event", "gif", "hit", "js", "log", "png"))),
+    Family("login page", "block", (("login", "logout", "signin", "signup", "register", "sso", "resetpassword"),), SEGMENT, SEGMENT_ENDS),
+    Family("cart", "block", (("basket", "cart", "checkout", "wishlist"),), SEGMENT, SEGMENT_ENDS),
+    Family("archive file", "block", (("7z", "apk", "bz2", "dmg", "exe", "gz", "iso", "msi", "rar", "tar", "xz", "zip"),), EXTENSION, AT_END),
+    Family("media file", "block", (("avi", "flac", "mkv", "mov", "mp3", "mp4", "wav", "webm", "wmv"),), EXTENSION, AT_END),
+    Family("casino", "block", (("blackjack", "casino", "casinos", "poker", "roulette", "slots", "sportsbook"),)),
+    Family("casino offer", "block", (("best", "bonus", "free", "live", "online", "vip"), ("baccarat", "bets", "betting", "bingo", "jackpot", "lottery", "spins"))),
+    Family("adult", "block", (("camgirls", "hentai", "nsfw", "porn", "porno", "sexcam", "xxx"),)),
+    Family("loan offer", "block", (("cheap", "fast", "instant", "payday"), ("cash", "credit", "loan", "loans"))),
+    Family("pill shop", "block", (("buy", "cheap", "online", "order"), ("cialis", "levitra", "pharmacy", "pills", "viagra"))),
+    Family("session", "block", (("jsessionid", "phpsessid", "session", "sessionid", "sid"),), SEGMENT, SEGMENT, "[0-9a-f]+"),
+    Family("calendar trap", "block", (("agenda", "calendar", "events"),), SEGMENT, SEGMENT, "[0-9]{4}/[0-9]{2}/[0-9]{2}"),
+    Family("listing", "block", (("author", "category", "search", "tag", "tags"),), SEGMENT, SEGMENT, "(.*/)?page/[0-9]+"),
+    Family("encyclopedia", "allow", (("britannica", "wikibooks", "wikipedia", "wikisource", "wikiversity", "wiktionary"),), IN_HOST, HOST_DOT),
+    Family("documentation", "allow", (("docs", "documentation", "manual", "readthedocs", "reference"),), IN_HOST, HOST_DOT),
 )
+PATTERN_RULES = tuple(r for f in FAMILIES for r in f.rules())
 
 
 def parts(urls: DataFrame) -> DataFrame:
@@ -126,8 +162,7 @@ def _oracle() -> str:
     """Every rule against every URL, without an index."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     hosts = ", ".join(f"({quote(r.name.partition('/')[0])}, {quote('/' + r.name.partition('/')[2])}, {quote(r.name)}, {quote(r.verdict)}, {r.length})" for r in HOST_RULES)
-    patterns = dict.fromkeys((r.verdict, r.name, r.whole or r.regex) for r in PATTERN_RULES)
-    found = {v: ", ".join(f"CASE WHEN regexp_matches(lower(host || path), {quote(regex)}) THEN {quote(name)} END" for verdict, name, regex in patterns if verdict == v) for v in ("block", "allow")}
+    found = {v: ", ".join(f"CASE WHEN regexp_matches(lower(host || path), {quote(f.whole())}) THEN {quote(f.name)} END" for f in FAMILIES if f.verdict == v) for v in ("block", "allow")}
     return f"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM pages
