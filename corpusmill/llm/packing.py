@@ -35,8 +35,8 @@ END_ID = 1
 SHARD_TOKENS = 1 << 22
 #: A shard is made of cells of at most this part of it, where documents can be told apart by content.
 CELLS = 4
-#: Terms of a seed that are queried; None: all.
-QUERY_TERMS = None
+#: A term in at least one of so many documents of a shard has a row of its own.
+DENSE = 8
 K1, B = 1.2, 0.75
 #: Runs of blanks over this length go through the slower encoder.
 LONG_RUN = " " * 512
@@ -119,35 +119,58 @@ def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 class Bm25Shard:
-    """Inverted index of one shard: for each term the documents with it and their BM25 weights."""
+    """Inverted index of one shard: for each term the documents with it and their BM25 weights.
+
+    Postings of a term that is in at least one of DENSE documents are a row with a place for every document, which is
+    summed without looking places up; rows take no more room than DENSE times the postings. Others are lists."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.idf = idf
         self.lengths = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(len(ids), dtype=np.uint64), self.lengths)
         pairs, counts = np.unique(doc << np.uint64(32) | np.concatenate(ids).astype(np.uint64), return_counts=True)
-        self.doc, self.term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.of_doc = np.searchsorted(self.doc, np.arange(len(ids) + 1))
-        weight = idf[self.term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * self.lengths[self.doc] / mean_length))
-        order = np.argsort(self.term, kind="stable")
-        self.posting_doc, self.posting_weight = self.doc[order], weight[order]
-        self.of_term = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(idf)))])
+        doc, self.term = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.of_doc = np.searchsorted(doc, np.arange(len(ids) + 1))
+        weight = (idf[self.term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * self.lengths[doc] / mean_length))).astype(np.float32)
+        heavy = np.flatnonzero(np.bincount(self.term, minlength=len(idf)) * DENSE >= len(ids))
+        self.row = np.full(len(idf), -1)
+        self.row[heavy] = np.arange(len(heavy))
+        in_row = self.row[self.term] >= 0
+        self.live = np.arange(len(ids))
+        self.rows = np.zeros((len(heavy), len(ids)), np.float32)
+        self.rows[self.row[self.term[in_row]], doc[in_row]] = weight[in_row]
+        light = np.flatnonzero(~in_row)
+        order = light[np.argsort(self.term[light], kind="stable")]
+        self.posting_doc, self.posting_weight = doc[order], weight[order]
+        self.of_term = np.concatenate([[0], np.cumsum(np.bincount(self.term[light], minlength=len(idf)))])
 
     def forget(self, used: np.ndarray) -> None:
         """Drop the postings of used documents, which are never returned."""
+        self.rows = np.ascontiguousarray(self.rows[:, ~used[self.live]])
+        self.live = np.flatnonzero(~used)
         left = ~used[self.posting_doc]
         self.of_term = np.concatenate([[0], np.cumsum(left)])[self.of_term]
         self.posting_doc, self.posting_weight = self.posting_doc[left], self.posting_weight[left]
 
-    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents that share a term with the seed, best first; ties by position."""
+    def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """BM25 of every document for the terms of the seed; 0 for used ones."""
         terms = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
+        rows = self.row[terms]
         terms = terms[self.of_term[terms + 1] > self.of_term[terms]]
-        if not len(terms):
-            return
-        slices = [slice(a, b) for a, b in zip(self.of_term[terms], self.of_term[terms + 1], strict=True)]
-        scores = np.bincount(np.concatenate([self.posting_doc[s] for s in slices]), np.concatenate([self.posting_weight[s] for s in slices]), len(used))
-        scores[used] = 0
+        out = np.zeros(len(used))
+        if len(terms):
+            slices = [slice(a, b) for a, b in zip(self.of_term[terms], self.of_term[terms + 1], strict=True)]
+            out += np.bincount(np.concatenate([self.posting_doc[s] for s in slices]), np.concatenate([self.posting_weight[s] for s in slices]), len(used))
+        rows = rows[rows >= 0]
+        dense = np.zeros(len(self.live), np.float32)
+        for at in range(0, len(rows), 32):  # a bounded copy of rows at a time
+            dense += self.rows[rows[at : at + 32]].sum(axis=0)
+        out[self.live] += dense
+        out[used] = 0
+        return out
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; ties by position."""
+        scores = self.scores(seed, used)
         found = np.flatnonzero(scores)
         if len(found) > 64:  # the best few mostly fill the window; the rest follows if they do not
             least = np.partition(scores[found], len(found) - 32)[len(found) - 32]
@@ -199,17 +222,20 @@ def races(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
     return drawn
 
 
-def keyed(texts: DataFrame, race, kind: type) -> DataFrame:
-    """texts (doc_id, n, ids, h) with a and b, the ids that win each race."""
+def winners(ids: list[np.ndarray], race: np.ndarray) -> np.ndarray:
+    """The id that wins a race in each document."""
+    return np.array([x[race[x].argmin()] for x in ids], np.int64)
+
+
+def keys_of(texts: DataFrame, race, kind: type) -> DataFrame:
+    """texts (n, ids) -> n, and the ids a and b that win each race; the ids themselves go no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = race.value
         for batch in batches:
             ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
-            a, b = (pa.array([int(x[r[x].argmin()]) for x in ids], pa.int64()) for r in (first, second))
-            yield pa.RecordBatch.from_arrays([*batch.columns, a, b], [*batch.schema.names, "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("n"), *(pa.array(winners(ids, r)) for r in race.value)], ["n", "a", "b"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, ids binary, h long, a long, b long")
+    return texts.select("n", "ids").mapInArrow(run, "n long, a long, b long")
 
 
 def dealt(keys: DataFrame, size: int, tokens: int, shards: int) -> tuple[np.ndarray, ...]:
@@ -249,16 +275,18 @@ def sharded(texts: DataFrame, idf: np.ndarray, df: np.ndarray, kind: type, token
     """texts (doc_id, n, ids) -> (doc_id, ids, shard). The keys alone are written, and made again where ids are dealt."""
     context = texts.sparkSession.sparkContext
     race = context.broadcast(races(idf, df))
-    rows = keyed(texts.select("doc_id", "n", "ids", F.xxhash64("doc_id", F.crc32("ids")).alias("h")), race, kind)
-    found = context.broadcast(dealt(write_cut(rows.select("n", "a", "b"), "shard-keys"), len(idf), tokens, shards))
+    found = context.broadcast(dealt(write_cut(keys_of(texts, race, kind), "shard-keys"), len(idf), tokens, shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, first, pieces, start, shard = found.value
         for batch in batches:
-            h, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "a", "b"))
+            ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
+            a, b = (winners(ids, r) for r in race.value)
             cell = first[a] + b % parts[a]
+            h = batch.column("h").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(shard[start[cell] + h % pieces[cell]])], ["doc_id", "ids", "shard"])
 
+    rows = texts.select("doc_id", "ids", F.xxhash64("doc_id", F.crc32("ids")).alias("h"))
     return rows.mapInArrow(run, "doc_id long, ids binary, shard long")
 
 
@@ -285,7 +313,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
         out["doc_id"] = part["doc_id"].astype("Int64").to_numpy()[out["doc_id"].to_numpy(dtype=np.int64)]
         return out
 
-    return placed.groupBy("shard").applyInPandas(run, _PIECES)
+    # a task for each shard, whatever the session's number of partitions, so that no task grows with the corpus
+    return placed.repartition(shards, "shard").groupBy("shard").applyInPandas(run, _PIECES)
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

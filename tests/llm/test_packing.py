@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from corpusmill.llm import packing as K
@@ -52,7 +53,9 @@ def test_empty(spark):
     assert K.pack(spark.createDataFrame([], "doc_id long, text string"), K.default_vocabulary()).count() == 0
 
 
-def test_neighbours_match_brute_force():
+@pytest.mark.parametrize("dense", [1, K.DENSE, 10**6])
+def test_neighbours_match_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(K, "DENSE", dense)
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 60, n).astype(np.uint16) for n in rng.integers(1, 40, 30)]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
@@ -60,8 +63,12 @@ def test_neighbours_match_brute_force():
     mean = np.mean([len(d) for d in docs])
     index = K.Bm25Shard(docs, idf, mean)
     used = rng.random(30) < 0.3
-    for seed in range(30):
-        terms = sorted((t for t in set(docs[seed].tolist()) if df[t] > 1), key=lambda t: -idf[t])[: K.QUERY_TERMS]
+    for seed in range(60):
+        if seed == 30:  # what used documents leave behind changes nothing
+            index.forget(used)
+            used |= rng.random(30) < 0.2
+        seed %= 30
+        terms = [t for t in set(docs[seed].tolist()) if df[t] > 1]
         scores = {}
         for i, d in enumerate(docs):
             s = 0.0
