@@ -2,8 +2,9 @@
 
 A record's nested field paths are hashed to a fingerprint; the fingerprint selects a declarative mapping that says
 where turns, roles and texts lie, so prompt, instruction and message layouts all become the same turns. A template
-then marks the turns of each conversation. Control strings inside texts are escaped reversibly, and a mask marks
-what a model is trained on: each assistant text, without the marks around it.
+then marks the turns of each conversation. Control strings inside texts, of this template and of others, are escaped
+reversibly, and a mask marks what a model is trained on: each assistant text, without the marks around it. A table with
+a row for each turn is a table of records too: each row has its own fingerprint, and its mapping makes one turn of it.
 
 Defined results: null texts and roles are empty; turns are ordered by number, ties by role and text, repeated rows
 stay repeated; rows without a conversation id form one conversation of their own; a record that no mapping fits, or
@@ -21,15 +22,15 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.llm.common import read, tune
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout keeps its turns. `each` is the path of a list of turns with `role` and `text` in it; without it,
-    `fixed` lists (role, path) pairs in order. `optional` paths may be missing."""
+    """Where a layout keeps its turns. `each` is the path of a list of turns with `role` and `text` in it; with `number`
+    the record is a turn itself, of that number and of the conversation at `conversation`, and its role stays as it is;
+    else `fixed` lists (role, path) pairs in order. `optional` paths may be missing."""
 
     name: str
     each: str | None = None
@@ -37,9 +38,14 @@ class Mapping:
     text: str = ""
     fixed: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
+    number: str | None = None
+    conversation: str = ""
 
     def required(self) -> frozenset[str]:
-        named = [f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"] if self.each is not None else [p for _, p in self.fixed]
+        if self.number is not None:
+            named = [self.conversation, self.number, self.role, self.text]
+        else:
+            named = [f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"] if self.each is not None else [p for _, p in self.fixed]
         return frozenset(p for p in named if p not in self.optional)
 
     def known(self) -> frozenset[str]:
@@ -48,7 +54,13 @@ class Mapping:
 
 #: Names that other layouts give to the three roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Rows of turns come first: whatever other columns a table has, it is one of turns.
+TURN_ROWS = (
+    Mapping("turn row", conversation="conv_id", number="turn", role="role", text="text"),
+    Mapping("indexed row", conversation="conversation_id", number="index", role="author", text="content"),
+)
 MAPPINGS = (
+    *TURN_ROWS,
     Mapping("messages", each="messages", role="role", text="content"),
     Mapping("conversations", each="conversations", role="from", text="value"),
     Mapping("dialog", each="dialog", role="speaker", text="utterance"),
@@ -58,11 +70,6 @@ MAPPINGS = (
     Mapping("instruction", fixed=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system", "input")),
     Mapping("question", fixed=(("system", "system_prompt"), ("user", "question"), ("assistant", "answer")), optional=("system_prompt",)),
 )
-#: A table with a row for each turn: conversation, number, role, text.
-TURN_ROWS = {
-    "conv_id, turn, role, text": ("conv_id", "turn", "role", "text"),
-    "conversation_id, index, author, content": ("conversation_id", "index", "author", "content"),
-}
 
 
 def paths_of(value: object, at: str = "") -> set[str]:
@@ -74,14 +81,6 @@ def paths_of(value: object, at: str = "") -> set[str]:
     return {at} if at else set()
 
 
-def schema_paths(schema: T.DataType, at: str = "") -> set[str]:
-    if isinstance(schema, T.StructType):
-        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in schema.fields))
-    if isinstance(schema, T.ArrayType):
-        return schema_paths(schema.elementType, f"{at}[]")
-    return {at}
-
-
 def fingerprint(paths: set[str] | frozenset[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
@@ -116,6 +115,8 @@ def turns_of(record: object, mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[
     m = index.get(fingerprint(paths)) or next((m for m in mappings if m.required() <= paths), None)
     if m is None:
         return None, []
+    if m.number is not None:
+        return m.name, [(_text(_get(record, m.role)), _text(_get(record, m.text)))]
     if m.each is not None:
         pairs = [(_text(_get(t, m.role)), _text(_get(t, m.text))) for t in _get(record, m.each) or []]
     else:
@@ -132,47 +133,71 @@ def _index_of(mappings: tuple[Mapping, ...]):
     return _CACHE[mappings]
 
 
+def number_of(record: object, layout: str | None, mappings: tuple[Mapping, ...] = MAPPINGS) -> int | None:
+    """The turn's own number in a record that is one turn; null is one, too."""
+    path = next((m.number for m in mappings if m.name == layout), None)
+    value = _get(record, path) if path else None
+    return int(value) if isinstance(value, int | float) else None
+
+
 def turns_of_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records (conv_id, record: a JSON text) -> conv_id, layout, turn, role, text; a record without turns keeps one row with nulls."""
     tune(records.sparkSession)
+    rows_of_turns = {m.name for m in mappings if m.number is not None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, record in zip(b.column("conv_id").to_pylist(), b.column("record").to_pylist(), strict=True):
+            for i, text in zip(b.column("conv_id").to_pylist(), b.column("record").to_pylist(), strict=True):
                 try:
-                    layout, turns = turns_of(json.loads(record or "null"), mappings)
+                    record = json.loads(text or "null")
+                    layout, turns = turns_of(record, mappings)
                 except (ValueError, RecursionError):
-                    layout, turns = None, []
-                rows += [(i, layout, k, r, t) for k, (r, t) in enumerate(turns)] or [(i, layout, None, None, None)]
+                    record, layout, turns = None, None, []
+                if layout in rows_of_turns:
+                    rows.append((i, layout, number_of(record, layout, mappings), *turns[0]))
+                else:
+                    rows += [(i, layout, k, r, t) for k, (r, t) in enumerate(turns)] or [(i, layout, None, None, None)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["conv_id", "layout", "turn", "role", "text"])
 
     return records.select(F.col("conv_id").cast("long"), F.col("record").cast("string")).mapInArrow(run, "conv_id long, layout string, turn long, role string, text string")
 
 
-def turns_of_table(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table whose own schema's fingerprint is that of turn rows."""
-    paths = schema_paths(table.schema)
-    index = {fingerprint(set(columns)): columns for columns in TURN_ROWS.values()}
-    named = next((c for c in TURN_ROWS.values() if fingerprint(paths & set(c)) in index and set(c) <= paths), None)
-    if named is None:
-        raise ValueError(f"no mapping for fields {sorted(paths)}")
-    c, n, r, t = index[fingerprint(paths & set(named))]
-    return table.select(F.col(c).cast("long").alias("conv_id"), F.col(n).cast("long").alias("turn"), F.col(r).alias("role"), F.col(t).alias("text"))
+def turns_of_table(table: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """conv_id, turn, role, text of a table with a row for each turn: every row is a record with a fingerprint of its own."""
+    m = next((m for m in mappings if m.number is not None and {m.conversation, m.number, m.role, m.text} <= set(table.columns)), None)
+    if m is None:
+        raise ValueError(f"no mapping for fields {sorted(table.columns)}")
+    known = {p.split(".")[0].removesuffix("[]") for k in mappings for p in k.known()}
+    record = F.to_json(F.struct(*[F.col(c) for c in table.columns if c in known]), {"ignoreNullFields": "false"})
+    return turns_of_records(table.select(F.col(m.conversation).alias("conv_id"), record.alias("record")), mappings).select("conv_id", "turn", "role", "text")
 
 
 # The template. Only marks contain "<|"; texts never do once escaped.
 OPEN, HEAD, CLOSE = "<|turn|>", "<|says|>", "<|over|>\n"
 LEARNED = "assistant"
+#: What tokenizers and templates give a meaning to; "<|" starts the marks of this template and of many others.
+CONTROLS = (
+    "<|", "<s>", "</s>", "<bos>", "<eos>", "<pad>", "<unk>", "<mask>", "<start_of_turn>", "<end_of_turn>", "<<SYS>>", "<</SYS>>", "<think>", "</think>", "<tool_call>", "</tool_call>", "[INST]", "[/INST]",
+    "[BOS]", "[EOS]", "[CLS]", "[SEP]", "[PAD]", "[MASK]", "[UNK]", "[AVAILABLE_TOOLS]", "[/AVAILABLE_TOOLS]", "[TOOL_CALLS]", "[TOOL_RESULTS]", "[/TOOL_RESULTS]",
+)
+#: What stands for the first character of a control string in a text.
+ENTITIES = {"<": "&lt;", "[": "&#91;"}
 
 
-def escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<|", "&lt;|")
+def escape(text: str, controls: tuple[str, ...] = CONTROLS) -> str:
+    """Text in which no control string occurs. Each must start with a character of ENTITIES."""
+    text = text.replace("&", "&amp;")
+    for c in controls:
+        text = text.replace(c, ENTITIES[c[0]] + c[1:])
+    return text
 
 
 def unescape(text: str) -> str:
-    return text.replace("&lt;|", "<|").replace("&amp;", "&")
+    for plain, entity in ENTITIES.items():
+        text = text.replace(entity, plain)
+    return text.replace("&amp;", "&")
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -254,8 +279,16 @@ def _sha(text: str) -> str:
 def op4_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
-    turns = turns_of_table(read(spark, sf_dir, "conversations")).unionByName(extra)
-    return read_back(format_conversations(turns))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_conversations(turns_of_table(rows)))
+
+
+def _escaped(column: str) -> str:
+    """The SQL of escape()."""
+    out = f"replace({column}, '&', '&amp;')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{ENTITIES[c[0]]}{c[1:]}')"
+    return out
 
 
 ORACLE = {
@@ -264,7 +297,7 @@ WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, length(replace(replace(role, '&', '&amp;'), '<|', '&lt;|')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + {len(OPEN + HEAD + CLOSE)} AS chars FROM t
+  SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + {len(OPEN + HEAD + CLOSE)} AS chars FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusmill.llm import chat as C
 
@@ -24,6 +25,18 @@ def test_control_strings_inside_texts():
     assert text.count(C.OPEN) == 3 and C.parse(text) == turns
 
 
+@given(st.lists(st.sampled_from([*C.CONTROLS, "<", "[", "|", "/", "s>", "INST]", "&", "lt;", "&lt;", "&#91;", "amp;", " x "]), max_size=12).map("".join))
+def test_no_control_string_is_left(text):
+    safe = C.escape(text)
+    assert C.unescape(safe) == text and not any(c in safe for c in C.CONTROLS)
+
+
+def test_foreign_control_strings_are_escaped():
+    text, spans = C.render([("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")])
+    assert "[INST]" not in text and "</s>" not in text and C.unescape(text[slice(*spans[0])]) == "</s>[INST] ok [/INST]"
+    assert C.escape("<x>[y]", ("<x>",)) == "&lt;x>[y]"
+
+
 LAYOUTS = [
     ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "extra": {"role": 1}}, "messages"),
     ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations"),
@@ -61,6 +74,14 @@ def test_table(spark):
     assert C.read_back(C.format_conversations(C.turns_of_table(df.limit(0)))).count() == 0
     with pytest.raises(ValueError):
         C.turns_of_table(df.drop("role"))
+    # every row goes by its own fingerprint; columns that other layouts know change nothing
+    more = df.withColumn("prompt", F.lit("p")).withColumn("messages", F.lit(None).cast("array<string>")).withColumn("odd", F.lit(b"x"))
+    assert sorted(map(repr, C.turns_of_table(more).collect())) == sorted(map(repr, C.turns_of_table(df).collect()))
+    other = df.selectExpr("conv_id AS conversation_id", "turn AS index", "role AS author", "text AS content")
+    assert sorted(map(repr, C.turns_of_table(other).collect())) == sorted(map(repr, C.turns_of_table(df).collect()))
+    record = '{"conv_id": 4, "turn": 9, "role": "human", "text": "t"}'
+    got = C.turns_of_records(spark.createDataFrame([(4, record)], "conv_id long, record string")).first()
+    assert tuple(got) == (4, "turn row", 9, "human", "t")
 
 
 def test_query_matches_sql(spark):
