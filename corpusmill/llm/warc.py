@@ -20,7 +20,8 @@ import posixpath
 import urllib.parse
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import pyarrow as pa
@@ -102,7 +103,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     told = revisits.select("page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.col("refers_to").cast("string").alias("html"))
     rows = told.unionByName(pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), "url", "html"))
     # what a page revisits comes before the page, so the payloads move once and each task knows all it needs
-    ordered = rows.repartition(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    # rows without an id go by their payload instead, so that they do not all meet in one task
+    payload = F.when(F.col("kind") == 0, F.col("url")).otherwise(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    dealt = rows.withColumn("to", F.when(F.col("page_id").isNull(), F.xxhash64(payload)).otherwise(F.xxhash64("page_id")))
+    ordered = dealt.repartition(n, "to").drop("to").sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder)
@@ -149,16 +153,20 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX.values(), strict=True)], list(_INDEX))
 
 
-def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MAX_READ) -> list[tuple[int, int, list[int]]]:
-    """(start, end, positions in ranges) of each read: sorted ranges (offset, length), joined over gaps while small enough."""
-    out: list[tuple[int, int, list[int]]] = []
-    for i in sorted(range(len(ranges)), key=lambda i: ranges[i]):
-        a, n = ranges[i]
-        if out and a - out[-1][1] <= gap and max(a + n, out[-1][1]) - out[-1][0] <= most:
-            out[-1] = (out[-1][0], max(a + n, out[-1][1]), [*out[-1][2], i])
-        else:
-            out.append((a, a + n, [i]))
-    return out
+def coalesce_ranges(ranges: Iterable[tuple[str, int, int]], gap: int = GAP, most: int = MAX_READ) -> Iterator[tuple[str, int, int, list[int]]]:
+    """(archive, start, end, how-manieth ranges) of each read: ranges (archive, offset, length) that come in order,
+    joined over gaps while small enough. Only the ranges of the read under way are held."""
+    archive, start, end, own = "", 0, 0, []
+    for i, (a, offset, n) in enumerate(ranges):
+        if own and a == archive and offset - end <= gap and max(offset + n, end) - start <= most:
+            end = max(offset + n, end)
+            own.append(i)
+            continue
+        if own:
+            yield archive, start, end, own
+        archive, start, end, own = a, offset, offset + n, [i]
+    if own:
+        yield archive, start, end, own
 
 
 _RECORD_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -166,28 +174,46 @@ _RECORD = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(
 
 
 def read_records(selected: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that rows of the index point to. Sizes and digests come from the archives, and are verified where
-    the payload is there."""
+    """The records that rows of the index point to, whatever order the rows come in: they are sorted by archive and
+    offset, and neighbours are read together. Sizes and digests come from the archives, and are verified where the
+    payload is there."""
     tune(selected.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[str, list[dict]] = {}
-            for r in b.to_pylist():
-                by.setdefault(r["archive"], []).append(r)
-            out = []
-            for archive, rows in by.items():
+        pending: deque[dict] = deque()  # index rows of the read under way, and the one that ended it
+
+        def ranges() -> Iterator[tuple[str, int, int]]:
+            for b in batches:
+                for r in b.to_pylist():
+                    pending.append(r)
+                    yield r["archive"], r["offset"], r["length"]
+
+        opened, f, out, size = None, None, [], 0
+        for archive, start, end, own in coalesce_ranges(ranges()):
+            if archive != opened:
+                if f is not None:
+                    f.close()
                 fs, path = FileSystem.from_uri(archive)
-                with fs.open_input_file(path) as f:
-                    for start, end, own in coalesce_ranges([(r["offset"], r["length"]) for r in rows]):
-                        f.seek(start)
-                        data = f.read(end - start)
-                        for r in (rows[i] for i in own):
-                            out.append(_read_one(data[r["offset"] - start : r["offset"] - start + r["length"]], r, payloads))
-            columns = list(zip(*out, strict=True)) or [()] * len(_RECORD)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD.values(), strict=True)], list(_RECORD))
-
-    return selected.select(*_INDEX).mapInArrow(run, _RECORD_SQL)
+                opened, f = archive, fs.open_input_file(path)
+            f.seek(start)
+            data = f.read(end - start)
+            for r in (pending.popleft() for _ in own):
+                out.append(_read_one(data[r["offset"] - start : r["offset"] - start + r["length"]], r, payloads))
+                size += len(out[-1][-1] or b"")
+                if size > MAX_READ or len(out) >= 4096:
+                    yield _record_batch(out)
+                    out, size = [], 0
+        if f is not None:
+            f.close()
+        yield _record_batch(out)
+
+    ordered = selected.select(*_INDEX).repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(run, _RECORD_SQL)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_RECORD)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD.values(), strict=True)], list(_RECORD))
 
 
 def _read_one(data: bytes, row: dict, payloads: bool) -> tuple:

@@ -3,6 +3,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import warc as W
 from corpusmill.llm.common import shared_path
@@ -43,10 +44,23 @@ def test_empty(spark):
 
 
 def test_ranges():
-    ranges = [(100, 10), (0, 50), (50, 50), (500, 5), (111, 4), (500, 5)]
-    assert W.coalesce_ranges(ranges, gap=0) == [(0, 110, [1, 2, 0]), (111, 115, [4]), (500, 505, [3, 5])]
-    assert W.coalesce_ranges(ranges, gap=1000) == [(0, 505, [1, 2, 0, 4, 3, 5])]
-    assert [r[:2] for r in W.coalesce_ranges(ranges, gap=1000, most=100)] == [(0, 100), (100, 115), (500, 505)]
+    ranges = [("a", *r) for r in sorted([(100, 10), (0, 50), (50, 50), (500, 5), (111, 4), (500, 5)])]
+    reads = lambda *more: [(a, b, own) for _, a, b, own in W.coalesce_ranges(ranges, *more)]
+    assert reads(0) == [(0, 110, [0, 1, 2]), (111, 115, [3]), (500, 505, [4, 5])]
+    assert reads(1000) == [(0, 505, [0, 1, 2, 3, 4, 5])]
+    assert [r[:2] for r in reads(1000, 100)] == [(0, 100), (100, 115), (500, 505)]
+    assert [r[0] for r in W.coalesce_ranges([("a", 0, 5), ("b", 0, 5), ("b", 5, 5)])] == ["a", "b"] and not list(W.coalesce_ranges([]))
+
+
+def test_scattered_selections_are_read_together(spark, monkeypatch):
+    """A selection in any order, over many batches, takes few reads: the index is sorted before it is followed."""
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://', id) AS url", "repeat(cast(id AS string), 50) AS html")
+    index = W.write_archives(pages, shared_path(spark, "warc-test"))
+    mixed = index.orderBy(F.xxhash64("page_id")).where("page_id % 3 = 0")
+    got = W.read_records(mixed).collect()
+    assert {(r.page_id, bytes(r.payload)) for r in got} == {(i, str(i).encode() * 50) for i in range(0, 3000, 3)} and len(got) == 1000
+    rows = sorted((r.archive, r.offset, r.length) for r in mixed.collect())
+    assert len(list(W.coalesce_ranges(rows))) == len({a for a, *_ in rows})
 
 
 def test_damage_is_found():
