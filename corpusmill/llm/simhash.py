@@ -219,11 +219,19 @@ def candidate_units(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return units_of(fps.select("fp", F.explode(masks).alias("m")).select("fp", "m.t", "m.key"), "fp", tile)
 
 
+#: Rows of units that a task should see.
+UNIT_ROWS = 1 << 18
+
+
+def parts_of(units: DataFrame) -> int:
+    """Into how many parts units, a written table, go: the session's number, and more where a part would hold too many rows."""
+    return max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNIT_ROWS))
+
+
 def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b): links of fps that span each component of fingerprints within RADIUS."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = candidate_units(fps, tile).repartition(n, "unit").sortWithinPartitions("unit", "fp")
-    return units.mapInArrow(_link_groups, "a long, b long").distinct()
+    units = write_cut(candidate_units(fps, tile), "units")
+    return units.repartition(parts_of(units), "unit").sortWithinPartitions("unit", "fp").mapInArrow(_link_groups, "a long, b long").distinct()
 
 
 #: Groups without any known id are numbered from here; such numbers leave as null.
