@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +57,34 @@ def under(path: Column, prefix: Column | str) -> Column:
     return (path == p) | path.startswith(F.concat(p, F.lit("/")))
 
 
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters, and pairs of a letter and a mark, that are a character of the history names in compatibility form."""
+    needed = set("".join((*HISTORY_NAMES, *HISTORY_PREFIXES))) | set("#history/")
+    form = lambda t: unicodedata.normalize("NFKC", t).casefold()
+    like: dict[str, list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        like.setdefault(unicodedata.normalize("NFKD", c), []).append(c)
+        like.setdefault(form(c), []).append(c)
+    one = {c: n for n in sorted(needed) for c in like.get(n, []) if c != n and form(c) == n}
+    marked = [(n, unicodedata.normalize("NFKD", n)) for n in sorted(needed) if len(unicodedata.normalize("NFKD", n)) == 2]
+    pairs = {b + m: n for n, (base, mark) in marked for b in {base, *like.get(base, [])} for m in {mark, *like.get(mark, [])} if form(b + m) == n}
+    return one, pairs
+
+
+def compatible(path: Column) -> Column:
+    """path with every character that the names of old copies are made of in compatibility form; others stay."""
+    one, pairs = _compatible()
+    out = path
+    for pair, n in pairs.items():
+        out = F.replace(out, F.lit(pair), F.lit(n))
+    out = F.translate(out, "".join(one), "".join(one.values()))
+    return F.when(path.rlike(r"[^\x00-\x7f]"), out).otherwise(path)
+
+
 def is_historical(path: Column) -> Column:
-    """A path into a history, or below a directory of old copies. Names must already be in compatibility form."""
+    """A path into a history, or below a directory of old copies, in whatever width its letters are written."""
+    path = compatible(path)
     parts = F.split(F.translate(path, "\\", "/"), "/")
     folded = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda s: F.regexp_replace(F.lower(s), r"(?U)\s+", ""))
     old = lambda s: s.isin(*HISTORY_NAMES) | s.startswith(HISTORY_PREFIXES[0]) | s.startswith(HISTORY_PREFIXES[1])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,9 +35,28 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: A few ranges around all letters but ß whose folding is not their lower case: texts without them need no more.
+FOLDS_OTHERWISE = r"[\x{b5}\x{149}\x{17f}\x{1f0}\x{345}-\x{590}\x{13a0}-\x{1ffc}\x{ab53}-\x{abbf}\x{fb00}-\x{fb17}]"
+
+
+@lru_cache(maxsize=1)
+def _folding() -> str:
+    """What case folding does to lower-case letters, as a JSON object."""
+    return json.dumps({c.lower(): c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) == 1 and c.lower() != c.casefold()})
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(c: Column) -> Column:
-    """Case folding of text without rare letters: lower case, and ß as ss."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Case folding: lower case, ß as ss, and for the few texts with other letters that fold otherwise (final sigma,
+    ligatures, long s) one letter after the other."""
+    table = F.from_json(F.lit(_folding()), "map<string,string>")
+    letters = F.regexp_extract_all(F.lower(c), F.lit("(?s)(.)"), F.lit(1))
+    full = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(F.lower(c).rlike(FOLDS_OTHERWISE), full).otherwise(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
 
 
 @F.pandas_udf(T.StringType())
@@ -85,6 +108,7 @@ def line_count(c: Column) -> Column:
     return (F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
+# What a search term is.
 CJK_RUN = r"([぀-ヿ㐀-鿿]+)"
 TERM = r"([a-z_][a-z0-9_.:/-]*|[0-9]+|[぀-ヿ㐀-鿿]+)"
 
@@ -102,28 +126,34 @@ def search_terms(c: Column) -> Column:
     return F.array_distinct(F.concat(words, grams(2), grams(3)))
 
 
+# Labels before identities in a query, and its tokens.
 LABELLED = r"(?im)(?:organization\s*code|organization\s*name|code|正式名|略称)\s*[:：]\s*([^\r\n,{}\[\]\"]{2,128})"
 LEXICAL = r"[A-Za-z][A-Za-z0-9_.:/-]{1,63}|\d{2,12}|[぀-ヿ㐀-鿿]{2,32}"
 
 
 def query_terms(query: str, limit: int = 12) -> list[str]:
-    """Search terms of a query, which is a constant: labelled values, the whole query, tokens, then shorter terms first."""
+    """The terms that a constant query is searched by, most telling first: values behind a label, the query itself, its
+    tokens as written, then words, numbers and CJK grams from short to long. Terms are folded, distinct, two characters
+    or more, and at most `limit`."""
     folded = query.casefold()
-    small = {t for t in re.findall(r"[a-z_][a-z0-9_.:/-]*|[0-9]+|[぀-ヿ㐀-鿿]+", folded) if len(t) > 1}
-    for run in re.findall(r"[぀-ヿ㐀-鿿]+", folded):
-        small |= {run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)}
-    whole = [query.strip()] if 2 <= len(query.strip()) <= 128 else []
-    ordered = [*re.findall(LABELLED, query), *whole, *re.findall(LEXICAL, query), *sorted(small, key=lambda t: (len(t), t))]
-    return list(dict.fromkeys(t.strip().casefold() for t in ordered if len(t.strip()) >= 2))[:limit]
+    found = [m.group(1) for m in re.finditer(LABELLED, query)]
+    if len(query.strip()) in range(2, 129):
+        found.append(query)
+    found += [m.group() for m in re.finditer(LEXICAL, query)]
+    grams = {m.group() for m in re.finditer(TERM, folded)}
+    for m in re.finditer(CJK_RUN, folded):
+        grams.update("".join(g) for n in (2, 3) for g in zip(*(m.group()[k:] for k in range(n)), strict=False))
+    found += sorted(filter(lambda g: len(g) > 1, grams), key=lambda g: (len(g), g))
+    terms: dict[str, None] = {}
+    for term in (t.strip().casefold() for t in found):
+        if len(term) >= 2 and len(terms) < limit:
+            terms.setdefault(term)
+    return list(terms)
 
 
 def term_hits(c: Column, terms: list[str]) -> Column:
     """How many of the terms occur."""
-    folded = fold(c)
-    hits = F.lit(0)
-    for t in terms:
-        hits = hits + folded.contains(t).cast("int")
-    return hits
+    return let(fold(c), lambda folded: reduce(lambda n, t: n + folded.contains(t).cast("int"), terms, F.lit(0)))
 
 
 def error_fingerprint(project: Column, source: Column, kind: Column, message: Column) -> Column:
@@ -138,19 +168,31 @@ def task_fingerprint(prompt: Column, words: int = 12) -> Column:
     return F.sha2(F.array_join(F.slice(F.split(F.lower(py_strip(prompt)), r"(?U)\s+"), 1, words), " "), 256)
 
 
+# Marks of an overflow, the message that stands for all of them, and the one of an error without any.
+OVERFLOW_MARKS = ("NumericValueOutOfRange", "integer out of range")
+OVERFLOW_MESSAGE = "文件元数据大小超出数据库字段范围，完整技术日志已保留。"
+NO_MESSAGE = "知识学习失败"
+
+
 def first_line(c: Column, limit: int = 300) -> Column:
-    """The first line that is not blank."""
-    return F.substring(py_strip(F.element_at(F.filter(F.split(c, "\n"), lambda x: py_strip(x) != ""), 1)), 1, limit)
+    """What an error says: its first line that is not blank (lines end at \\n, \\r or both), cut to `limit`; one message
+    for all overflows, and a default for none."""
+    line = F.try_element_at(F.filter(F.transform(F.split(c, "[\\r\\n]"), py_strip), lambda x: x != ""), F.lit(1))
+    overflow = reduce(lambda a, b: a | b, [c.contains(m) for m in OVERFLOW_MARKS])
+    return F.when(overflow, OVERFLOW_MESSAGE).otherwise(F.coalesce(F.substring(line, 1, limit), F.lit(NO_MESSAGE)))
 
 
 def symbol_score(name: Column, qualified: Column, path: Column, query: str, terms: list[str]) -> Column:
     """How well a symbol fits a query: 10 for the same name, else points for names and path inside it, and terms."""
-    q, n, u, p = F.lit(query.casefold()), fold(name), fold(qualified), fold(path)
+    q = F.lit(query.casefold())
     inside = lambda c, points: F.when((c != "") & F.contains(q, c), float(points)).otherwise(0.0)
-    hits = F.lit(0.0)
-    for t in terms:
-        hits = hits + (n.contains(t) | u.contains(t)).cast("double")
-    return F.when((n == q) | (u == q), 10.0).otherwise(inside(n, 6) + inside(u, 7) + inside(p, 5) + hits)
+
+    def points(s: Column) -> Column:
+        n, u, p = s["n"], s["u"], s["p"]
+        hits = reduce(lambda h, t: h + (n.contains(t) | u.contains(t)).cast("double"), terms, F.lit(0.0))
+        return F.when((n == q) | (u == q), 10.0).otherwise(inside(n, 6) + inside(u, 7) + inside(p, 5) + hits)
+
+    return let(F.struct(fold(name).alias("n"), fold(qualified).alias("u"), fold(path).alias("p")), points)
 
 
 def shortcut_text(path: Column, status: Column, target: Column, kind: Column) -> Column:
@@ -159,6 +201,11 @@ def shortcut_text(path: Column, status: Column, target: Column, kind: Column) ->
     return F.concat_ws("\n", line("relative_path", path), F.lit("entry_type: windows_shortcut"), line("shortcut_target_status", status), line("shortcut_target_path", target), line("shortcut_target_kind", kind))
 
 
+def grams(c: Column, width: int = 3) -> Column:
+    """The distinct stretches of `width` characters of a text, found in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+
+
 def contains_cjk(c: Column) -> Column:
     return c.rlike(r"[㐀-䶿一-鿿]")
 

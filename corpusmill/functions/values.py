@@ -58,7 +58,8 @@ def source_priority(paths: Column, rules: list[tuple[str, int]], default: int =
 
 def code_matches(text: Column, code: Column) -> Column:
     """code stands in text with no ASCII letter or digit beside it."""
-    quoted = F.concat(F.lit(r"(^|[^0-9A-Za-z])\Q"), F.lower(code), F.lit(r"\E($|[^0-9A-Za-z])"))
+    plain = F.regexp_replace(F.lower(code), r"([^0-9a-z])", r"\\$1")
+    quoted = F.concat(F.lit(r"(^|[^0-9A-Za-z])"), plain, F.lit(r"($|[^0-9A-Za-z])"))
     return (F.coalesce(code, F.lit("")) != "") & F.rlike(F.lower(text), quoted)
 
 

@@ -1,10 +1,17 @@
-"""Vector functions over array columns, in double precision."""
+"""Vector functions over array columns, in double precision; the nearest vectors of a set of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries of a block that every task holds, and rows that it compares with them at a time.
+QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,3 +37,42 @@ def byte_embedding(text: Column, size: int = 64) -> Column:
     value = lambda i: F.when(i < F.octet_length(text), (F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("double") + 1) / 256).otherwise(0.0)
     sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(places, lambda i: i % size == k), F.lit(0.0), lambda s, i: s + value(i)))
     return l2_normalise(sums)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, dimensions: int) -> DataFrame:
+    """queries and rows (id, vector) -> query_id, id, distance: the k rows of least cosine distance to each query, exactly;
+    ties by id. Vectors of another size or none are left out.
+
+    Queries go to all tasks in blocks of a bounded size, rows pass by once for each block, and a task keeps the k best of
+    each query; so what is shuffled grows with tasks, not with pairs."""
+    told = queries.where((F.size("vector") == dimensions) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    blocks = -(-told.count() // QUERY_BLOCK)
+    best = None
+    for block in range(max(1, blocks)):
+        part = told.where(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == block).toPandas()
+        shared = rows.sparkSession.sparkContext.broadcast((part["id"].to_numpy(np.int64), _unit(np.array(part["vector"].tolist(), float).reshape(-1, dimensions))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, wanted = shared.value
+            ids, distances = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for b in batches:
+                own = b.column("id").to_numpy(zero_copy_only=False)
+                flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+                for at in range(0, len(own), ROW_BLOCK):
+                    found = 1 - wanted @ _unit(flat[at : at + ROW_BLOCK]).T
+                    ids = np.concatenate([ids, np.broadcast_to(own[at : at + ROW_BLOCK], found.shape)], axis=1)
+                    distances = np.concatenate([distances, found], axis=1)
+                    first = np.lexsort((ids, distances), axis=1)[:, :k]
+                    ids, distances = np.take_along_axis(ids, first, 1), np.take_along_axis(distances, first, 1)
+            n = ids.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(distances.ravel())], ["query_id", "id", "distance"])
+
+        fit = rows.where((F.size("vector") == dimensions) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+        found = fit.mapInArrow(run, "query_id long, id long, distance double")
+        best = found if best is None else best.unionByName(found)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return best.withColumn("n", nth).where(F.col("n") <= k).drop("n")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)

@@ -55,13 +55,16 @@ def reconcile(expected: DataFrame, stored: DataFrame, keys: list[str]) -> DataFr
     return e.join(s, keys, "full_outer").select(*keys, state.alias("state"))
 
 
-def digest_of(rows: DataFrame, key: Column, line: Column, buckets: int = 256) -> DataFrame:
-    """A digest of all rows in the order of their keys, in two levels: rows of a bucket of keys, then the buckets.
-
-    No task holds more than a bucket; more buckets keep it small on larger tables (and make another digest)."""
-    bucket = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    leaves = rows.select(bucket.alias("bucket"), key.alias("key"), F.sha2(line, 256).alias("leaf"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "leaf"))), lambda x: x["leaf"]), "\n")
-    own = leaves.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(ordered, 256).alias("own"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "own"))), lambda x: x["own"]), "\n")
-    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(all_, 256).alias("digest"))
+#: Hexadecimal digits of each of the words that a row's SHA-256 is cut into.
+DIGEST_WORD, DIGEST_WORDS = 15, 4
+
+
+def digest_of(rows: DataFrame, key: Column, line: Column) -> DataFrame:
+    """n and a digest of all rows (key and line), whatever order they come in: words of each row's SHA-256 are summed.
+
+    Sums are combined before they are shuffled, so no task gathers rows, and a key that holds many of them costs no more."""
+    leaf = F.sha2(F.concat_ws("\x1f", key, line), 256)
+    word = lambda k: F.conv(F.substring("leaf", 1 + k * DIGEST_WORD, DIGEST_WORD), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(word(k)), F.lit(0).cast("decimal(30,0)")).cast("string").alias(f"s{k}") for k in range(DIGEST_WORDS)]
+    out = rows.select(leaf.alias("leaf")).agg(F.count("*").alias("n"), *sums)
+    return out.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[f"s{k}" for k in range(DIGEST_WORDS)]), 256).alias("digest"))

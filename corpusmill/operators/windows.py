@@ -15,8 +15,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def sequence_in(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """A gap-free number within each entity."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    """A gap-free number within each entity, however many rows one has: sort by ranges of entity and order, number the
+    part of each entity in each range, add what lies before it."""
+    sort = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    place = F.monotonically_increasing_id()
+    parts = written(sort.withColumn("_p", F.shiftright(place, 33)).withColumn("_i", place.bitwiseAND((1 << 33) - 1)), "ranges")
+    # a row for each entity and range it reaches into: as good as one for each entity
+    sizes = parts.groupBy(F.col(key).alias("_k"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_k", "_q", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    both = parts.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
+    return both.withColumn(name, F.col("_i") + F.col("_offset")).drop("_p", "_i", "_k", "_q", "_offset")
 
 
 def global_sequence(df: DataFrame, order: list[str], name: str) -> DataFrame:

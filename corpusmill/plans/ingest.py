@@ -62,12 +62,9 @@ def conversion_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def conversion_counts(spark: SparkSession, d: str) -> DataFrame:
     """Three grouped counts in one pass."""
-    m = conversion_manifest(spark, d)
-    m.createOrReplaceTempView("manifest_items")
-    return spark.sql(
-        "SELECT CASE grouping_id(lifecycle, action, capability) WHEN 3 THEN 'lifecycle' WHEN 5 THEN 'action' ELSE 'capability' END AS measure, coalesce(lifecycle, action, capability) AS value, count(*) AS n "
-        "FROM manifest_items GROUP BY GROUPING SETS ((lifecycle), (action), (capability))"
-    )
+    keys = ["lifecycle", "action", "capability"]
+    counted = conversion_manifest(spark, d).groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    return counted.select(F.when(F.col("g") == 3, "lifecycle").when(F.col("g") == 5, "action").otherwise("capability").alias("measure"), F.coalesce(*keys).alias("value"), "n")
 
 
 def manifest_digest(spark: SparkSession, d: str) -> DataFrame:
@@ -76,9 +73,9 @@ def manifest_digest(spark: SparkSession, d: str) -> DataFrame:
     return M.digest_of(m, F.col("path"), line)
 
 
-_DIGEST = """leaf AS (SELECT ('0x' || substr(sha256(k), 1, 8))::BIGINT % 256 AS bucket, k, sha256(line) AS leaf FROM src),
-own AS (SELECT bucket, count(*) AS n, sha256(string_agg(leaf, chr(10) ORDER BY k, leaf)) AS own FROM leaf GROUP BY bucket)
-SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce(string_agg(own, chr(10) ORDER BY bucket), '')) AS digest FROM own"""
+_DIGEST = """leaf AS (SELECT sha256(concat_ws(chr(31), k, line)) AS leaf FROM src),
+s AS (SELECT count(*) AS n, """ + ", ".join(f"coalesce(sum(('0x' || substr(leaf, {1 + 15 * k}, 15))::HUGEINT), 0) AS s{k}" for k in range(4)) + """ FROM leaf)
+SELECT n, sha256(concat_ws('|', n, s0, s1, s2, s3)) AS digest FROM s"""
 
 
 def table_receipts(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from corpusmill.functions import vectors as V
 from corpusmill.operators import code as C
 from corpusmill.operators import search as S
 from corpusmill.operators import windows as W
-from corpusmill.sources.tables import read
+from corpusmill.sources.tables import EXTENSIONS, entries, read
 
 QUERY = "erst thing of code: 42"
 TERMS = ["the", "erst", "tion of", "straße", "42"]
@@ -68,6 +68,16 @@ def _vector(e: DataFrame) -> list[float]:
     return [float(x) for x in row[0]] if row else [1.0]
 
 
+NEIGHBOURS = 10
+
+
+def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every fiftieth one, against all, exactly."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    size = e.agg(F.max(F.size("vector"))).first()[0] or 1
+    return V.nearest(e.where("id % 50 = 0"), e, NEIGHBOURS, size).select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 def vector_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").groupBy(F.size("embedding").cast("long").alias("dimensions")).agg(F.count("*").alias("n"))
 
@@ -77,17 +87,32 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("lang")), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
     c = W.chunks(docs.select("doc_id", "text", path.alias("path")), keep=("path",)).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
     v = read(spark, d, "embeddings").select((F.col("vec_id") * 1000).alias("chunk_id"), F.col("embedding").alias("vector"))
-    return c.join(v, "chunk_id", "left").select("chunk_id", "doc_id", "path", F.col("chunk").alias("text"), "vector")
+    return c.join(v, "chunk_id", "left").select("chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "path", F.col("chunk").alias("text"), "vector")
+
+
+def _code(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols, relations and links: every fifth document defines a symbol of its language, which refers to the next one and
+    is mentioned by the document after it."""
+    docs = read(spark, d, "documents").where("doc_id % 5 = 1")
+    name = F.element_at(F.array(*map(F.lit, ("Thing", "erst", "code", "offer", "plain", "Erstthing"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("lang")), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
+    symbols = docs.select(F.col("doc_id").alias("symbol_id"), "doc_id", name.alias("name"), F.concat_ws(".", "lang", name).alias("qualified"), path.alias("path"))
+    relations = docs.select(F.col("doc_id").alias("source_id"), (F.col("doc_id") + 5).alias("target_id"))
+    links = docs.select(F.col("doc_id").alias("symbol_id"), (F.col("doc_id") + 1).alias("doc_id"), F.lit(0.9).alias("score"))
+    return symbols, relations, links
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(_chunks(spark, d), QUERY, _vector(read(spark, d, "embeddings")), 10, *_code(spark, d))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: the ten best chunks for a query by path, text and vector."""
-    found = S.search(_chunks(spark, d), QUERY, _vector(read(spark, d, "embeddings")))
-    return found.select("chunk_id", "doc_id", "path", "score", "reasons", "position")
+    """The flagship: the ten best chunks for a query by path, text, vector and code."""
+    return _found(spark, d).select("chunk_id", "doc_id", "path", "score", "reasons", "position")
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    found = S.search(_chunks(spark, d), QUERY, _vector(read(spark, d, "embeddings")))
+    found = _found(spark, d)
     return S.context(found, BUDGET, PREAMBLE).select("position", "chunk_id", F.col("used").cast("long").alias("used"))
 
 
@@ -147,14 +172,14 @@ def name_resolution(spark: SparkSession, d: str) -> DataFrame:
     return C.resolve(refs, p.where("p_partkey % 3 = 0").select(F.element_at(F.split("p_name", " "), 1).alias("name"), F.col("p_partkey").alias("symbol_id")))
 
 
-MENTIONED = ("ation", "erst", "Thing", "ing", "straße", "qu")
-
-
 def mention_links(spark: SparkSession, d: str) -> DataFrame:
-    """Which of a bounded list of symbols each document mentions; each symbol's list of documents is never gathered."""
-    text = F.lower("text")
-    names = F.array(*[F.when(text.contains(m.lower()), F.lit(m)) for m in MENTIONED if len(m) >= 3])
-    return read(spark, d, "documents").select("doc_id", F.explode(F.array_compact(names)).alias("symbol"), F.lit(0.9).alias("score"))
+    """Which symbols the documents mention, by name or by path. The symbols are named after words of the benchmark."""
+    e = entries(read(spark, d, "documents").withColumn("n_chars", F.col("n_chars"))).select("doc_id", "path")
+    text = F.when(F.col("doc_id") % 50 == 3, F.concat("text", F.lit(" see LIB/mod_"), F.col("doc_id") % 40, F.lit(".py"))).otherwise(F.col("text"))
+    docs = read(spark, d, "documents").select("doc_id", text.alias("text")).join(e, "doc_id")
+    word = F.element_at(F.split("text", " "), (F.col("item_id") % 3 + 1).cast("int"))
+    symbols = read(spark, d, "benchmark").select(F.col("item_id").alias("symbol_id"), F.when(F.col("item_id") % 4 == 0, "module").otherwise("function").alias("kind"), word.alias("name"), F.concat(F.lit("lib/mod_"), F.col("item_id") % 40, F.lit(".py")).alias("path"))
+    return S.mention_links(docs, symbols)
 
 
 def one_hop(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +209,7 @@ def event_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_text, search_projection, chunk_documents, redact_secrets, injection_flags, lexical_term_hits, html_escaped, prompt_fingerprint, vector_topk, vector_dimensions, hybrid_search, context_pack, field_winner, field_conflicts,
+    normalize_text, search_projection, chunk_documents, redact_secrets, injection_flags, lexical_term_hits, html_escaped, prompt_fingerprint, vector_topk, vector_neighbours, vector_dimensions, hybrid_search, context_pack, field_winner, field_conflicts,
     coverage, scope_resolution, code_symbols_fallback, line_islands, name_resolution, mention_links, one_hop, event_sequences, event_tail_page, event_messages,
 )}
 
@@ -211,11 +236,22 @@ p AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS rank FROM (SELEC
 t AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS rank FROM (SELECT chunk_id FROM k WHERE {_some("text", _T)} ORDER BY chunk_id LIMIT 40) JOIN live USING (chunk_id)),
 d AS (SELECT chunk_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS dist FROM k JOIN embeddings ON vec_id * 1000 = chunk_id, q),
 v AS (SELECT chunk_id, row_number() OVER (ORDER BY dist, chunk_id) AS rank FROM (SELECT * FROM d ORDER BY dist, chunk_id LIMIT 20) JOIN live USING (chunk_id)),
-m AS (SELECT chunk_id, min({{'c': c, 'r': rank}}) AS seq FROM (SELECT *, 1 AS c FROM p UNION ALL SELECT *, 2 FROM t UNION ALL SELECT *, 3 FROM v) GROUP BY 1),
+sy0 AS (SELECT doc_id AS symbol_id, doc_id, list_extract(['Thing', 'erst', 'code', 'offer', 'plain', 'Erstthing'], CAST(doc_id % 6 + 1 AS INT)) AS name, lang FROM documents WHERE doc_id % 5 = 1),
+sy1 AS (SELECT *, lang || '.' || name AS qualified FROM sy0 WHERE {_some("name", _T)} OR {_some("lang || '.' || name", _T)} ORDER BY name, symbol_id LIMIT 40),
+sy2 AS (SELECT *, CASE WHEN lower(name) = '{QUERY}' OR lower(qualified) = '{QUERY}' THEN 10.0::DOUBLE ELSE 6.0::DOUBLE * CAST(contains('{QUERY}', lower(name)) AS INT) + 7 * CAST(contains('{QUERY}', lower(qualified)) AS INT) + {" + ".join(f"CAST(contains(lower(name), '{t}') OR contains(lower(qualified), '{t}') AS INT)" for t in _T)} END AS score FROM sy1 WHERE doc_id % 9 <> 0),
+sy AS (SELECT *, row_number() OVER (ORDER BY score DESC, name, symbol_id) AS rank FROM sy2),
+x AS (SELECT chunk_id, row_number() OVER (ORDER BY doc_id, chunk_id) AS rank FROM (SELECT chunk_id, doc_id FROM k WHERE doc_id IN (SELECT doc_id FROM sy) ORDER BY doc_id, chunk_id LIMIT 40) JOIN live USING (chunk_id)),
+hot AS (SELECT * FROM sy WHERE rank <= 20 AND score > 0),
+rel AS (SELECT symbol_id AS a, symbol_id + 5 AS b FROM sy0 WHERE symbol_id IN (SELECT symbol_id FROM sy) ORDER BY 1, 2 LIMIT 80),
+lnk AS (SELECT symbol_id, doc_id + 1 AS doc_id, 0.9::DOUBLE AS score FROM sy0 WHERE symbol_id IN (SELECT symbol_id FROM sy) ORDER BY 1, 2 LIMIT 80),
+m AS (SELECT chunk_id, min({{'c': c, 'r': rank}}) AS seq FROM (SELECT *, 1 AS c FROM p UNION ALL SELECT *, 2 FROM t UNION ALL SELECT *, 3 FROM v UNION ALL SELECT *, 4 FROM x) GROUP BY 1),
 r AS (SELECT chunk_id, doc_id, path, text, seq, {_hits("text", _T)} AS hits FROM m JOIN k USING (chunk_id)),
-w AS (SELECT *, row_number() OVER (ORDER BY hits DESC, seq) AS rank FROM r QUALIFY rank <= 20),
+w AS (SELECT *, row_number() OVER (ORDER BY hits DESC, seq) AS rank FROM r WHERE seq.c < 4 QUALIFY rank <= 20),
 s AS (SELECT chunk_id, 2 + 1 / rank AS part, 'exact_path' AS reason, 1 AS ch, rank FROM p UNION ALL SELECT chunk_id, 1 / (60 + rank), 'vector', 2, rank FROM v UNION ALL SELECT chunk_id, 1 / (60 + rank), 'keyword', 3, rank FROM w
-  UNION ALL SELECT chunk_id, 1.0, 'exact_text', 4, rank FROM w WHERE contains({_FOLD.format("text")}, '{QUERY.casefold()}')),
+  UNION ALL SELECT chunk_id, 1.0, 'exact_text', 4, rank FROM w WHERE contains({_FOLD.format("text")}, '{QUERY.casefold()}')
+  UNION ALL SELECT chunk_id, 1 / (30 + hot.rank), 'code_symbol', 5, hot.rank FROM hot JOIN r USING (doc_id)
+  UNION ALL SELECT chunk_id, 1 / 45, 'code_relation', 6, 0 FROM (SELECT DISTINCT sy.doc_id FROM sy JOIN rel ON b = sy.symbol_id WHERE a IN (SELECT symbol_id FROM hot)) JOIN r USING (doc_id)
+  UNION ALL SELECT chunk_id, lnk.score / 45, 'code_document_link', 7, 0 FROM lnk JOIN r USING (doc_id) WHERE lnk.symbol_id IN (SELECT symbol_id FROM hot)),
 g AS (SELECT chunk_id, round(sum(part), 9) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, min({{'a': ch, 'r': rank}}) AS f FROM s GROUP BY 1),
 o AS (SELECT g.*, doc_id, path, text, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f, chunk_id) > 2 AS over FROM g JOIN r USING (chunk_id)),
 res AS (SELECT *, row_number() OVER (ORDER BY over, score DESC, f, chunk_id) AS position FROM o QUALIFY position <= 10)"""
@@ -249,7 +285,13 @@ ORACLE = {
     "line_islands": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N'), r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM l) SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM r GROUP BY l_orderkey, g",
     "name_resolution": """WITH s AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS k FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_partkey AS source_id, 'lib::' || split_part(p_name, ' ', -1) || '(x)' AS target, lower(split_part(p_name, ' ', -1)) AS k FROM part)
       SELECT source_id, target, min(id) AS target_id, CASE WHEN min(id) IS NULL THEN 0.65::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM r LEFT JOIN s ON r.k = s.k AND id <> source_id GROUP BY 1, 2""",
-    "mention_links": " UNION ALL ".join(f"SELECT doc_id, '{m}' AS symbol, 0.9::DOUBLE AS score FROM documents WHERE contains(lower(text), '{m.lower()}')" for m in MENTIONED if len(m) >= 3),
+    "mention_links": f"""WITH d AS (SELECT doc_id, lower(CASE WHEN doc_id % 50 = 3 THEN text || ' see LIB/mod_' || doc_id % 40 || '.py' ELSE text END) AS t FROM documents WHERE list_extract([{", ".join(map(repr, EXTENSIONS))}], CAST(doc_id % {len(EXTENSIONS)} + 1 AS INT)) NOT IN ('.py', '.sql')),
+      s AS (SELECT item_id AS symbol_id, item_id % 4 = 0 AS module, lower(string_split(text, ' ')[item_id % 3 + 1]) AS n, 'lib/mod_' || item_id % 40 || '.py' AS p FROM benchmark),
+      m AS (SELECT doc_id, symbol_id, module, length(n) >= 3 AND contains(replace(t, 'ß', 'ss'), replace(n, 'ß', 'ss')) AS named, contains(t, p) AS placed FROM d, s)
+      SELECT doc_id, symbol_id, CASE WHEN module AND placed THEN 'code_path_mention' WHEN module THEN 'module_name_mention' WHEN named THEN 'symbol_name_mention' ELSE 'code_path_context' END AS method,
+        CASE WHEN module AND placed THEN 1.0::DOUBLE WHEN module THEN 0.82::DOUBLE WHEN named THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS score FROM m WHERE named OR placed""",
+    "vector_neighbours": f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS dist FROM q, embeddings)
+      SELECT query_id, vec_id, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) <= {NEIGHBOURS}""",
     "one_hop": "WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)) SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN s USING (l_suppkey) GROUP BY 1",
     "event_sequences": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS user_sequence, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS type_sequence, row_number() OVER (ORDER BY ts, event_id) AS global_sequence FROM events",
     "event_tail_page": "SELECT event_id, event_type FROM events WHERE event_id < 800 ORDER BY event_id DESC LIMIT 50",

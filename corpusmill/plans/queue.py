@@ -63,12 +63,13 @@ def queue_backoff(spark: SparkSession, d: str) -> DataFrame:
 def issue_dashboard_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """Total and four one-key counts in one pass; a missing key is named, and told apart from the total."""
     e = read(spark, d, "events")
-    e.selectExpr("event_type AS status", "CASE WHEN value > 90 THEN 'high' WHEN value > 50 THEN 'low' END AS severity", "CASE user_id % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'internal' END AS boundary").createOrReplaceTempView("issue_rows")
-    return spark.sql(
-        "SELECT CASE grouping_id(status, severity, boundary) WHEN 7 THEN 'total' WHEN 3 THEN 'status' WHEN 5 THEN 'severity' ELSE 'boundary' END AS measure, "
-        "CASE grouping_id(status, severity, boundary) WHEN 7 THEN 'all' WHEN 3 THEN coalesce(status, 'unclassified') WHEN 5 THEN coalesce(severity, 'unclassified') ELSE coalesce(boundary, 'undetermined') END AS value, count(*) AS n "
-        "FROM issue_rows GROUP BY GROUPING SETS ((), (status), (severity), (boundary))"
-    )
+    rows = e.selectExpr("event_type AS status", "CASE WHEN value > 90 THEN 'high' WHEN value > 50 THEN 'low' END AS severity", "CASE user_id % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'internal' END AS boundary")
+    keys = ["status", "severity", "boundary"]
+    counted = rows.groupingSets([[], *([k] for k in keys)], *keys).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    measure = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "status").when(F.col("g") == 5, "severity").otherwise("boundary")
+    named = lambda k, none: F.coalesce(k, F.lit(none))
+    value = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, named("status", "unclassified")).when(F.col("g") == 5, named("severity", "unclassified")).otherwise(named("boundary", "undetermined"))
+    return counted.select(measure.alias("measure"), value.alias("value"), "n")
 
 
 def issue_fold_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -104,13 +105,15 @@ def audit_event_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def idempotent_admission(spark: SparkSession, d: str) -> DataFrame:
-    """The first request of a key is admitted; the same again is a replay, another one a conflict."""
+    """The first request of a key is admitted; the same again is a replay, another one a conflict. Even turns come twice.
+
+    The first request of each key is combined before the shuffle; no window holds the requests of a key."""
     c = read(spark, d, "conversations")
-    rows = c.select((F.col("conv_id") % 50).alias("key"), "conv_id", "turn", F.md5(F.concat_ws("|", "role", F.substring("text", 1, 3))).alias("hash"))
-    w = Window.partitionBy("key").orderBy("conv_id", "turn")
-    first = F.first("hash").over(w)
-    outcome = F.when(F.row_number().over(w) == 1, "admitted").when(F.col("hash") == first, "replay").otherwise("conflict")
-    return rows.select("key", "conv_id", "turn", outcome.alias("outcome"))
+    rows = c.select(F.col("conv_id").alias("key"), "turn", F.sha2(F.concat_ws("\x1f", "role", "text"), 256).alias("hash"), F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("attempt"))
+    order = F.struct("attempt", "turn")
+    first = rows.groupBy("key").agg(F.min_by("hash", order).alias("held"), F.min(order).alias("first"))
+    outcome = F.when(order == F.col("first"), "admitted").when(F.col("hash") == F.col("held"), "replay").otherwise("conflict")
+    return rows.join(first, "key").select("key", "turn", "attempt", outcome.alias("outcome"))
 
 
 def cancel_vs_complete(spark: SparkSession, d: str) -> DataFrame:
@@ -172,8 +175,8 @@ ORACLE = {
       SELECT command, kind, CASE WHEN kind = 'file_change' THEN 'allow' WHEN command IN ('rm -fr /tmp', 'git reset --hard', 'format c:') THEN 'deny' WHEN command = 'curl x' THEN 'approval_required' ELSE 'allow' END AS decision, count(*) AS n FROM p GROUP BY 1, 2, 3""",
     "audit_task_summary": "SELECT user_id, count(*) AS events, last(event_type ORDER BY ts, event_id) AS last_type, max(event_id) AS last_event FROM events GROUP BY 1",
     "audit_event_join": "SELECT event_id, user_id, event_type FROM events JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING' AND event_id > 100 ORDER BY event_id LIMIT 500",
-    "idempotent_admission": """WITH r AS (SELECT conv_id % 50 AS key, conv_id, turn, md5(role || '|' || substr(text, 1, 3)) AS h FROM conversations)
-      SELECT key, conv_id, turn, CASE WHEN row_number() OVER w = 1 THEN 'admitted' WHEN h = first_value(h) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM r WINDOW w AS (PARTITION BY key ORDER BY conv_id, turn)""",
+    "idempotent_admission": """WITH r AS (SELECT conv_id AS key, turn, attempt, role, text FROM conversations, (VALUES (0), (1)) a(attempt) WHERE attempt = 0 OR turn % 2 = 0)
+      SELECT key, turn, attempt, CASE WHEN row_number() OVER w = 1 THEN 'admitted' WHEN role = first_value(role) OVER w AND text = first_value(text) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM r WINDOW w AS (PARTITION BY key ORDER BY attempt, turn)""",
     "cancel_vs_complete": "SELECT l_orderkey, first(CASE WHEN l_returnflag = 'R' THEN 'cancelled' ELSE 'completed' END ORDER BY l_shipdate, l_returnflag DESC) AS decision FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1",
     "access_filtered_rows": "SELECT c_custkey, c_nationkey FROM customer WHERE (c_custkey % 3 = 0 AND c_nationkey = 7) OR (c_custkey % 3 = 1 AND c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'))",
     "learning_threshold": "SELECT user_id, CASE event_type WHEN 'error' THEN 'failure' ELSE 'success' END AS kind, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2 HAVING (kind = 'success' AND n >= 3) OR (kind = 'failure' AND n >= 2)",

@@ -246,7 +246,9 @@ def harness_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_lines(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("\n \n"), F.substring("text", 1, 400))
+    """What each text would say as an error; some have carriage returns, some overflow, some say nothing."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\r\n \r"), F.replace("text", F.lit(". "), F.lit(".\r")))).when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit("\nNumericValueOutOfRange: ")))
+    text = text.when(F.col("doc_id") % 7 == 2, F.lit(" \r\n\t")).otherwise(F.concat(F.lit("\n \n"), "text"))
     return read(spark, d, "documents").select("doc_id", F.md5(X.first_line(text)).alias("digest"), X.contains_cjk(F.col("text")).alias("cjk"))
 
 
@@ -321,7 +323,9 @@ ORACLE = {
     "memory_promotion": "SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'promoted' ELSE 'approved' END ELSE 'rejected' END AS status FROM labels",
     "archive_paths": "SELECT doc_id, source || '#history/' || doc_id AS path, 'archive' AS scope FROM documents WHERE doc_id % 10 IN (1, 2)",
     "harness_score": "SELECT l_orderkey, round(100.0::DOUBLE * (count(*) FILTER (WHERE l_returnflag = 'R') + count(*) FILTER (WHERE l_linestatus = 'O')) / greatest(1, count(*)), 2) AS score FROM lineitem GROUP BY 1",
-    "error_lines": "SELECT doc_id, md5(substr(trim(list_filter(string_split(substr(text, 1, 400), chr(10)), lambda x: trim(x) <> '')[1]), 1, 300)) AS digest, regexp_matches(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]') AS cjk FROM documents",
+    "error_lines": """WITH t AS (SELECT doc_id, text, CASE doc_id % 7 WHEN 0 THEN chr(13) || chr(10) || ' ' || chr(13) || replace(text, '. ', '.' || chr(13)) WHEN 2 THEN ' ' || chr(13) || chr(10) || chr(9) ELSE text END AS m FROM documents),
+      l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(m, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')[1] AS line FROM t)
+      SELECT doc_id, md5(CASE WHEN doc_id % 7 = 1 THEN '文件元数据大小超出数据库字段范围，完整技术日志已保留。' ELSE coalesce(substr(line, 1, 300), '知识学习失败') END) AS digest, regexp_matches(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]') AS cjk FROM l""",
     "symbol_scores": """WITH p AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS n, lower(p_brand) || '.' || lower(split_part(p_name, ' ', 1)) AS u FROM part),
       s AS (SELECT p_partkey, CAST(5 + 6 * CAST(contains('blue lib/part red', n) AS INT) + CAST(contains(u, 'blue') AS INT) + CAST(contains(u, 're') AS INT) + CAST(contains(u, 'brand') AS INT) AS DOUBLE) AS score FROM p) SELECT * FROM s""",
     "python_symbols": """SELECT p_partkey AS doc_id, 'class' AS kind, 'C' || p_partkey AS qualified_name, 1 AS start_line, 3 AS end_line, 'go.fast,len' AS calls FROM part WHERE p_size % 10 <> 0

@@ -31,11 +31,14 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a folder of this machine will
+    do as long as all of Spark runs on it; on a cluster each executor would write to a disk of its own, so there it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = option.get() if option.isDefined() else None
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -55,10 +58,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all tables and archives written to the shared folder so far. Results that read them must be stored before."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def mark() -> int:
+    """How many tables and archives have been written so far; release() can start from here."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove the tables and archives written to the shared folder since a mark, but for `keep`. Results that read them
+    must be stored before."""
+    gone = [p for p in _WRITTEN[since:] if p not in keep]
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

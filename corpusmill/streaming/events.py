@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.functions import text as X
-from corpusmill.sources.tables import read, shared_path
+from corpusmill.sources.tables import importable, read, shared_path
 
 LEASE_SECONDS, MAX_ATTEMPTS = 60, 3
 
@@ -30,13 +31,23 @@ def drained(stream: DataFrame, name: str, checkpoint: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def latest_state(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The last result of an aggregation over all that is there now."""
+def latest_state(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The result of an aggregation over all that is there now. With `keys` the stream tells changes, and the last one of
+    each key holds, whichever micro-batch brought it; without, each micro-batch tells the whole result.
+
+    Every micro-batch has a folder of its own, so one that is repeated replaces itself."""
     spark = stream.sparkSession
     out = shared_path(spark, name)
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/_batch=-1")
+    keep = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/_batch={batch}")
+    query = stream.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", shared_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    columns = stream.columns
+    batches = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).option("basePath", out).parquet(f"{out}/_batch=*")
+    if keys:
+        return batches.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*").select(*columns)
+    last = batches.agg(F.max("_batch").alias("_last"))
+    return batches.join(F.broadcast(last), F.col("_batch") == F.col("_last")).select(*columns)
 
 
 def resumed(events: DataFrame, after: int) -> DataFrame:
@@ -88,6 +99,7 @@ def leases(commands: DataFrame) -> DataFrame:
         group.update(state)
         yield pd.DataFrame({"item": [key[0]], "status": [state[0]], "attempts": [state[1]]})
 
+    importable(commands.sparkSession)
     return commands.groupBy("item").applyInPandasWithState(run, "item long, status string, attempts long", "status string, attempts long, until double", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -121,7 +133,7 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
 def stream_queue_leases(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
     commands = source(spark, d).select(F.col("user_id").alias("item"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("n"), kind.alias("kind"))
-    return latest_state(leases(commands), "leases", "update")
+    return latest_state(leases(commands), "leases", ("item",))
 
 
 QUERIES = {f.__name__: f for f in (stream_event_resume, stream_filtered_events, stream_issue_fold, stream_deduplicated, stream_event_windows, stream_queue_leases)}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,120 @@ def test_formats():
     assert G.printable_runs("ab\0hello\x01 wo \x02    \x03tab\tok") == ["hello", "wo", "tab\tok"]
     got = G.python_symbols("class A:\n    def f(self):\n        return g(1)\n\ndef g(x):\n    return x\n")
     assert [(k, q, a, b, c) for k, _, q, a, b, _, c in got] == [("class", "A", 1, 3, ["g"]), ("method", "A.f", 2, 3, ["g"]), ("function", "g", 5, 6, [])]
+
+
+def test_folding_and_old_names(spark):
+    """Case folding of every letter that has one, alone and in words; old copies in any width of writing."""
+    import sys
+
+    special = [c for c in map(chr, range(sys.maxunicode + 1)) if c.lower() != c.casefold()]
+    assert all(re.search(X.FOLDS_OTHERWISE.replace("\\x{", "\\u{").replace("\\u{", "\\x{") and "[µŉſǰͅ-֐Ꭰ-ῼꭓ-ꮿﬀ-ﬗ]", c.lower()) for c in special if c.lower() != "ß")
+    texts = ["".join(special[i : i + 40]) for i in range(0, len(special), 40)] + ["ΟΔΥΣΣΕΥΣ ὈΔΥΣΣΕΎΣ", "ﬁnal ſtraße ẞ", "plain Äö", ""]
+    assert one(spark, texts, X.fold) == [t.casefold() for t in texts]
+    paths = ["a/ｏｌｄ/b", "a/ﾊﾞｯｸｱｯﾌﾟ/b", "a/バックアップ/b", "a/ＢＡＫ/b", "a/ｏｌｄｅｒ/b", "a/旧＿x/b", "a#ｈistory/b", "ｏｌｄ", "日本/仕様/b"]
+    assert one(spark, paths, P.is_historical) == [True, True, True, True, False, True, True, False, False]
+
+
+def test_terms_of_texts(spark):
+    assert X.query_terms("Find\nCode: 0276\n正式名: 滋賀大学", 4) == ["0276", "滋賀大学", "find\ncode: 0276\n正式名: 滋賀大学", "find"]
+    assert X.query_terms("a") == [] and X.query_terms("erst") == ["erst"]
+    assert [sorted(g) for g in one(spark, ["abcab", "ab", "日本語x"], X.grams)] == [["abc", "bca", "cab"], [], ["日本語", "本語x"]]
+
+
+def test_errors(spark):
+    texts = ["\r\n \r second\rthird", "NumericValueOutOfRange: x", "an integer out of range", " \n\r", "x" * 400]
+    assert one(spark, texts, X.first_line) == ["second", X.OVERFLOW_MESSAGE, X.OVERFLOW_MESSAGE, X.NO_MESSAGE, "x" * 300]
+
+
+def test_codes(spark):
+    from corpusmill.functions import values as V
+
+    codes = ["a\\E", "42", "x.y", "", None, "(z", "é"]
+    texts = ["see a\\E.", "n42", "x.y", "a", "a", "((z)", "é"]
+    df = spark.createDataFrame(list(zip(texts, codes, strict=True)), "t string, c string")
+    assert [r.m for r in df.select(V.code_matches(F.col("t"), F.col("c")).alias("m")).collect()] == [True, False, True, False, False, True, True]
+
+
+def test_substring_index_loses_nothing(spark):
+    from corpusmill.operators import search as H
+
+    r = random.Random(3)
+    texts = [(i, "".join(r.choices("abcß ", k=r.randrange(0, 60)))) for i in range(80)]
+    needles = [(i, "".join(r.choices("abcs ", k=r.randrange(1, 6)))) for i in range(40)] + [(99, "abc"), (98, "abc")]
+    t, n = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(needles, "needle_id long, needle string")
+    got = {tuple(x) for x in H.holding(H.gram_index(t, "doc_id"), t, n, "doc_id").collect()}
+    assert got == {(d, i) for d, x in texts for i, y in needles if len(y) >= 3 and y in x.casefold()}
+
+
+def test_nearest(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5))
+    x[7] = x[9]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0]), (901, None), (None, [0.0] * 5)], "id long, vector array<double>")
+    monkeypatch.setattr(V, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(V, "ROW_BLOCK", 16)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in V.nearest(rows.where("id % 20 = 7 OR id = 9"), rows, 4, 5).orderBy("query_id", "distance", "id").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q, ids in got.items():
+        d = np.round(1 - unit @ unit[q], 12)
+        assert ids == sorted(range(300), key=lambda i: (d[i], i))[:4]
+    assert len(got) == 16
+
+
+def test_sequences_of_a_hot_entity(spark):
+    rows = [(i, "hot" if i % 3 else f"e{i % 7}", i * 7 % 1000) for i in range(1000)] + [(5000, None, 1), (5001, None, 2)]
+    out = W.sequence_in(spark.createDataFrame(rows, "i int, k string, t int"), "k", ["t", "i"], "n")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append((r.t, r.i, r.n))
+    assert len(got) == 9 and all([n for *_, n in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_digest_ignores_order_alone(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (3, "a")], "k int, v string")
+    of = lambda d: tuple(M.digest_of(d, F.col("k").cast("string"), F.col("v")).first())
+    assert of(df) == of(df.repartition(3).orderBy(F.desc("k"))) and of(df)[0] == 4
+    assert len({of(df), of(df.distinct()), of(df.withColumn("v", F.lit("a"))), of(df.limit(0))}) == 4
+
+
+def stream_of(spark, tmp_path, batches, schema):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files come in the order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_states_hold_over_micro_batches(spark, tmp_path):
+    """Every file is a micro-batch of its own: items that a later one does not name keep what an earlier one gave them;
+    a lease that ran out is taken again, and attempts run out."""
+    batches = [
+        [(1, 0.0, 1, "claim"), (2, 0.0, 2, "claim")], [(2, 10.0, 3, "complete"), (3, 10.0, 4, "claim")], [(1, 100.0, 5, "claim"), (3, 20.0, 6, "fail")],
+        [(3, 60.0, 7, "claim"), (3, 61.0, 8, "fail")], [(3, 200.0, 9, "claim"), (3, 201.0, 10, "fail"), (4, 1.0, 11, "heartbeat")],
+    ]
+    stream = stream_of(spark, tmp_path, batches, "item long, at double, n long, kind string")
+    out = {r.item: (r.status, r.attempts) for r in E.latest_state(E.leases(stream), "leases-test", ("item",)).collect()}
+    assert out == {1: ("leased", 2), 2: ("done", 1), 3: ("failed", 3), 4: ("queued", 0)}
+    counted = E.latest_state(stream.groupBy("item").agg(F.count("*").alias("c")), "count-test")
+    assert {r.item: r.c for r in counted.collect()} == {1: 2, 2: 2, 3: 6, 4: 1}
+
+
+def test_no_shared_folder_off_one_machine():
+    """Without a folder that all executors share, only a local master may write."""
+    from types import SimpleNamespace as N
+
+    from corpusmill.sources import tables as T
+
+    none = N(isDefined=lambda: False)
+    context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), setCheckpointDir=lambda folder: None)
+    session = N(conf=N(get=lambda key, default: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        T.shared_folder(session)
+    context.master = "local[2]"
+    assert T.shared_folder(session)
+    session.conf.get = lambda key, default: "/shared"
+    context.master = "yarn"
+    assert T.shared_folder(session) == "/shared"
