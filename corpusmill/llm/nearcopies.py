@@ -133,8 +133,11 @@ def settled(nodes: np.ndarray, fps: np.ndarray, bins: np.ndarray, least: float)
 def verified(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
     """Rows (node, node): links of at least `least` on the sets, between nodes that neither labels nor earlier links join."""
     a, b, _ = near_pairs(np.array([fingerprint_of(h) for h in sets], np.uint64), np.array([bins_of(h) for h in sets]), least)
-    group = dict(enumerate(np.unique(labels, return_inverse=True)[1].tolist()))
-    root = list(range(len(group)))
+    sizes = np.array([len(h) for h in sets])
+    may = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= np.maximum(1, least * np.maximum(sizes[a], sizes[b]) - 1e-9))
+    a, b = a[may], b[may]
+    group = np.unique(labels, return_inverse=True)[1].tolist()
+    root = list(range(len(sets)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -142,15 +145,22 @@ def verified(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], leas
             i = root[i]
         return i
 
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(group[i]), find(group[j])
-        if x == y or min(len(sets[i]), len(sets[j])) < least * max(len(sets[i]), len(sets[j])):
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    present, out = np.zeros(len(values), bool), []
+    for i in np.unique(a).tolist():
+        js = [j for j in b[a == i].tolist() if find(group[i]) != find(group[j])]
+        if not js:
             continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
-            root[x] = y
-            out.append((nodes[i], nodes[j]))
+        present[own[i]] = True
+        n = sizes[js]
+        both = np.add.reduceat(present[np.concatenate([own[j] for j in js])], np.cumsum(n) - n, dtype=np.int64)
+        present[own[i]] = False
+        for j in np.array(js)[both >= least * (sizes[i] + n - both) - 1e-9].tolist():
+            x, y = find(group[i]), find(group[j])
+            if x != y:
+                root[x] = y
+                out.append((nodes[i], nodes[j]))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -175,7 +185,10 @@ def near_links(classes: DataFrame, least: float = SIMILARITY, tile: int = TILE)
 
 def verified_links(open_: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """open_ (unit, node), labels (node, label) of the groups so far, sets (node, shingles) -> (a, b): further links."""
-    told = open_.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")).join(sets, "node")
+    labelled = write_cut(open_.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "open-labels")
+    # units whose nodes have all met by now have nothing left to verify
+    several = labelled.groupBy("unit").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("unit")
+    told = labelled.join(several, "unit", "left_semi").join(sets, "node")
 
     def links(parts: list[tuple]) -> pa.RecordBatch:
         nodes, labels_ = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
