@@ -67,3 +67,57 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def applicable(start: Column, end: Column, at: Column) -> Column:
     """at lies in [start, end); a null bound is open."""
     return (start.isNull() | (start <= at)) & (end.isNull() | (at < end))
+
+
+def resolution_mode(side: Column, proposed: Column) -> Column:
+    """What a proposed way to resolve an issue becomes on the side that it lies on."""
+    return (
+        F.when(side == "scope", "out_of_scope")
+        .when(side.isin("external", "credential"), F.when(proposed == "mixed", "mixed").otherwise("external"))
+        .when((side == "internal") & proposed.isin("agent", "human_code", "mixed", "undetermined"), proposed)
+        .otherwise("undetermined")
+    )
+
+
+# Errors that are input errors or failures of a tool, by the names of their classes.
+READ_ERRORS = ("OSError", "BlockingIOError", "ConnectionError", "FileNotFoundError", "InterruptedError", "IsADirectoryError", "NotADirectoryError", "TimeoutError")
+RUN_ERRORS = ("RuntimeError", "NotImplementedError", "RecursionError")
+
+
+def rejection_reason(error: Column, path: Column, own: Column | None = None) -> Column:
+    """Why a file was rejected: the reason that the error brings itself, else one by its class, and for PDF by the file."""
+    from corpusmill.functions.paths import suffix
+
+    by_class = (
+        F.when(error == "UnicodeDecodeError", "encoding_unsupported").when(error == "BadZipFile", "office_archive_invalid").when(error == "PermissionError", "file_permission_denied")
+        .when(error.isin(*READ_ERRORS), "file_read_error").when(suffix(path) == ".pdf", "pdf_unreadable").when(error.isin(*RUN_ERRORS), "extractor_unavailable").otherwise("extractor_rejected")
+    )
+    return by_class if own is None else F.coalesce(own, by_class)
+
+
+# Kinds of repositories that a field may name.
+REPOSITORY_TYPES = ("svn", "subversion", "git", "gitlab", "github", "tfs")
+
+
+def extraction_reasons(contracts: dict[str, tuple[str, tuple[str, ...]]], allowed: list[int], cited: Column) -> Column:
+    """Every reason to refuse an extracted field (columns field_code, value, option_id, confidence, evidence), in order.
+
+    contracts: field -> its type and options; allowed: the pieces of evidence that were shown; cited: their text."""
+    code, value, option, confidence, evidence = (F.col(c) for c in ("field_code", "value", "option_id", "confidence", "evidence"))
+    of_type = lambda *types: code.isin(*[c for c, (t, _) in contracts.items() if t in types])
+    choices = [(c, o) for c, (t, o) in contracts.items() if t in ("enum", "master_reference")]
+    allows = F.lit(False)
+    for c, options in choices:
+        allows = allows | ((code == c) & F.coalesce(option.isin(*options), F.lit(False)))
+    choosing = of_type("enum", "master_reference")
+    objects = F.from_json(value, "array<struct<repository_type:string>>")
+    named = F.transform(objects, lambda o: F.lower(F.trim(o["repository_type"])))
+    fits = F.coalesce(F.forall(named, lambda t: t.isNotNull()), F.lit(False))
+    uncited = F.exists(named, lambda t: ~F.coalesce(t.isin(*REPOSITORY_TYPES) & F.contains(F.lower(cited), t), F.lit(False)))
+    shown = F.coalesce((F.size(evidence) > 0) & F.forall(evidence, lambda x: x.isin(*allowed)), F.lit(False))
+    reasons = (
+        (~code.isin(*contracts), "field_not_requested"), (~shown, "evidence_not_authoritative"), (~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence_invalid"),
+        (choosing & ~allows, "option_not_allowed"), (~choosing & option.isNotNull(), "option_not_applicable"), (of_type("object_list") & ~fits, "object_schema_invalid"),
+        (F.coalesce(value, F.lit("")) == "", "value_empty"), ((code == "repositories") & F.coalesce(uncited, F.lit(False)), "repository_type_not_cited"),
+    )
+    return F.array_compact(F.array(*[F.when(hit, reason) for hit, reason in reasons]))

@@ -16,15 +16,11 @@ _ENTRIES = f"""e AS (SELECT doc_id, source, lang, n_chars, source || '/' || lang
 MOST = 20_000
 
 
-def _in(values: tuple[str, ...]) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
-_ROUTE = f"""CASE WHEN ext = '.lnk' THEN 'path_only|windows_shortcut' WHEN ext IN {_in(P.METADATA_ONLY)} THEN 'metadata_only|metadata_only_policy' WHEN n_chars > {MOST} THEN 'metadata_only|file_too_large'
-  WHEN n_chars = 0 THEN 'path_only|empty_file_path_only' WHEN ext IN {_in(P.CODE)} THEN 'code|' WHEN ext IN {_in((*P.SUPPORTED, *P.OTHER_DOCUMENT))} THEN 'document|' ELSE 'document|content_probe_required' END"""
+_ROUTE = f"""CASE WHEN ext = '.lnk' THEN 'path_only|windows_shortcut' WHEN ext IN ('.gz') THEN 'metadata_only|metadata_only_policy' WHEN n_chars > {MOST} THEN 'metadata_only|file_too_large'
+  WHEN n_chars = 0 THEN 'path_only|empty_file_path_only' WHEN ext IN ('.py', '.sql') THEN 'code|' WHEN ext IN ('.txt', '.md', '.doc', '.zip', '.png') THEN 'document|' ELSE 'document|content_probe_required' END"""
 _ROUTED = f"{_ENTRIES}, r AS (SELECT *, split_part({_ROUTE}, '|', 1) AS mode, nullif(split_part({_ROUTE}, '|', 2), '') AS reason FROM e)"
-_MANIFEST = f"""{_ROUTED}, c AS (SELECT *, CASE WHEN mode = 'path_only' OR ext = '.lnk' THEN 'path_knowledge' WHEN ext IN {_in(P.SUPPORTED)} THEN 'supported_text' WHEN ext IN {_in(P.PLANNED_OCR)} THEN 'planned_ocr'
-    WHEN ext IN {_in(P.PLANNED_TEXT)} THEN 'planned_text' WHEN ext IN {_in(P.METADATA_ONLY)} THEN 'safe_unpack_candidate' WHEN ext IN {_in(P.NEVER_EXTRACT)} THEN 'binary_metadata' WHEN ext IN {_in(P.SENSITIVE)} THEN 'sensitive_metadata' ELSE 'content_probe_required' END AS capability,
+_MANIFEST = f"""{_ROUTED}, c AS (SELECT *, CASE WHEN mode = 'path_only' OR ext = '.lnk' THEN 'path_knowledge' WHEN ext IN ('.txt', '.py', '.sql', '.md') THEN 'supported_text' WHEN ext IN ('.png') THEN 'planned_ocr'
+    WHEN ext IN ('.doc') THEN 'planned_text' WHEN ext IN ('.gz') THEN 'safe_unpack_candidate' WHEN ext IN ('.exe') THEN 'binary_metadata' WHEN ext IN ('.pem') THEN 'sensitive_metadata' ELSE 'content_probe_required' END AS capability,
     CASE WHEN NOT present OR status = 'removed' THEN 'removed' WHEN status = 'indexed' AND has_document THEN 'indexed' WHEN status IN ('rejected', 'failed', 'extraction_failed') THEN 'rejected' WHEN active THEN 'processing'
     WHEN mode = 'metadata_only' OR status = 'metadata_only' THEN 'metadata_only' WHEN mode = 'path_only' AND has_document THEN 'indexed' ELSE 'discovered' END AS lifecycle FROM r),
 m AS (SELECT *, CASE WHEN lifecycle = 'removed' THEN 'metadata_only|historical_removed' WHEN mode = 'path_only' THEN 'path_only|' || coalesce(reason, 'path_semantic') WHEN lifecycle = 'indexed' AND has_document THEN 'backfill_object|indexed_without_artifact'

@@ -43,8 +43,9 @@ def queue_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_missing_items(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without any order: tasks that have no queue item."""
-    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an item in one of the queues: tasks that have no queue item."""
+    items = read(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, d, "customer").select("c_custkey").join(items, "c_custkey", "left_anti")
 
 
 def no_active_run(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +88,15 @@ def issue_boundary(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("b.boundary", "b.confidence").agg(F.count("*").alias("n"), F.sum(R.severity_priority(F.lower(F.substring_index("o_orderpriority", "-", -1)))).alias("priority"))
 
 
+COMMANDS = (
+    "git status", "rm -fr /tmp", "git reset --hard", "pytest -q", "curl x", " npm run build", "format c:", "svn info", "RM -R x", "rmdir /s x", "git clean -fd", "diskpart", "cipher /w", "git log -3", "git diff", "python -m pytest t",
+    "git clone u", "git push", "svn export u", "svn commit", "pnpm test", "npm publish", "Get-Content f", "tesseract ocr", "rgx y", "rg x", "rm file", "information", "git reset --soft", "sudo rm -r /", "echo git status", "npm run format",
+)
+
+
 def command_policy(spark: SparkSession, d: str) -> DataFrame:
-    command = F.element_at(F.array(*map(F.lit, ("git status", "rm -fr /tmp", "git reset --hard", "pytest -q", "curl x", " npm run build", "format c:", "svn info"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    """Commands of every kind that the policy tells apart, and near misses."""
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("p_partkey") % len(COMMANDS) + 1).cast("int"))
     p = read(spark, d, "part").select(command.alias("command"), F.when(F.col("p_size") % 9 == 0, "file_change").otherwise("command").alias("kind"))
     return p.groupBy("command", "kind", R.command_policy(F.col("command"), F.col("kind")).alias("decision")).agg(F.count("*").alias("n"))
 
@@ -164,15 +172,19 @@ ORACLE = {
     "queue_oldest_wait": f"SELECT o_orderpriority, count(*) AS n, greatest(0, date_diff('second', min(o_orderdate) FILTER (WHERE o_orderstatus <> 'F'), TIMESTAMP '{AS_OF}')) AS wait_seconds FROM orders GROUP BY 1",
     "queue_claimable": f"WITH {_CLAIM} SELECT * FROM q",
     "queue_next": f"WITH {_CLAIM} SELECT * FROM q ORDER BY o_orderpriority, o_orderkey LIMIT 20",
-    "queue_missing_items": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "queue_missing_items": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0)",
     "no_active_run": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "queue_backoff": "SELECT l_linenumber, count(*) AS n, CAST(least(60, pow(2, l_linenumber - 1)) AS BIGINT) AS retry_seconds, CAST(least(120, 5 * pow(2, least(l_linenumber - 1, 6))) AS BIGINT) AS retry_minutes FROM lineitem GROUP BY l_linenumber",
     "issue_dashboard_grouping_sets": """WITH i AS (SELECT event_type AS status, CASE WHEN value > 90 THEN 'high' WHEN value > 50 THEN 'low' END AS severity, CASE user_id % 3 WHEN 0 THEN 'external' WHEN 1 THEN 'internal' END AS boundary FROM events)
       SELECT 'total' AS measure, 'all' AS value, count(*) AS n FROM i UNION ALL SELECT 'status', coalesce(status, 'unclassified'), count(*) FROM i GROUP BY 2 UNION ALL SELECT 'severity', coalesce(severity, 'unclassified'), count(*) FROM i GROUP BY 2 UNION ALL SELECT 'boundary', coalesce(boundary, 'undetermined'), count(*) FROM i GROUP BY 2""",
     "issue_fold_by_fingerprint": "SELECT sha256('p|runtime||user {id} failed on shard ' || user_id % 7) AS fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen, last(user_id ORDER BY ts, event_id) AS last_user FROM events WHERE event_type = 'error' GROUP BY 1",
     "issue_boundary": f"WITH {_BOUND} SELECT boundary, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n, CAST(sum(CASE lower(split_part(o_orderpriority, '-', -1)) WHEN 'critical' THEN 300 WHEN 'high' THEN 200 WHEN 'medium' THEN 100 WHEN 'low' THEN 50 ELSE 100 END) AS BIGINT) AS priority FROM b GROUP BY 1, 2",
-    "command_policy": """WITH p AS (SELECT list_extract(['git status', 'rm -fr /tmp', 'git reset --hard', 'pytest -q', 'curl x', ' npm run build', 'format c:', 'svn info'], CAST(p_partkey % 8 + 1 AS INT)) AS command, CASE WHEN p_size % 9 = 0 THEN 'file_change' ELSE 'command' END AS kind FROM part)
-      SELECT command, kind, CASE WHEN kind = 'file_change' THEN 'allow' WHEN command IN ('rm -fr /tmp', 'git reset --hard', 'format c:') THEN 'deny' WHEN command = 'curl x' THEN 'approval_required' ELSE 'allow' END AS decision, count(*) AS n FROM p GROUP BY 1, 2, 3""",
+    "command_policy": """WITH c(i, command, decision) AS (VALUES (0, 'git status', 'allow'), (1, 'rm -fr /tmp', 'deny'), (2, 'git reset --hard', 'deny'), (3, 'pytest -q', 'allow'), (4, 'curl x', 'approval_required'), (5, ' npm run build', 'allow'), (6, 'format c:', 'deny'), (7, 'svn info', 'allow'),
+      (8, 'RM -R x', 'deny'), (9, 'rmdir /s x', 'deny'), (10, 'git clean -fd', 'deny'), (11, 'diskpart', 'deny'), (12, 'cipher /w', 'deny'), (13, 'git log -3', 'allow'), (14, 'git diff', 'allow'), (15, 'python -m pytest t', 'allow'),
+      (16, 'git clone u', 'allow'), (17, 'git push', 'approval_required'), (18, 'svn export u', 'allow'), (19, 'svn commit', 'approval_required'), (20, 'pnpm test', 'allow'), (21, 'npm publish', 'approval_required'), (22, 'Get-Content f', 'allow'), (23, 'tesseract ocr', 'allow'),
+      (24, 'rgx y', 'approval_required'), (25, 'rg x', 'allow'), (26, 'rm file', 'approval_required'), (27, 'information', 'approval_required'), (28, 'git reset --soft', 'approval_required'), (29, 'sudo rm -r /', 'deny'), (30, 'echo git status', 'approval_required'), (31, 'npm run format', 'deny')),
+      p AS (SELECT command, CASE WHEN p_size % 9 = 0 THEN 'file_change' ELSE 'command' END AS kind, CASE WHEN p_size % 9 = 0 THEN 'allow' ELSE decision END AS decision FROM part JOIN c ON p_partkey % 32 = i)
+      SELECT command, kind, decision, count(*) AS n FROM p GROUP BY 1, 2, 3""",
     "audit_task_summary": "SELECT user_id, count(*) AS events, last(event_type ORDER BY ts, event_id) AS last_type, max(event_id) AS last_event FROM events GROUP BY 1",
     "audit_event_join": "SELECT event_id, user_id, event_type FROM events JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING' AND event_id > 100 ORDER BY event_id LIMIT 500",
     "idempotent_admission": """WITH r AS (SELECT conv_id AS key, turn, attempt, role, text FROM conversations, (VALUES (0), (1)) a(attempt) WHERE attempt = 0 OR turn % 2 = 0)

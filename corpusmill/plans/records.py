@@ -285,10 +285,10 @@ QUERIES = {f.__name__: f for f in (
     archive_paths, harness_score, error_lines, plain_urls, symbol_scores, python_symbols, shortcut_texts,
 )}
 
-from corpusmill.plans.ingest import _ENTRIES, _ROUTED, _in  # noqa: E402
+from corpusmill.plans.ingest import _ENTRIES, _ROUTED  # noqa: E402
 
 _WITH = f"WITH {_ENTRIES}"
-_STATUS = f"""m AS (SELECT doc_id, CASE WHEN NOT present THEN 'source_absent' WHEN mode = 'path_only' AND has_document THEN 'ready' WHEN mode = 'path_only' THEN 'observed_only' WHEN ext NOT IN {_in(P.SUPPORTED)} THEN 'unsupported_extension'
+_STATUS = f"""m AS (SELECT doc_id, CASE WHEN NOT present THEN 'source_absent' WHEN mode = 'path_only' AND has_document THEN 'ready' WHEN mode = 'path_only' THEN 'observed_only' WHEN ext NOT IN ('.txt', '.py', '.sql', '.md') THEN 'unsupported_extension'
   WHEN mode = 'metadata_only' OR status = 'metadata_only' THEN 'metadata_only' WHEN NOT has_document THEN 'observed_only' WHEN doc_id % 8 = 0 THEN 'source_changed' WHEN doc_id % 9 = 0 THEN 'processing_upgrade_required' ELSE 'ready' END AS manifest_status FROM r)"""
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z_][a-z0-9_.:/-]*|[0-9]+'), lambda x: length(x) > 1))"
 ORACLE = {

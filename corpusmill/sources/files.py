@@ -144,3 +144,14 @@ def export_csv(rows: DataFrame, path: str, order: list[str]) -> None:
 def event_lines(kind: Column, number: Column, data: Column) -> Column:
     """One message of an event stream."""
     return F.format_string("id: %s\nevent: %s\ndata: %s\n\n", number.cast("string"), kind, data)
+
+
+def receipt_json(fields: list[str]) -> Column:
+    """A receipt as a line of JSON."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def receipt_markdown(title: str, fields: list[str]) -> Column:
+    """A receipt as Markdown: a title and a list."""
+    lines = [F.concat(F.lit(f"- {f}: "), F.coalesce(F.col(f).cast("string"), F.lit("-")), F.lit("\n")) for f in fields]
+    return F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), *lines)

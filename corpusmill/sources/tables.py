@@ -73,6 +73,34 @@ def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) ->
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _live(spark: SparkSession, folder: str) -> list[str]:
+    files, where = _files(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.getPath().getName().startswith("live-")) if files.exists(where) else []
+
+
+def publish(df: DataFrame, folder: str) -> None:
+    """Make df the live generation of folder: it is written whole under a name of its own, and then a marker is made for
+    it. A write that fails makes no marker, so the generation before it stays live."""
+    spark, name = df.sparkSession, f"generation-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    number = int(_live(spark, folder)[-1].split("-")[1]) + 1 if _live(spark, folder) else 0
+    files, where = _files(spark, f"{folder}/live-{number:012d}-{name}")
+    files.mkdirs(where)
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The live generation of folder."""
+    live = _live(spark, folder)
+    if not live:
+        raise FileNotFoundError(f"no generation in {folder}")
+    return spark.read.parquet(f"{folder}/{live[-1].split('-', 2)[2]}")
+
+
 EXTENSIONS = (".txt", ".doc", ".exe", ".zip", ".py", ".lnk", ".sql", ".png", ".pem", ".gz", ".md", ".xyz")
 
 
