@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with queries; each may have ORACLE, its queries' SQL.
-MODULES = ("simhash", "decontaminate", "toxicity", "quality", "packing", "ogg", "chat", "urls", "warc", "licences")
+MODULES = ("simhash", "decontaminate", "toxicity", "quality", "packing", "ogg", "chat", "urls", "warc", "licences", "runs", "spelling", "pieces")
 
 
 def queries() -> dict:
