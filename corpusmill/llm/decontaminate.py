@@ -7,8 +7,8 @@ find every candidate. A candidate of which a text lacks more than k distinct wor
 many items share before their places are looked at. Each candidate's surroundings are verified with Myers'
 bit-parallel edit distance.
 
-Items under MIN_WORDS words have no budget: they match word by word, if they have MIN_LETTERS letters. Shorter ones
-say too little to be evidence; `skipped` lists them with the reason.
+Items under five words have no budget: they match word by word, however short they are. A caller who takes short ones
+for too little evidence sets `min_letters`; `skipped` lists what that leaves out, and items without any word.
 
 Defined results: a null text is empty and matches nothing; repeated rows of documents or items give one pair with its
 best place; a null doc_id or item_id is kept as a null in the pair. Columns other than ids and texts are not read.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import read, texts_of, tune
 
 EDITS = 0.2
-MIN_WORDS = 5
-MIN_LETTERS = 12
+#: Letters that an item has at least: by default none is left out.
+MIN_LETTERS = 0
 #: Items and characters of items that one pass holds in memory; more items take more passes over the documents.
 BLOCK_ITEMS = 100_000
 BLOCK_CHARS = 32 << 20
@@ -47,11 +47,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def why_skipped(words: list[str], min_words: int = MIN_WORDS) -> str | None:
+def why_skipped(words: list[str], min_letters: int = MIN_LETTERS) -> str | None:
     """Why an item of these words is no evidence; None for one that is."""
-    if len(words) >= min_words or sum(map(len, words)) >= MIN_LETTERS:
-        return None
-    return "under_least_letters" if words else "no_words"
+    if not words:
+        return "no_words"
+    return "under_least_letters" if sum(map(len, words)) < min_letters else None
 
 
 def pieces_of(m: int, budget: int) -> list[tuple[int, int]]:
@@ -104,12 +104,12 @@ class PieceIndex:
     filters: list[np.ndarray]
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str | None]], edits: float, min_words: int) -> PieceIndex:
+    def of(cls, rows: list[tuple[int | None, str | None]], edits: float, min_letters: int) -> PieceIndex:
         vocabulary: dict[str, int] = {}
         patterns: dict[tuple[int, ...], list[int | None]] = {}
         for item_id, text in rows:
             words = words_of(text or "")
-            if why_skipped(words, min_words) is None:
+            if why_skipped(words, min_letters) is None:
                 patterns.setdefault(tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), []).append(item_id)
         bounds = lambda sizes: np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
         budgets = [int(edits * len(p)) for p in patterns]
@@ -235,22 +235,22 @@ def hashes_of(ids: np.ndarray, length: int) -> np.ndarray:
     return key * _MIX
 
 
-def blocks_of(items: DataFrame, edits: float, min_words: int) -> Iterator[PieceIndex]:
+def blocks_of(items: DataFrame, edits: float, min_letters: int) -> Iterator[PieceIndex]:
     """The items' indexes, a bounded block at a time."""
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     n = max(1, ceil(size.n / BLOCK_ITEMS), ceil(size.chars / BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
         rows = items.select("item_id", "text").where(block == k).distinct().collect()
-        yield PieceIndex.of([tuple(r) for r in sorted(rows, key=repr)], edits, min_words)
+        yield PieceIndex.of([tuple(r) for r in sorted(rows, key=repr)], edits, min_letters)
 
 
-def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, min_letters: int = MIN_LETTERS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, edits, similarity, first_word, last_word, places."""
     spark = docs.sparkSession
     tune(spark)
     texts, found = texts_of(docs), None
-    for index in blocks_of(items, edits, min_words):
+    for index in blocks_of(items, edits, min_letters):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -273,13 +273,13 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, min_words: in
     return out.select("doc_id", "item_id", "b.edits", F.round("b.similarity", 6).alias("similarity"), "b.first_word", "b.last_word", "places")
 
 
-def skipped(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def skipped(items: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
     """item_id, reason of the items that are no evidence."""
     tune(items.sparkSession)
 
     @F.pandas_udf("string")
     def reason(texts: pd.Series) -> pd.Series:
-        return pd.Series([why_skipped(words_of(t or ""), min_words) for t in texts], dtype=object)
+        return pd.Series([why_skipped(words_of(t or ""), min_letters) for t in texts], dtype=object)
 
     return items.select("item_id", reason("text").alias("reason")).where("reason IS NOT NULL")
 
@@ -288,11 +288,11 @@ _PAIR = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(
 _NAMES = ["doc_id", "item_id", "edits", "similarity", "first_word", "last_word", "places"]
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, min_letters: int = MIN_LETTERS) -> DataFrame:
     """The rows of docs in whose text no item is found. Only texts go to Python and only an answer comes back."""
     spark = docs.sparkSession
     tune(spark)
-    for index in blocks_of(items, edits, min_words):
+    for index in blocks_of(items, edits, min_letters):
         docs = docs.where(~_leaky(spark.sparkContext.broadcast(index))("text"))
     return docs
 

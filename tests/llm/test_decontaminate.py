@@ -33,12 +33,12 @@ def fixture(seed=3):
     return docs + [(200, None), (201, ""), (None, items[4][1]), (7, docs[7][1]), (300, (items[5][1] + " . ") * 500), (301, "so three quite long words too short"), (302, "三字經：天地玄黃，宇宙洪水日月盈昃。"), (303, "天地 hi"), (304, "three quite wrong words")], items
 
 
-def want(docs, items):
+def want(docs, items, least=0):
     out = {}
     for d, t in docs:
         for i, x in items:
             p = D.words_of(x or "")
-            if (len(p) >= 5 or sum(map(len, p)) >= 12) and (e := best_match(p, D.words_of(t or ""))) <= int(0.2 * len(p)):
+            if p and sum(map(len, p)) >= least and (e := best_match(p, D.words_of(t or ""))) <= int(0.2 * len(p)):
                 out[d, i] = min(e, out.get((d, i), 99))
     return out
 
@@ -56,8 +56,11 @@ def test_matches_brute_force(spark, monkeypatch):
     for r in rows:
         text = D.words_of(by_id[r.doc_id])
         assert best_match(D.words_of(dict(items)[r.item_id]), text[r.first_word : r.last_word + 1]) == r.edits
-    assert {(301, 93), (302, 95)} <= expected.keys() and not {303, 304} & {d for d, _ in expected}
-    assert {r.item_id: r.reason for r in D.skipped(bench).collect()} == {90: "no_words", 91: "no_words", 92: "under_least_letters", 96: "under_least_letters"}
+    assert {(301, 93), (302, 95)} <= expected.keys() and 304 not in {d for d, _ in expected}
+    assert {r.item_id: r.reason for r in D.skipped(bench).collect()} == {90: "no_words", 91: "no_words"}
+    assert {r.item_id: r.reason for r in D.skipped(bench, 12).collect()} == {90: "no_words", 91: "no_words", 92: "under_least_letters", 96: "under_least_letters"}
+    long = {(r.doc_id, r.item_id): r.edits for r in D.leaks(df, bench, min_letters=12).collect()}
+    assert long == want(docs, items, 12) and len(long) < len(expected)
     clean = {r.doc_id for r in D.without_leaks(df, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in expected}
 
@@ -88,3 +91,10 @@ def test_pieces_cover_an_item():
     for m in range(5, 90):
         pieces = D.pieces_of(m, int(0.2 * m))
         assert pieces[0][0] == 0 and sum(n for _, n in pieces) == m and min(n for _, n in pieces) >= 2
+
+
+def test_short_items_are_found(spark):
+    docs = spark.createDataFrame([(1, "Everyone knows: 2 + 2 = 5, he said."), (2, "And who is he? Nobody."), (3, "2 + 5 is he")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "2 + 2 = 5"), (11, "Who is he?")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in D.leaks(docs, items).collect()} == {(1, 10, 0), (2, 11, 0)}
+    assert [r.doc_id for r in D.without_leaks(docs, items).collect()] == [3]
