@@ -7,9 +7,9 @@ the shingle sets settles pairs whose estimated similarity lies four standard err
 on the shingle sets themselves, as far as the first step has not brought them together.
 
 Defined results: null and empty texts have the same, empty set of shingles and count as copies of each other; texts
-under five words are one shingle; repeated rows are copies; different texts under one id are told apart; rows with a
-null id have no name to be chosen by and all stay. An empty table gives no rows. Extra columns pass through, whatever
-their names.
+under five words are one shingle; repeated rows are copies; rows of one id that differ in any column are told apart, and
+of those the one of the smallest hash may stay; rows with a null id have no name to be chosen by and all stay. An empty
+table gives no rows. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS, BAND_ROWS = 8, 3
 BINS = 512
 #: Shingle sets of a tile: a bucket of more is dealt to several tasks.
 TILE = 256
+#: Bytes of the shingle sets that a task verifies together; a unit of more is dealt to several, by pairs of its parts.
+UNIT_BYTES = 64 << 20
 #: A pair at 0.8 differs in about ten bits, an unrelated one in 32.
 WIDE = 24
 
@@ -183,12 +185,19 @@ def near_links(classes: DataFrame, least: float = SIMILARITY, tile: int = TILE)
     return _by_unit(told, parts_of(units), links, CHUNK, "unit long, a long, b long").distinct()
 
 
-def verified_links(open_: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """open_ (unit, node), labels (node, label) of the groups so far, sets (node, shingles) -> (a, b): further links."""
+def verified_links(open_: DataFrame, labels: DataFrame, sets: DataFrame, least: float = SIMILARITY, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """open_ (unit, node), labels (node, label) of the groups so far, sets (node, shingles) -> (a, b): further links.
+
+    A unit whose sets take more than unit_bytes is cut into parts, and each pair of parts is a unit of its own, so that
+    what a worker holds does not grow with the length of texts, but for single ones."""
     labelled = write_cut(open_.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "open-labels")
     # units whose nodes have all met by now have nothing left to verify
-    several = labelled.groupBy("unit").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("unit")
-    told = labelled.join(several, "unit", "left_semi").join(sets, "node")
+    sizes = sets.select("node", F.octet_length("shingles").alias("size"))
+    weighed = labelled.join(sizes, "node").groupBy("unit").agg((F.min("label") < F.max("label")).alias("several"), F.sum("size").alias("bytes"))
+    parts = weighed.where("several").select("unit", F.when(F.col("bytes") <= unit_bytes, 1).otherwise(F.ceil(2 * F.col("bytes") / unit_bytes)).cast("int").alias("parts"))
+    met = labelled.join(parts, "unit").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pairs = met.select("unit", "node", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    told = pairs.select(F.xxhash64("unit", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", "label").join(sets, "node")
 
     def links(parts: list[tuple]) -> pa.RecordBatch:
         nodes, labels_ = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
@@ -227,13 +236,15 @@ def _by_unit(rows: DataFrame, n: int, links: Callable[[list[tuple]], pa.RecordBa
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(run, schema)
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """The rows of docs without near copies: of each group the document with the smallest id stays, once."""
     tune(docs.sparkSession)
-    h = "_text_hash"
-    while h in docs.columns:
+    h, taken = "_row_hash", {c.lower() for c in docs.columns}  # Spark tells names apart without their case
+    while h in taken:
         h += "_"
-    named = docs.where("doc_id IS NOT NULL").withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    others = [f"`{c}`" for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    row = [F.coalesce("text", F.lit("")), *([F.to_json(F.struct(*others))] if others else [])]
+    named = docs.where("doc_id IS NOT NULL").withColumn(h, F.xxhash64(*row))
     texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(h).alias("h"))
     signed = write_cut(signatures(texts), "signatures")
     classes = write_cut(signed.select("node", "fp", "bins", "bands").dropDuplicates(["node"]), "shingle-sets")
@@ -244,7 +255,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE)
     # one text for each set that is in an open pair; only those are shingled again and moved
     wanted = open_.select("node").distinct().join(holders, "node").select("first.doc_id", "first.h").distinct()
     sets = write_cut(shingle_sets(texts.join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])), "open-sets")
-    further = write_cut(verified_links(open_, connected_components(sure), sets, similarity), "verified-links")
+    further = write_cut(verified_links(open_, connected_components(sure), sets, similarity, unit_bytes), "verified-links")
     groups = connected_components(sure.unionByName(further))
     group = holders.join(groups, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")
     kept = write_cut(group.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.h").alias(h)).distinct(), "kept-ids")

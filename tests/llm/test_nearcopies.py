@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusmill.llm import nearcopies as N
 from corpusmill.llm.simhash import fingerprint_of, shingle_hashes, simhash_batch
@@ -79,7 +80,9 @@ def test_pairs_around_the_threshold_are_settled_exactly(spark):
         a, b = " ".join(base), " ".join(other)
         rows += [(2 * k, a), (2 * k + 1, b)]
         goes[2 * k + 1] = jaccard(a, b) >= 0.8
-    kept = {r.doc_id for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in N.keep_one(df).collect()}
+    assert kept == {r.doc_id for r in N.keep_one(df, unit_bytes=1 << 14).collect()}  # units cut by the bytes of their sets
     assert 20 < sum(goes.values()) < 130 and {2 * k for k in range(150)} <= kept
     wrong = [d for d, g in goes.items() if g == (d in kept)]
     assert len(wrong) <= 1  # a pair at 0.8 shares no band with a probability of 0.003
@@ -115,3 +118,15 @@ def test_repeated_lines_do_not_hide_copies(spark):
     assert (prints[0] ^ prints[1]).bit_count() < 10
     out = N.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [r.doc_id for r in out.collect()] == [0]
+
+
+def test_columns_that_clash_and_rows_that_differ_elsewhere(spark):
+    """Names that differ in case alone are one name to Spark; of rows that differ in another column one stays, always the same."""
+    text = "some words that stand in both of these rows"
+    df = spark.createDataFrame([(1, text, "keep me"), (1, text, "me too"), (3, "other words that are not like the rest", "x")], "doc_id long, text string, _Row_Hash string")
+    out = N.keep_one(df)
+    assert out.columns == df.columns
+    rows = sorted(map(tuple, out.collect()))
+    assert len(rows) == 2 and rows[0][2] in ("keep me", "me too") and rows[1] == (3, "other words that are not like the rest", "x")
+    again = df.repartition(5).orderBy(F.desc("_Row_Hash"))
+    assert sorted(map(tuple, N.keep_one(again).collect())) == rows
