@@ -204,9 +204,9 @@ def decay(score: float, frequency: float, drift: float) -> float:
     return high
 
 
-def measured(drawn: DataFrame, counts: Counts) -> pd.DataFrame:
+def measured(drawn: DataFrame, counts: Counts) -> DataFrame:
     """y, n, and for each setting of GRID the scores of a document's segments, by the log-odds of the other parts, and
-    the number and sum of its tokens that score."""
+    the number and sum of its tokens that score; a written table."""
     shared = drawn.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,32 +229,49 @@ def measured(drawn: DataFrame, counts: Counts) -> pd.DataFrame:
                 sums.append([sum(x) for _, x in found])
                 segments.append([[x for *_, x in maximal_segments(list(zip(*f, strict=True)), len(tokens), s.drift)] for f, s in zip(found, GRID, strict=True)])
             types = (pa.int64(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(x, t) for x, t in zip((n, segments, hits, sums), types, strict=True))], ["y", "n", "segments", "hits", "sums"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(x, t) for x, t in zip((n, segments, hits, sums), types, strict=True))], ["doc_id", "y", "n", "segments", "hits", "sums"])
 
-    return drawn.select("text", "y", "part").mapInArrow(run, "y int, n long, segments array<array<double>>, hits array<long>, sums array<double>").toPandas()
+    return write_cut(drawn.select("doc_id", "text", "y", "part").mapInArrow(run, "doc_id long, y int, n long, segments array<array<double>>, hits array<long>, sums array<double>"), "segments")
 
 
-def calibrated(rows: pd.DataFrame, k: int, mean_score: float, share: float) -> tuple[Model, float]:
-    """The extreme-value law of setting k from clean documents, the map from evidence to a score, and its log loss.
+def laws(rows: pd.DataFrame, means: list[float]) -> list[Model]:
+    """The extreme-value law of each setting, from clean documents.
+
+    rows: y, n, and for each setting the number and sum of tokens that score and the best segment."""
+    clean = rows[rows.y == 0]
+    n, out = clean.n.to_numpy(), []
+    for k, (s, mean_score) in enumerate(zip(GRID, means, strict=True)):
+        model = Model(drift=s.drift)
+        # clean tokens that score, smoothed by one: how often, and how much on the whole
+        tokens, hits = max(1, int(n.sum())), int(sum(x[k] for x in clean.hits))
+        typical = (float(sum(x[k] for x in clean["sums"])) + mean_score) / (hits + 1)
+        model.rate = decay(typical, min(0.5, (hits + 1) / (tokens + 1)), model.drift)
+        best = np.array([x[k] for x in clean.best])
+        model.size = max(len(clean) / max(float((n * np.exp(-model.rate * best)).sum()), 1e-9), 1e-9)
+        out.append(model)
+    return out
+
+
+def evidence_of(found: DataFrame, models: list[Model]) -> DataFrame:
+    """doc_id, y, e: for each setting what a document's segments say under its law, as Model.evidence."""
+
+    def sum_of(k: int, m: Model) -> F.Column:
+        least = F.when(F.col("n") > 0, F.log(F.col("n") * m.size)).otherwise(0.0)
+        return F.aggregate(F.col("segments")[k], F.lit(0.0), lambda total, x: total + F.greatest(F.lit(0.0), x * m.rate - least))
+
+    return found.select("doc_id", "y", F.array(*[sum_of(k, m) for k, m in enumerate(models)]).alias("e"))
+
+
+def calibrated(model: Model, y: np.ndarray, evidence: np.ndarray, share: float) -> float:
+    """Gives the model the map from evidence to a score; its log loss.
 
     share: of toxic labels among all that may be learned from; the sample's kinds are weighed to it."""
-    model = Model(drift=GRID[k].drift)
-    y, n = rows.y.to_numpy(float), rows.n.to_numpy()
-    scores = [s[k] for s in rows.segments]
-    hit, sums = (np.array([x[k] for x in rows[c]], float) for c in ("hits", "sums"))
-    clean = np.flatnonzero(y == 0)
-    # clean tokens that score, smoothed by one: how often, and how much on the whole
-    tokens, hits = max(1, int(n[clean].sum())), int(hit[clean].sum())
-    typical = (float(sums[clean].sum()) + mean_score) / (hits + 1)
-    model.rate = decay(typical, min(0.5, (hits + 1) / (tokens + 1)), model.drift)
-    best = np.array([max(scores[i], default=0.0) for i in clean])
-    model.size = max(len(clean) / max(float((n[clean] * np.exp(-model.rate * best)).sum()), 1e-9), 1e-9)
-    evidence = np.log1p(np.array([model.evidence(int(m), [(0, 0, x) for x in s]) for m, s in zip(n, scores, strict=True)]))
+    e = np.log1p(evidence)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    slope, cut = logistic_fit(evidence[:, None], y, 0.1, weight)
+    slope, cut = logistic_fit(e[:, None], y, 0.1, weight)
     model.weights = (float(max(slope, 0.0)), float(cut))
-    p = np.clip(sigmoid(model.weights[0] * evidence + model.weights[1]), 1e-9, 1 - 1e-9)
-    return model, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+    p = np.clip(sigmoid(model.weights[0] * e + model.weights[1]), 1e-9, 1 - 1e-9)
+    return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: F.Column, rows: int = TRAIN_ROWS) -> Model:
@@ -267,13 +284,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep: F.Column, rows: int = TRAIN_RO
         return Model(weights=(0.0, math.log(share / (1 - share))))
     drawn = drawn.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     counts = counted(write_cut(token_contexts(drawn.select("text", "y", "part")), "contexts"))
-    rows_ = measured(drawn, counts)
+    found = measured(drawn, counts)
+    # a row for each drawn document, and in it a number or two for each setting: segments stay where they are
+    first = F.transform("segments", lambda x: F.coalesce(F.array_max(x), F.lit(0.0))).alias("best")
+    rows_ = found.select("doc_id", "y", "n", "hits", "sums", first).toPandas().sort_values(["doc_id", "n"], ignore_index=True)
+    kept = [counts.kept(s)[:, FOLDS] for s in GRID]
+    models = laws(rows_, [float(np.nanmean(odds)) if (~np.isnan(odds)).any() else 1.0 for odds in kept])
+    said = evidence_of(found, models).toPandas().assign(e=lambda t: t.e.map(tuple)).sort_values(["doc_id", "y", "e"], ignore_index=True)
+    y, e = said.y.to_numpy(float), np.array(said.e.tolist(), float).reshape(-1, len(GRID))
     best, model, own = math.inf, Model(), np.zeros(0)
-    for k, s in enumerate(GRID):
-        odds = counts.kept(s)[:, FOLDS]
-        m, loss = calibrated(rows_, k, float(np.nanmean(odds)) if (~np.isnan(odds)).any() else 1.0, share)
+    for k, m in enumerate(models):
+        loss = calibrated(m, y, e[:, k], share)
         if loss < best:
-            best, model, own = loss, m, odds
+            best, model, own = loss, m, kept[k]
     model.log_odds = {t: float(own[i]) for t, i in counts.at.items() if not np.isnan(own[i])}
     return model
 

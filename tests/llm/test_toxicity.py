@@ -110,8 +110,12 @@ def test_evidence_matches_brute_force(spark):
     drawn = X.sample(docs, read(spark, SF, "labels"), "toxic", X.teaches(), 60, balanced=True).withColumn("part", X.F.pmod(X.F.xxhash64("doc_id", X.F.lit(1)), X.F.lit(X.FOLDS)).cast("int"))
     counts = X.counted(X.token_contexts(drawn.select("text", "y", "part")))
     texts = {(r.y, len(X.tokens_of(r.text)), r.part): r.text for r in drawn.collect()}
-    found = X.measured(drawn, counts)
+    table_ = X.measured(drawn, counts)
+    found = table_.toPandas()
     assert len(found) == drawn.count()
+    models = [X.Model(rate=0.5 + k / 10, size=0.01 * (k + 1)) for k in range(len(X.GRID))]
+    for r in X.evidence_of(table_, models).join(table_.drop("y"), "doc_id").collect():
+        assert r.e == pytest.approx([m.evidence(r.n, [(0, 0, x) for x in s]) for m, s in zip(models, r.segments, strict=True)])
     for k in (0, 17, len(X.GRID) - 1):
         table = counts.kept(X.GRID[k])
         by_part = [X.Model({t: float(table[i, p]) for t, i in counts.at.items() if not np.isnan(table[i, p])}, X.GRID[k].drift) for p in range(X.FOLDS)]
