@@ -102,10 +102,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / ARCHIVE_BYTES))
     told = revisits.select("page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.col("refers_to").cast("string").alias("html"))
     rows = told.unionByName(pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), "url", "html"))
-    # what a page revisits comes before the page, so the payloads move once and each task knows all it needs
-    # rows without an id go by their payload instead, so that they do not all meet in one task
+    # what a page revisits comes before the page, so the payloads move once and each task knows all it needs; rows go by
+    # id and payload, so that those of one id, or of none, do not all meet in one task
     payload = F.when(F.col("kind") == 0, F.col("url")).otherwise(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    dealt = rows.withColumn("to", F.when(F.col("page_id").isNull(), F.xxhash64(payload)).otherwise(F.xxhash64("page_id")))
+    dealt = rows.withColumn("to", F.xxhash64("page_id", payload))
     ordered = dealt.repartition(n, "to").drop("to").sortWithinPartitions("page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
