@@ -1,19 +1,14 @@
-"""Resumable event streams, folding of failures, leases of a work queue."""
+"""Resumable event streams, folding of failures, states over micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.functions import text as X
-from corpusmill.sources.tables import importable, read, shared_path
-
-LEASE_SECONDS, MAX_ATTEMPTS = 60, 3
+from corpusmill.sources.tables import read, shared_path
+from corpusmill.streaming import leases
 
 
 def source(spark: SparkSession, folder: str, table: str = "events") -> DataFrame:
@@ -31,21 +26,24 @@ def drained(stream: DataFrame, name: str, checkpoint: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def latest_state(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def latest_state(stream: DataFrame, name: str, keys: tuple[str, ...] = (), order: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """The result of an aggregation over all that is there now. With `keys` the stream tells changes, and the last one of
-    each key holds, whichever micro-batch brought it; without, each micro-batch tells the whole result.
+    each key holds, whichever micro-batch brought it, by `order` where a micro-batch may tell several; without, each
+    micro-batch tells the whole result. With a checkpoint of its own a stream goes on where it was; what is given then
+    are the changes since.
 
     Every micro-batch has a folder of its own, so one that is repeated replaces itself."""
     spark = stream.sparkSession
     out = shared_path(spark, name)
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/_batch=-1")
     keep = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/_batch={batch}")
-    query = stream.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", shared_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", checkpoint or shared_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
     columns = stream.columns
     batches = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).option("basePath", out).parquet(f"{out}/_batch=*")
     if keys:
-        return batches.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "_batch").alias("_last")).select(*keys, "_last.*").select(*columns)
+        last = F.struct("_batch", *([order] if order else []))
+        return batches.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), last).alias("_last")).select(*keys, "_last.*").select(*columns)
     last = batches.agg(F.max("_batch").alias("_last"))
     return batches.join(F.broadcast(last), F.col("_batch") == F.col("_last")).select(*columns)
 
@@ -68,41 +66,6 @@ def folded(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'error'").groupBy(fp.alias("fingerprint")).agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def step(state: tuple, kind: str, at: float) -> tuple:
-    """One transition of a leased item: (status, attempts, lease end). Later events see an expired lease as released.
-
-    A failed item waits its backoff, and fails for good after MAX_ATTEMPTS; a final status stays."""
-    status, attempts, until = state
-    if status == "leased" and at > until:
-        status = "queued" if attempts < MAX_ATTEMPTS else "failed"
-    if status in ("done", "failed"):
-        return status, attempts, until
-    if kind == "claim" and status == "queued" and at >= until:
-        return "leased", attempts + 1, at + LEASE_SECONDS
-    if kind == "heartbeat" and status == "leased":
-        return "leased", attempts, at + LEASE_SECONDS
-    if kind == "complete" and status == "leased":
-        return "done", attempts, until
-    if kind == "fail" and status == "leased":
-        return ("queued", attempts, at + min(60, 2 ** (attempts - 1))) if attempts < MAX_ATTEMPTS else ("failed", attempts, until)
-    return status, attempts, until
-
-
-def leases(commands: DataFrame) -> DataFrame:
-    """commands (item, at: seconds, n, kind), a stream -> the state of each item whenever it changes."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(group.get) if group.exists else ("queued", 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["at", "n"])  # one item's commands of one trigger
-        for kind, at in zip(rows["kind"], rows["at"], strict=True):
-            state = step(state, kind, float(at))
-        group.update(state)
-        yield pd.DataFrame({"item": [key[0]], "status": [state[0]], "attempts": [state[1]]})
-
-    importable(commands.sparkSession)
-    return commands.groupBy("item").applyInPandasWithState(run, "item long, status string, attempts long", "status string, attempts long, until double", "update", GroupStateTimeout.NoTimeout)
-
-
 def stream_event_resume(spark: SparkSession, d: str) -> DataFrame:
     return drained(resumed(source(spark, d), offset_of(200, "300")), "resumed").select("event_id", "event_type", "user_id")
 
@@ -130,10 +93,25 @@ def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return latest_state(counted, "windows").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+#: Lease of the query below, in milliseconds, and how late commands may come.
+LEASE_MS, LATE = 12 * 3600 * 1000, "1 hour"
+
+
+def queue_commands(events: DataFrame) -> DataFrame:
+    """Events as commands of workers: six items for each user, five days each."""
+    kind = (
+        F.when(F.col("event_id") % 7 == 0, "cancel").when(F.col("event_type").isin("view", "signup"), "claim").when(F.col("event_type") == "click", "heartbeat")
+        .when(F.col("event_type") == "purchase", "complete").otherwise("fail")
+    )
+    at = F.col("ts").cast("timestamp")
+    return events.select((F.col("user_id") * 7 + F.floor((F.dayofmonth(at) - 1) / 5)).alias("item"), at.alias("at"), F.col("event_id").alias("n"), kind.alias("kind"))
+
+
 def stream_queue_leases(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
-    commands = source(spark, d).select(F.col("user_id").alias("item"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("n"), kind.alias("kind"))
-    return latest_state(leases(commands), "leases", ("item",))
+    """The last state of each item that ever changed, as of the last slot that the watermark has passed."""
+    with leases.stored(spark):
+        changed = latest_state(leases.leases(queue_commands(source(spark, d)), LEASE_MS, LATE), "leases", ("item",), "changes")
+    return changed.select("item", "status", "attempts")
 
 
 QUERIES = {f.__name__: f for f in (stream_event_resume, stream_filtered_events, stream_issue_fold, stream_deduplicated, stream_event_windows, stream_queue_leases)}
@@ -142,5 +120,24 @@ ORACLE = {
     "stream_filtered_events": "SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING'",
     "stream_issue_fold": "SELECT sha256('p|runtime||user {id} failed on shard ' || user_id % 7) AS fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1",
     "stream_deduplicated": "SELECT DISTINCT event_id % 250 AS external_id FROM events",
+    "stream_queue_leases": f"""WITH RECURSIVE settled AS (SELECT (epoch_ms(max(ts)) - 3600000 + 1) // {LEASE_MS // 8} * {LEASE_MS // 8} - 1 AS edge FROM events),
+        c AS (SELECT user_id * 7 + (day(ts) - 1) // 5 AS item, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id * 7 + (day(ts) - 1) // 5 ORDER BY epoch_ms(ts), event_id) AS rn,
+              CASE WHEN event_id % 7 = 0 THEN 'cancel' WHEN event_type IN ('view', 'signup') THEN 'claim' WHEN event_type = 'click' THEN 'heartbeat' WHEN event_type = 'purchase' THEN 'complete' ELSE 'fail' END AS kind
+              FROM events, settled WHERE epoch_ms(ts) <= edge),
+        s AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS rn, 'queued' AS status, CAST(0 AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS until, false AS cancel FROM c
+            UNION ALL SELECT item, rn,
+                CASE WHEN status = 'queued' AND kind = 'claim' AND t >= until THEN 'leased' WHEN status = 'queued' AND kind = 'cancel' THEN 'cancelled' WHEN status <> 'leased' THEN status
+                     WHEN kind IN ('complete', 'fail') AND cancel THEN 'cancelled' WHEN kind = 'complete' THEN 'done' WHEN kind = 'fail' AND attempts < 3 THEN 'queued' WHEN kind = 'fail' THEN 'failed' ELSE status END,
+                CASE WHEN status = 'queued' AND kind = 'claim' AND t >= until THEN attempts + 1 ELSE attempts END,
+                CASE WHEN status = 'queued' AND kind = 'claim' AND t >= until THEN t + {LEASE_MS} WHEN status = 'leased' AND kind = 'heartbeat' THEN t + {LEASE_MS}
+                     WHEN status = 'leased' AND kind = 'fail' AND NOT cancel AND attempts < 3 THEN t + CAST(1000 * least(60, 2 ** greatest(0, attempts - 1)) AS BIGINT) ELSE until END,
+                status = 'leased' AND (cancel OR kind = 'cancel')
+              FROM (SELECT c.item, c.rn, c.t, c.kind, s.attempts,
+                CASE WHEN s.status = 'leased' AND c.t >= s.until THEN CASE WHEN s.cancel THEN 'cancelled' ELSE 'queued' END ELSE s.status END AS status,
+                CASE WHEN s.status = 'leased' AND c.t >= s.until AND NOT s.cancel THEN s.until + CAST(1000 * least(60, 2 ** greatest(0, s.attempts - 1)) AS BIGINT) ELSE s.until END AS until,
+                s.cancel AND NOT (s.status = 'leased' AND c.t >= s.until) AS cancel FROM s JOIN c ON c.item = s.item AND c.rn = s.rn + 1))
+        SELECT item, CASE WHEN status = 'leased' AND until <= edge THEN CASE WHEN cancel THEN 'cancelled' ELSE 'queued' END ELSE status END AS status, attempts
+        FROM (SELECT item, max_by(status, rn) AS status, max_by(attempts, rn) AS attempts, max_by(until, rn) AS until, max_by(cancel, rn) AS cancel, bool_or(status <> 'queued') AS changed FROM s GROUP BY item), settled
+        WHERE changed""",
     "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
