@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources import versions as V
 
 #: Where this package lies.
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -73,32 +74,29 @@ def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) ->
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+def publish(df: DataFrame, folder: str, keep: int = 2) -> int:
+    """Make df the live generation of folder, and remove those before the newest `keep`. -> its number.
 
-
-def _live(spark: SparkSession, folder: str) -> list[str]:
-    files, where = _files(spark, folder)
-    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.getPath().getName().startswith("live-")) if files.exists(where) else []
-
-
-def publish(df: DataFrame, folder: str) -> None:
-    """Make df the live generation of folder: it is written whole under a name of its own, and then a marker is made for
-    it. A write that fails makes no marker, so the generation before it stays live."""
+    It is written whole under a name of its own, then an entry of the log names it, which of several writers at a time
+    each makes one of. A write that fails makes no entry, so the generation before it stays live."""
     spark, name = df.sparkSession, f"generation-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    number = int(_live(spark, folder)[-1].split("-")[1]) + 1 if _live(spark, folder) else 0
-    files, where = _files(spark, f"{folder}/live-{number:012d}-{name}")
-    files.mkdirs(where)
+    number = max(V.numbered(spark, f"{folder}/log"), default=-1) + 1
+    while not V.create_once(spark, V.entry_path(folder, number), name):
+        number += 1
+    for old in [n for n in V.numbered(spark, f"{folder}/log") if n <= number - keep]:
+        for path in (f"{folder}/{V.read_text(spark, V.entry_path(folder, old))}", V.entry_path(folder, old)):
+            files, where = V._path(spark, path)
+            files.delete(where, True)
+    return number
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The live generation of folder."""
-    live = _live(spark, folder)
+    live = V.numbered(spark, f"{folder}/log")
     if not live:
         raise FileNotFoundError(f"no generation in {folder}")
-    return spark.read.parquet(f"{folder}/{live[-1].split('-', 2)[2]}")
+    return spark.read.parquet(f"{folder}/{V.read_text(spark, V.entry_path(folder, live[-1]))}")
 
 
 EXTENSIONS = (".txt", ".doc", ".exe", ".zip", ".py", ".lnk", ".sql", ".png", ".pem", ".gz", ".md", ".xyz")
