@@ -89,11 +89,11 @@ class Table:
     folder: str
 
     @classmethod
-    def create(cls, rows: DataFrame, folder: str, keys: list[str], buckets: int = 64, extra: dict | None = None) -> Table:
+    def create(cls, rows: DataFrame, folder: str, keys: list[str], buckets: int = 64, extra: dict | None = None, by: list[str] | None = None) -> Table:
         """A new table with rows as version 0. More buckets make commits smaller and versions' entries longer. extra: what
-        else the entry should name."""
+        else the entry should name. by: the keys that buckets go by, all of them by default; what is looked up by."""
         table = cls(rows.sparkSession, folder)
-        head = {"keys": keys, "buckets": buckets, "schema": rows.schema.json()}
+        head = {"keys": keys, "by": by or keys, "buckets": buckets, "schema": rows.schema.json()}
         files = table._write(rows, head)
         if not create_once(table.spark, entry_path(folder, 0), json.dumps(head | {"changed": sorted(map(int, files)), "files": files, "extra": extra or {}})):
             raise Conflict(f"there is a table in {folder}")
@@ -106,7 +106,7 @@ class Table:
         return json.loads(read_text(self.spark, entry_path(self.folder, self.latest() if version is None else version)))
 
     def bucket(self, head: dict) -> Column:
-        return F.pmod(F.xxhash64(*head["keys"]), F.lit(head["buckets"])).cast("int")
+        return F.pmod(F.xxhash64(*head["by"]), F.lit(head["buckets"])).cast("int")
 
     def _write(self, rows: DataFrame, head: dict) -> dict[str, str]:
         """Bucket -> folder of what was written. Files are sorted by key, so that lookups of keys skip most of them."""
@@ -132,16 +132,17 @@ class Table:
         return self._read(self.entry(version))
 
     def lookup(self, keys: DataFrame, version: int | None = None) -> DataFrame:
-        """The rows of some keys: only their buckets are read. Their number is bounded by that of all buckets."""
+        """The rows of some values of the columns that buckets go by: only their buckets are read."""
         entry = self.entry(version)
-        found = keys.select(*entry["keys"]).distinct()
-        few = found.limit(FEW + 1).collect() if len(entry["keys"]) == 1 else []
+        by = entry["by"]
+        found = keys.select(*by).distinct()
+        few = found.limit(FEW + 1).collect() if len(by) == 1 else []
         if few and len(few) <= FEW:  # the filter reaches the files, which are sorted by key
             here = self.spark.createDataFrame(few, found.schema)
             buckets = {r[0] for r in here.select(self.bucket(entry)).collect()}
-            return self._read(entry, sorted(buckets)).where(F.col(entry["keys"][0]).isin([r[0] for r in few]))
-        buckets = [r[0] for r in found.select(self.bucket(entry)).distinct().collect()]
-        return self._read(entry, buckets).join(found, entry["keys"], "left_semi")
+            return self._read(entry, sorted(buckets)).where(F.col(by[0]).isin([r[0] for r in few]))
+        buckets = [r[0] for r in found.select(self.bucket(entry)).distinct().collect()]  # no more than there are buckets
+        return self._read(entry, buckets).join(found, by, "left_semi")
 
     def page(self, version: int, size: int, after: Column | None = None) -> DataFrame:
         """The first rows of a fixed version by key past a condition: a sequence of pages sees no later commit."""
@@ -160,7 +161,7 @@ class Table:
         kept = self._read(entry, touched).join(gone.distinct(), keys, "left_anti")
         files = self._write(kept.unionByName(changes.select(kept.columns)), entry) if touched else {}
         while True:
-            head = {k: entry[k] for k in ("keys", "buckets", "schema")}
+            head = {k: entry[k] for k in ("keys", "by", "buckets", "schema")}
             left = {b: p for b, p in entry["files"].items() if int(b) not in touched}
             extra = attach(entry["extra"], base + 1) if attach else entry["extra"]
             if create_once(self.spark, entry_path(self.folder, base + 1), json.dumps(head | {"changed": touched, "files": left | files, "extra": extra})):

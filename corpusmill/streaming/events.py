@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import text as X
-from corpusmill.sources.tables import read, shared_path
+from corpusmill.sources import versions as V
+from corpusmill.sources.tables import read, shared_path, written
 from corpusmill.streaming import leases
 
 
@@ -48,6 +49,51 @@ def latest_state(stream: DataFrame, name: str, keys: tuple[str, ...] = (), order
     return batches.join(F.broadcast(last), F.col("_batch") == F.col("_last")).select(*columns)
 
 
+def split_late(stream: DataFrame, time: str, delay_seconds: int, name: str, checkpoint: str | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(on time, late): rows of a stream by whether they came before the watermark that earlier micro-batches had set, which
+    is the largest time so far less the delay. Rows without a time are late.
+
+    Each micro-batch has a folder of its own on either side and notes the largest time so far, so one that is repeated
+    replaces itself; with a checkpoint and a store of its own a stream goes on where it was."""
+    spark = stream.sparkSession
+    out = store or shared_path(spark, name)
+
+    def split(df: DataFrame, batch: int) -> None:
+        marks = V.numbered(spark, f"{out}/marks")
+        high = max((int(V.read_text(spark, f"{out}/marks/{n:012d}")) for n in marks if n < batch), default=None)
+        micros = F.unix_micros(F.col(time).cast("timestamp"))
+        late = F.col(time).isNull() | (F.lit(False) if high is None else micros < high - delay_seconds * 1_000_000)
+        told = written(df.withColumn("_late", late), "micro-batch")
+        told.where("NOT _late").drop("_late").write.mode("overwrite").parquet(f"{out}/on-time/_batch={batch}")
+        told.where("_late").drop("_late").write.mode("overwrite").parquet(f"{out}/late/_batch={batch}")
+        top = told.agg(F.max(micros)).first()[0]
+        V.create_once(spark, f"{out}/marks/{batch:012d}", str(max(x for x in (top, high, -(1 << 62)) if x is not None)))
+
+    stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint or shared_path(spark, f"{name}-offsets")).trigger(availableNow=True).start().awaitTermination()
+    schema = stream.schema
+    both = [spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/{side}") if V.numbered(spark, f"{out}/marks") else spark.createDataFrame([], schema) for side in ("on-time", "late")]
+    return both[0], both[1]
+
+
+#: How long before a completion a cancel of the same item counts.
+RACE = "2 days"
+
+
+def cancel_race(completes: DataFrame, cancels: DataFrame, delay: str, within: str = RACE) -> DataFrame:
+    """completes (event_id, item, at) and cancels (item, at), two streams -> event_id, item, at, cancel_at: an outer join
+    over an interval, under the watermarks of both. A completion without a cancel comes out when neither stream can bring
+    one any more; one with several has a row for each."""
+    left = completes.withWatermark("at", delay)
+    right = cancels.select(F.col("item").alias("_item"), F.col("at").alias("cancel_at")).withWatermark("cancel_at", delay)
+    met = F.expr(f"item = _item AND cancel_at <= at AND cancel_at >= at - INTERVAL {within}")
+    return left.join(right, met, "left_outer").select("event_id", "item", "at", "cancel_at")
+
+
+def outcomes(raced: DataFrame) -> DataFrame:
+    """One row for each completion: cancelled if a cancel came no later."""
+    return raced.groupBy("event_id", "item", "at").agg(F.when(F.count("cancel_at") > 0, "cancelled").otherwise("completed").alias("outcome"))
+
+
 def resumed(events: DataFrame, after: int) -> DataFrame:
     """Events past an offset that a reader brings."""
     return events.where(F.col("event_id") > after)
@@ -114,7 +160,16 @@ def stream_queue_leases(spark: SparkSession, d: str) -> DataFrame:
     return changed.select("item", "status", "attempts")
 
 
-QUERIES = {f.__name__: f for f in (stream_event_resume, stream_filtered_events, stream_issue_fold, stream_deduplicated, stream_event_windows, stream_queue_leases)}
+def stream_cancel_race(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases against clicks of the same user, up to the day that both streams have left behind."""
+    e = lambda kind: source(spark, d).where(F.col("event_type") == kind).select("event_id", F.col("user_id").alias("item"), F.col("ts").cast("timestamp").alias("at"))
+    told = outcomes(drained(cancel_race(e("purchase"), e("click"), "1 hour"), "race"))
+    last = read(spark, d, "events").where("event_type IN ('purchase', 'click')").groupBy("event_type").agg(F.max("ts").alias("ts"))
+    settled = last.agg(F.date_trunc("day", F.min("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR")).alias("settled"))  # one row
+    return told.join(F.broadcast(settled), F.col("at") < F.col("settled")).select("event_id", "item", "outcome")
+
+
+QUERIES = {f.__name__: f for f in (stream_event_resume, stream_filtered_events, stream_issue_fold, stream_deduplicated, stream_event_windows, stream_queue_leases, stream_cancel_race)}
 ORACLE = {
     "stream_event_resume": "SELECT event_id, event_type, user_id FROM events WHERE event_id > 300",
     "stream_filtered_events": "SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING'",
@@ -139,5 +194,8 @@ ORACLE = {
         SELECT item, CASE WHEN status = 'leased' AND until <= edge THEN CASE WHEN cancel THEN 'cancelled' ELSE 'queued' END ELSE status END AS status, attempts
         FROM (SELECT item, max_by(status, rn) AS status, max_by(attempts, rn) AS attempts, max_by(until, rn) AS until, max_by(cancel, rn) AS cancel, bool_or(status <> 'queued') AS changed FROM s GROUP BY item), settled
         WHERE changed""",
+    "stream_cancel_race": """WITH settled AS (SELECT date_trunc('day', min(t) - INTERVAL 1 HOUR) AS edge FROM (SELECT max(ts) AS t FROM events WHERE event_type IN ('purchase', 'click') GROUP BY event_type))
+        SELECT event_id, user_id AS item, CASE WHEN EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 2 DAYS) THEN 'cancelled' ELSE 'completed' END AS outcome
+        FROM events p, settled WHERE event_type = 'purchase' AND ts < edge""",
     "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
