@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators import lineage as L
 from corpusmill.operators import merkle as M
+from corpusmill.operators import roots as R
 from corpusmill.operators.cells import CellIndex
 from corpusmill.operators.postings import PostingIndex
 from corpusmill.plans.knowledge import NEIGHBOURS
@@ -72,7 +74,62 @@ def merkle_changes(spark: SparkSession, d: str) -> DataFrame:
     return M.changes(a, b)
 
 
-QUERIES = {f.__name__: f for f in (versioned_commits, version_pages, indexed_search, vector_cells, merkle_changes)}
+def supersede_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Documents supersede one another: chains of any length by an id's last digits, some of which run in a circle."""
+    docs = read(spark, d, "documents").select("doc_id")
+    after = F.when(F.col("doc_id") % 40 == 39, F.when(F.col("doc_id") % 400 == 39, F.col("doc_id") - 39)).otherwise(F.col("doc_id") + 1)
+    return L.chains(docs.select("doc_id", after.alias("next")), "doc_id", "next")
+
+
+def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
+    """What each document was made from, over any number of steps: two parents each within blocks of thirty."""
+    docs = read(spark, d, "documents").select("doc_id")
+    parent = F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") - 7))
+    edges = docs.select(F.col("doc_id").alias("a"), parent.alias("b")).where("b >= 0 AND floor(a / 30) = floor(b / 30)")
+    return L.closure(edges)
+
+
+def node_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Edges in and out of a few suppliers, as a user's page would ask for them."""
+    l = read(spark, d, "lineitem").where("l_linenumber = 1")
+    edges = l.select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("t"), F.col("l_returnflag").alias("kind"))
+    told = L.detail(spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8)], "node long"), edges, "s", "t", "kind")
+    line = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["kind"], e["other"].cast("string"))), ",")
+    return told.select("node", F.size("outgoing").cast("long").alias("n_out"), F.md5(line(F.col("outgoing"))).alias("outgoing"), F.size("incoming").cast("long").alias("n_in"), F.md5(line(F.col("incoming"))).alias("incoming"))
+
+
+def version_children(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events in order, as children of the user."""
+    e = read(spark, d, "events").select("user_id", "event_id", "ts")
+    return L.children(e, "user_id", "event_id", [F.col("ts"), F.col("event_id")])
+
+
+def _tree(docs: DataFrame) -> DataFrame:
+    """A path for each document, from one to four parts deep; parts that begin alike are told apart by separators alone."""
+    part = lambda name, n: F.concat(F.lit(name), (F.floor(F.col("doc_id") / 3) % n).cast("string"))
+    parts = F.array(F.concat(F.col("source"), F.lit("-"), (F.col("doc_id") % 97).cast("string")), part("a", 7), part("b b", 11), part("c-", 13))
+    return docs.select("doc_id", F.array_join(F.slice(parts, 1, (F.floor(F.col("doc_id") / 5) % 4 + 1).cast("int")), "/").alias("path"))
+
+
+def covering_roots(spark: SparkSession, d: str) -> DataFrame:
+    return R.covering(_tree(read(spark, d, "documents").where("doc_id % 4 <> 1")))
+
+
+def followed_links(spark: SparkSession, d: str) -> DataFrame:
+    """A link in each document's directory to another one: there are fewer directories than targets, and some lead back."""
+    docs = read(spark, d, "documents").select("doc_id")
+    name = lambda c: F.concat(F.lit("dir"), c.cast("string"))
+    links = docs.select(F.concat(name(F.col("doc_id") % 60), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), name(F.col("doc_id") % 60).alias("directory"), name((F.col("doc_id") * 7 + F.floor(F.col("doc_id") / 60)) % 75).alias("target"))
+    return R.followed(links, links.select("directory").distinct(), spark.createDataFrame([("dir0",), ("dir1",)], "directory string"))
+
+
+def customer_roots(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    path = F.concat_ws("/", F.concat(F.col("lang"), F.lit(" Site"), F.col("doc_id") % 31), F.col("source"), F.concat(F.lit("Doc "), F.col("doc_id"), F.lit(".txt")))
+    return R.customer_roots(read(spark, d, "nation").select(F.concat_ws("\\", "n_name", F.lit("site2")).alias("path")), docs.select(path.alias("path")), [" site2 ", "DOC 1", "france"])
+
+
+QUERIES = {f.__name__: f for f in (versioned_commits, version_pages, indexed_search, vector_cells, merkle_changes, supersede_chains, lineage_closure, node_detail, version_children, covering_roots, followed_links, customer_roots)}
 
 ORACLE = {
     "versioned_commits": """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 5
@@ -84,4 +141,22 @@ ORACLE = {
       SELECT query_id, vec_id, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 12), vec_id) <= {NEIGHBOURS}""",
     "merkle_changes": """SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 5 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 1009 = 5 OR o_orderkey % 997 = 3
       UNION ALL SELECT o_orderkey + 1000000000, 'added' FROM orders WHERE o_orderkey % 1013 = 7""",
+    "supersede_chains": """WITH n AS (SELECT doc_id, doc_id // 40 * 40 AS first, doc_id % 40 AS k FROM documents)
+      SELECT doc_id, CASE WHEN first % 400 = 0 THEN NULL ELSE first + 39 END AS "end", CASE WHEN first % 400 = 0 THEN 0 ELSE 39 - k END AS steps, first % 400 = 0 AS circular FROM n WHERE first % 400 = 0 OR k < 39""",
+    "lineage_closure": """WITH RECURSIVE e AS (SELECT doc_id AS a, unnest([doc_id - 1, doc_id - 7]) AS b FROM documents), k AS (SELECT a, b FROM e WHERE b >= 0 AND a // 30 = b // 30),
+      w AS (SELECT a, b, CAST(1 AS BIGINT) AS steps FROM k UNION SELECT w.a, k.b, w.steps + 1 FROM w JOIN k ON w.b = k.a) SELECT a, b, min(steps) AS steps FROM w GROUP BY 1, 2""",
+    "node_detail": """WITH e AS (SELECT CAST(l_suppkey AS BIGINT) AS s, CAST(l_partkey AS BIGINT) AS t, l_returnflag AS kind FROM lineitem WHERE l_linenumber = 1), n AS (SELECT unnest([1, 2, 3, 5, 8]) AS node),
+      o AS (SELECT s AS node, count(*) AS n, md5(string_agg(kind || ':' || t, ',' ORDER BY kind, t)) AS m FROM e GROUP BY 1), i AS (SELECT t AS node, count(*) AS n, md5(string_agg(kind || ':' || s, ',' ORDER BY kind, s)) AS m FROM e GROUP BY 1)
+      SELECT CAST(node AS BIGINT) AS node, coalesce(o.n, 0) AS n_out, coalesce(o.m, md5('')) AS outgoing, coalesce(i.n, 0) AS n_in, coalesce(i.m, md5('')) AS incoming FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)""",
+    "version_children": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events",
+    "covering_roots": """WITH p AS (SELECT DISTINCT array_to_string(list_slice([source || '-' || doc_id % 97, 'a' || doc_id // 3 % 7, 'b b' || doc_id // 3 % 11, 'c-' || doc_id // 3 % 13], 1, doc_id // 5 % 4 + 1), '/') AS path FROM documents WHERE doc_id % 4 <> 1)
+      SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE starts_with(p.path, q.path || '/'))""",
+    "followed_links": """WITH RECURSIVE l AS (SELECT 'dir' || doc_id % 60 || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, 'dir' || doc_id % 60 AS directory, 'dir' || (doc_id * 7 + doc_id // 60) % 75 AS target FROM documents), d AS (SELECT DISTINCT directory FROM l),
+      r AS (SELECT directory, 0 AS level FROM d WHERE directory IN ('dir0', 'dir1') UNION SELECT l.target, r.level + 1 FROM r JOIN l USING (directory) WHERE l.target IN (SELECT directory FROM d) AND r.level < 60), v AS (SELECT directory, min(level) AS level FROM r GROUP BY 1),
+      s AS (SELECT path, v.level + 1 AS level, target, CASE WHEN target NOT IN (SELECT directory FROM d) THEN 'missing' WHEN target = directory THEN 'loop' WHEN (SELECT level FROM v t WHERE t.directory = l.target) <= v.level THEN 'covered' ELSE 'new' END AS status FROM l JOIN v USING (directory))
+      SELECT path, level, CASE WHEN status <> 'new' THEN status WHEN row_number() OVER (PARTITION BY target, status ORDER BY path) = 1 THEN 'followed' ELSE 'duplicate' END AS status FROM s""",
+    "customer_roots": """WITH p AS (SELECT lang || ' Site' || doc_id % 31 || '/' || source || '/Doc ' || doc_id || '.txt' AS path FROM documents),
+      f AS (SELECT 1 AS k, path, split_part(path, '/', 1) AS root FROM (SELECT DISTINCT path FROM p WHERE lower(path) LIKE '%site2%' OR lower(path) LIKE '%doc 1%' OR lower(path) LIKE '%france%' ORDER BY path LIMIT 500)
+            UNION ALL SELECT 0, n_name || chr(92) || 'site2', n_name FROM nation)
+      SELECT root, row_number() OVER (ORDER BY min((k, path))) AS position FROM f WHERE lower(root) LIKE '%site2%' OR lower(root) LIKE '%doc 1%' OR lower(root) LIKE '%france%' GROUP BY root""",
 }

@@ -3,7 +3,7 @@
 A part's hashes are written to a folder of its own, which counts when it is whole; a run that was killed hashes only what
 no finished part has, at the same size and time. Files are listed before they are hashed and again afterwards: one whose
 size or time differs is reported as changed and hashed by the next run, one that is gone as missing. Counts come with the
-writing, as observed metrics, not by another pass.
+writing, as observed metrics, not by another pass. Files without content, which Spark's readers do not list, have no row.
 """
 
 from __future__ import annotations

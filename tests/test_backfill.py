@@ -18,7 +18,7 @@ def test_killed_half_way(spark, tmp_path):
     source, store = tmp_path / "in", str(tmp_path / "store")
     (source / "sub").mkdir(parents=True)
     for i in range(40):
-        (source / ("sub" if i % 2 else ".") / f"f{i}.bin").write_bytes(b"%d" % i * i)
+        (source / ("sub" if i % 2 else ".") / f"f{i}.bin").write_bytes(b"%d" % i * i)  # the first one is empty, and so not listed
 
     def die(part):
         if part == 2:
@@ -27,11 +27,11 @@ def test_killed_half_way(spark, tmp_path):
     with pytest.raises(RuntimeError, match="killed"):
         B.backfill(spark, str(source), store, 6, die)
     done = B.hashes(spark, store).count()
-    assert 0 < done < 40
+    assert 0 < done < 39
     again = B.backfill(spark, str(source), store, 6)
-    assert (again.known, again.hashed, again.changed, again.missing) == (done, 40 - done, 0, 0)
+    assert (again.known, again.hashed, again.changed, again.missing) == (done, 39 - done, 0, 0)
     got = {r.path.split("/")[-1]: r.sha256 for r in B.hashes(spark, store).collect()}
-    assert got == {f"f{i}.bin": hashlib.sha256(b"%d" % i * i).hexdigest() for i in range(40)}
+    assert got == {f"f{i}.bin": hashlib.sha256(b"%d" % i * i).hexdigest() for i in range(1, 40)}
     assert B.backfill(spark, str(source), store).hashed == 0
 
 
