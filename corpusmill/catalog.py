@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES (name -> f(spark, sf_dir)) and ORACLE (name -> SQL).
-MODULES = ("plans.ingest", "plans.queue", "plans.knowledge", "plans.records", "plans.files", "plans.stores", "plans.exports", "streaming.events")
+MODULES = ("plans.ingest", "plans.queue", "plans.knowledge", "plans.records", "plans.files", "plans.stores", "plans.exports", "plans.forms", "streaming.events")
 FLAGSHIP = "hybrid_search"
 
 

@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions by how their files are treated.
@@ -91,6 +91,27 @@ def is_historical(path: Column) -> Column:
     return F.lower(path).contains("#history/") | F.exists(folded, old)
 
 
+def contained(path: Column, root: Column) -> Column:
+    """Whether a path lies in a root or is it, part by part, once its own steps up are taken; one that climbs out does not."""
+    parts = lambda c: F.filter(F.split(F.translate(c, "\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    # a step up takes the part before it; where there is none it stays, and so matches no root
+    taken = F.aggregate(parts(path), F.array().cast("array<string>"), lambda done, p: F.when((p == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)))
+    own = parts(root)
+    return F.slice(taken, 1, F.size(own)) == own
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """files (path) -> path, kind, depth, folded: all files and the directories above them, in what order a scan by levels
+    meets them: sort by depth, then folded, then path. A directory that is left out is met, but nothing below it."""
+    parts = F.split("path", "/")
+    depths = F.sequence(F.lit(1), F.size(parts))
+    levels = files.where("path <> ''").distinct().select(F.size(parts).alias("n"), parts.alias("parts"), F.explode(depths).alias("depth"))
+    met = levels.select(F.slice("parts", 1, F.col("depth")).alias("parts"), "depth", F.when(F.col("depth") < F.col("n"), "directory").otherwise("file").alias("kind")).distinct()
+    above = F.slice("parts", 1, F.col("depth") - 1)
+    seen = met.where(~F.arrays_overlap(above, F.array(*map(F.lit, EXCLUDED_PARTS))))
+    return seen.select(F.array_join("parts", "/").alias("path"), "kind", "depth", F.transform("parts", lambda p: F.lower(p)).alias("folded"))
+
+
 def is_excluded(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, EXCLUDED_PARTS)))
 

@@ -41,7 +41,7 @@ def csv_export(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_path(spark, "csv")
     sinks.publish_lines(rows.select("id", "line_number", sinks.csv_line([F.col(c) for c in rows.columns]).alias("line")), ["id", "line_number"], sinks.csv_header(rows.columns), folder, "none")
     # Spark's reader of lines drops a byte order mark, so the header is read as bytes
-    header = spark.read.format("binaryFile").load(f"{folder}/0-header/*.txt").select(F.lit("0-header").alias("part"), F.decode("content", F.lit("UTF-8")).alias("line"))
+    header = spark.read.format("binaryFile").load(f"{folder}/0-header/*.txt").select(F.lit("0-header").alias("part"), F.decode("content", "UTF-8").alias("line"))
     lines = header.unionByName(sinks.lines_of(spark, folder).where("part = '1-lines'"))
     return lines.groupBy("part", F.regexp_replace("line", "[\r\n]+$", "").alias("line")).agg(F.count("*").alias("n"))
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.paths import is_excluded
-from corpusmill.sources.formats import rtf_text, workbook_text
+from corpusmill.sources.formats import printable_runs, rtf_text, workbook_text
 
 # First bytes of formats, in the order of the probe.
 MAGIC = (("25504446", "pdf"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("1F8B", "gzip"), ("7B5C727466", "rtf"))
+OLE = bytes.fromhex("D0CF11E0A1B11AE1")
 PROBE_BYTES, LEAST_TEXT = 65536, 0.85
 MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_RATIO = 1000, 64 << 20, 100
 
@@ -88,6 +89,15 @@ def _mail(data: bytes) -> str:
     return "\n".join(lines)
 
 
+def _compound(data: bytes) -> str:
+    """Printable stretches of a compound file, in either of the encodings that such files use. The file is looked through
+    as it lies there, not stream by stream."""
+    runs = [run for encoding in ("utf-16-le", "cp932") for run in printable_runs(data.decode(encoding, "ignore"))]
+    if not runs:
+        raise ValueError("ole_text_not_found")
+    return "\n".join(runs)
+
+
 def _archive(data: bytes) -> str:
     """Text members; members that climb out, link, swell or are too many are named and left out."""
     out = []
@@ -114,6 +124,8 @@ def _extract(path: str, data: bytes) -> tuple[str | None, str | None, str | None
             return _mail(data), "mail", None
         if ext == ".zip":
             return _archive(data), "archive", None
+        if data.startswith(OLE):
+            return _compound(data), "ole-runs", None
         text, encoding = decode_text(data)
         return text, encoding, None if text is not None else "unknown_encoding"
     except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, LookupError) as e:
@@ -131,16 +143,6 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, extractor string, error string")
 
 
-def archive_rows(rows: DataFrame, path: str) -> None:
-    """Rows as compressed lines of JSON, a file for each partition."""
-    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).write.text(path, compression="gzip")
-
-
-def export_csv(rows: DataFrame, path: str, order: list[str]) -> None:
-    """Sorted CSV with a header in each part."""
-    rows.orderBy(*order).write.option("header", True).csv(path)
-
-
 def event_lines(kind: Column, number: Column, data: Column) -> Column:
     """One message of an event stream."""
     return F.format_string("id: %s\nevent: %s\ndata: %s\n\n", number.cast("string"), kind, data)
