@@ -41,7 +41,11 @@ def search(chunks: DataFrame, query: str, vector: list[float] | None, limit: int
     terms = X.query_terms(query)
     by_id = F.col("chunk_id")
     distance = F.lit(None).cast("double") if vector is None else 1 - V.cosine(F.col("vector"), F.array(*map(F.lit, vector)))
-    facts = written(chunks.select("chunk_id", "doc_id", "ordinal", "path", any_term(F.col("path"), terms).alias("in_path"), any_term(F.col("text"), terms).alias("in_text"), distance.alias("distance")), "search-facts")
+    # each text is folded once, however many terms are looked for in it
+    folded = chunks.select("chunk_id", "doc_id", "ordinal", "path", F.lower("path").alias("_path"), F.lower("text").alias("_text"), distance.alias("distance"))
+    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in terms], F.lit(False))
+    facts = folded.select("chunk_id", "doc_id", "ordinal", "path", holds("_path").alias("in_path"), holds("_text").alias("in_text"), "distance")
+    facts = written(facts, "search-facts")
     channels = [top(facts, F.col("in_path"), [by_id], CANDIDATES, 1), top(facts, F.col("in_text"), [by_id], CANDIDATES, 2)]
     if vector is not None:
         channels.append(top(facts, F.col("distance").isNotNull(), [F.col("distance"), by_id], RANKED, 3))
@@ -63,7 +67,9 @@ def search(chunks: DataFrame, query: str, vector: list[float] | None, limit: int
             parts.append(later(mentioned.join(ids, "symbol_id", "left_semi"), F.col("score") / 45, "code_document_link", 7))
     met = written(reduce(DataFrame.unionByName, channels).coalesce(1), "candidates")
     wanted = F.broadcast(met.groupBy("chunk_id").agg(F.min(F.struct("channel", "rank")).alias("seq")))
-    rows = written(chunks.select("chunk_id", "doc_id", "path", "text").join(wanted, "chunk_id").withColumn("hits", X.term_hits(F.col("text"), terms)).coalesce(1), "found-chunks")
+    # the channels' limits bound these documents, so a filter on them reaches the scan, before texts are cut into chunks
+    some = [r[0] for r in facts.join(F.broadcast(met.select("chunk_id").distinct()), "chunk_id", "left_semi").select("doc_id").distinct().collect()]
+    rows = written(chunks.where(F.col("doc_id").isin(some)).select("chunk_id", "doc_id", "path", "text").join(wanted, "chunk_id").withColumn("hits", X.term_hits(F.col("text"), terms)).coalesce(1), "found-chunks")
     lexical = rows.where("seq.channel < 4")
     keyword = lexical.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "seq"))).where(F.col("rank") <= RANKED)
     exact = X.fold(F.col("text")).contains(query.casefold())
