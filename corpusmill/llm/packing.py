@@ -7,7 +7,8 @@ weight, so that related documents meet whatever the number of shards. A seed doc
 neighbours by BM25 over all its terms fill it greedily; the last one is cut at the window's end, and what is left of it
 seeds the next window. Only a shard's last window can have room left.
 
-A seed's neighbours in other shards are not found: README gives the measured share that is.
+In packing, a seed's neighbours in other shards are not found: README gives the measured share that is. `neighbours_of`
+finds the best over all shards for a stated set of seeds.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null doc_id stays null;
 an empty table gives no rows. Columns other than id and text are not read.
@@ -17,14 +18,16 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import read, texts_of, tune, write_cut
@@ -38,6 +41,8 @@ CELLS = 4
 #: A term in at least one of so many documents of a shard has a row of its own.
 DENSE = 8
 K1, B = 1.2, 0.75
+#: Seeds that every shard is asked about at a time.
+SEED_BLOCK = 512
 #: Runs of blanks over this length go through the slower encoder.
 LONG_RUN = " " * 512
 
@@ -153,7 +158,10 @@ class Bm25Shard:
 
     def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
         """BM25 of every document for the terms of the seed; 0 for used ones."""
-        terms = self.term[self.of_doc[seed] : self.of_doc[seed + 1]]
+        return self.scores_of(self.term[self.of_doc[seed] : self.of_doc[seed + 1]], used)
+
+    def scores_of(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """BM25 of every document for some terms, each once; 0 for used ones."""
         rows = self.row[terms]
         terms = terms[self.of_term[terms + 1] > self.of_term[terms]]
         out = np.zeros(len(used))
@@ -290,9 +298,19 @@ def sharded(texts: DataFrame, idf: np.ndarray, df: np.ndarray, kind: type, token
     return rows.mapInArrow(run, "doc_id long, ids binary, shard long")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The pieces of all documents. Shards are dealt by content, with large groups split; a lost task reads the written
-    ids again."""
+@dataclass
+class Placed:
+    """Documents' ids in shards, and what the whole corpus says of terms and lengths."""
+
+    tokens: DataFrame
+    rows: DataFrame
+    idf: Broadcast
+    mean_length: float
+    kind: type
+    shards: int
+
+
+def placed_in_shards(docs: DataFrame, path: str, shard_tokens: int) -> Placed:
     spark = docs.sparkSession
     tune(spark)
     enc = encoder(path)
@@ -301,9 +319,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     total = texts.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     df = document_frequencies(tokens, enc.size)
     idf = spark.sparkContext.broadcast(np.log1p((total.docs - df + 0.5) / (df + 0.5)))
-    mean_length, kind = max(1.0, total.tokens / max(1, total.docs)), enc.kind
     shards = max(1, ceil(total.tokens / shard_tokens))
-    placed = sharded(texts, idf.value, df, kind, total.tokens, shards)
+    return Placed(texts, sharded(texts, idf.value, df, enc.kind, total.tokens, shards), idf, max(1.0, total.tokens / max(1, total.docs)), enc.kind, shards)
+
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The pieces of all documents. Shards are dealt by content, with large groups split; a lost task reads the written
+    ids again."""
+    placed = placed_in_shards(docs, path, shard_tokens)
+    idf, mean_length, kind, shards = placed.idf, placed.mean_length, placed.kind, placed.shards
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
@@ -313,8 +337,49 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
         out["doc_id"] = part["doc_id"].astype("Int64").to_numpy()[out["doc_id"].to_numpy(dtype=np.int64)]
         return out
 
-    # a task for each shard, whatever the session's number of partitions, so that no task grows with the corpus
-    return placed.repartition(shards, "shard").groupBy("shard").applyInPandas(run, _PIECES)
+    # as many parts as shards, whatever the session's number of partitions, so that no task grows with the corpus; a part may
+    # get several shards, which pass through it one after the other
+    return placed.rows.repartition(shards, "shard").groupBy("shard").applyInPandas(run, _PIECES)
+
+
+def neighbours_of(docs: DataFrame, seeds: DataFrame, path: str, k: int = 10, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """query_id, doc_id, score: the k best documents by BM25 for each of some seeds (doc_id), over all shards, exactly.
+
+    Seeds go to all shards in blocks of bounded size, each shard gives its k best, and the best of those are the corpus's
+    own: documents of other shards are found, as packing does not. The work grows with seeds times corpus, so seeds are a
+    stated set. A seed that stands several times or under several texts asks once for each text; itself and other
+    rows of its id are left out; ties go to the smaller id; documents that share no term are no neighbours."""
+    placed = placed_in_shards(docs, path, shard_tokens)
+    idf, mean_length, kind = placed.idf, placed.mean_length, placed.kind
+    asked = placed.tokens.join(seeds.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id").select("doc_id", "ids").distinct()
+    asked = write_cut(asked, "seeds")
+    blocks = max(1, -(-asked.count() // SEED_BLOCK))
+    best = None
+
+    def asking(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
+            index = Bm25Shard([np.frombuffer(x, kind) for x in rows["ids"]], idf.value, mean_length)
+            names, none, out = rows["doc_id"].astype("Int64"), np.zeros(len(rows), bool), []
+            own = names.to_numpy(dtype=float, na_value=np.nan)
+            for query, terms in shared.value:
+                scores = index.scores_of(terms, none)
+                scores[own == query] = 0
+                found = np.flatnonzero(scores)
+                first = found[np.argsort(-scores[found], kind="stable")[:k]]
+                out.append(pd.DataFrame({"query_id": query, "doc_id": names.iloc[first].array, "score": scores[first]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+        return run
+
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks)) == block).collect()
+        shared = docs.sparkSession.sparkContext.broadcast([(i, np.unique(np.frombuffer(x, kind)).astype(np.int64)) for i, x in part])
+
+        found = placed.rows.repartition(placed.shards, "shard").groupBy("shard").applyInPandas(asking(shared), "query_id long, doc_id long, score double")
+        best = found if best is None else best.unionByName(found)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return best.withColumn("n", nth).where(F.col("n") <= k).drop("n")
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

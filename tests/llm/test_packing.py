@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import packing as K
@@ -121,3 +122,40 @@ def test_related_documents_meet_at_every_size(spark):
     docs = [np.arange(40, dtype=np.uint16), np.arange(20, dtype=np.uint16), np.array([39, 41], np.uint16)]  # the last shares the 21st term alone
     index = K.Bm25Shard(docs, np.linspace(9, 1, 60), 10.0)
     assert sorted(index.neighbours(0, np.array([True, False, False]))) == [1, 2]
+
+
+def test_neighbours_over_all_shards_equal_brute_force(spark):
+    """At three numbers of shards the best ten of every fiftieth document are those of BM25 over the whole table."""
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    path = K.default_vocabulary()
+    enc = K.encoder(path)
+    texts = {r.doc_id: enc.ids(r.text or "") for r in docs.collect()}
+    ids = sorted(texts)
+    df = np.zeros(enc.size)
+    for x in texts.values():
+        df[np.unique(x)] += 1
+    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+    mean = sum(map(len, texts.values())) / len(ids)
+    want = {}
+    for q in (i for i in ids if i % 50 == 0):
+        terms, scores = np.unique(texts[q]), {}
+        for d in ids:
+            counts = np.bincount(texts[d], minlength=enc.size)[terms]
+            scores[d] = float((idf[terms] * counts * (K.K1 + 1) / (counts + K.K1 * (1 - K.B + K.B * len(texts[d]) / mean))).sum())
+        want[q] = sorted((d for d in ids if d != q and scores[d] > 0), key=lambda d: (-round(scores[d], 3), d))[:10], scores
+    seeds = docs.where("doc_id % 50 = 0").select("doc_id")
+    for shard_tokens in (1 << 22, 20_000, 4_000):
+        got = {}
+        for r in K.neighbours_of(docs, seeds, path, 10, shard_tokens).orderBy("query_id", F.desc("score"), "doc_id").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert got.keys() == want.keys()
+        for q, (best, scores) in want.items():
+            assert [s for _, s in got[q]] == pytest.approx([scores[d] for d in best], rel=1e-4)
+            assert all(scores[d] == pytest.approx(s, rel=1e-4) for d, s in got[q])
+
+
+def test_neighbours_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "one two"), (None, "three one"), (4, None), (5, "")], "doc_id long, text string")
+    out = K.neighbours_of(docs, spark.createDataFrame([(1,), (99,), (None,)], "doc_id long"), K.default_vocabulary(), 10, 4)
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "4", "5", "None"]  # every document ends with the same id
+    assert K.neighbours_of(docs.limit(0), docs.select("doc_id"), K.default_vocabulary()).count() == 0
