@@ -1,11 +1,12 @@
 """Licence scans by a positional index of rare tokens, in DataFrame functions alone.
 
-A template is a label with passages of a licence; each passage has mandatory key phrases, which must stand where the
-passage has them. How many files hold each mandatory word is counted over the whole corpus; each passage is filed under
-its two rarest ones, with their places in it. In a file every such word points to where a passage would start; starts
-that both words agree on are candidates, and a candidate counts once all key phrases of its passage stand in their
-places. What lies between key phrases may be worded otherwise, word for word. A label needs all of its passages, in
-whatever order; both index words are mandatory, so the index loses no place.
+A template is a label with passages of a licence; each passage has mandatory key phrases, in order. How many files hold
+each mandatory word is counted over the whole corpus; each phrase is filed under its two rarest words, with their places
+in it. In a file every such word points to where a phrase would start; starts that both words agree on are candidates,
+and a candidate counts once the whole phrase stands there. A passage stands where its phrases follow one another in
+order, each up to SLACK words nearer or further than the passage has it: so what lies between key phrases may be worded
+otherwise, with more words or fewer. A label needs all of its passages, in whatever order; both index words of a phrase
+are mandatory, so the index loses no place.
 
 Defined results: a null or empty text has no words and no places (null first and last word, empty labels, score 0);
 repeated rows and null ids keep their rows; an empty table gives no rows. Columns other than id and text are not read.
@@ -23,6 +24,8 @@ from corpusmill.llm.common import read, texts_of
 
 #: Everything between words: ASCII that is neither digit nor letter.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words by which the distance of two phrases may differ from the passage's.
+SLACK = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -143,16 +146,34 @@ def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[
     return counted, counted.pop("", 0)
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (all), score, places (array of passage, start)."""
+def _steps(number: int, passage: Passage, phrases: list[tuple[str, ...]]) -> Column:
+    """passage, at (place of its first phrase), steps: from the last phrase to the first, with the distance to the next."""
+    parts = passage.parts()
+    gaps = [b - a for (a, _), (b, _) in zip(parts, parts[1:], strict=False)] + [0]
+    steps = [
+        F.struct(F.lit(phrases.index(tuple(k))).alias("phrase"), F.lit(len(k)).alias("size"), F.lit(gap).alias("gap"), F.lit(i == len(parts) - 1).alias("last"))
+        for i, ((_, k), gap) in enumerate(zip(parts, gaps, strict=True))
+    ]
+    return F.struct(F.lit(number).alias("passage"), F.lit(parts[0][0]).alias("at"), F.array(*steps[::-1]).alias("steps"))
+
+
+def phrases_of(passages: list[Passage]) -> list[tuple[str, ...]]:
+    """Every key phrase once; its number is its place here."""
+    return list(dict.fromkeys(tuple(k) for p in passages for _, k in p.parts()))
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, slack: int = SLACK) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (all), score, places (array of passage, start:
+    where its first key phrase has it start)."""
     texts = texts_of(docs)
     passages = passages_of(templates)
-    vocabulary = sorted({w for p in passages for w in p.mandatory().values()})
+    phrases = phrases_of(passages)
+    vocabulary = sorted({w for k in phrases for w in k})
     df, n = document_frequencies(texts, vocabulary)
     idf = {w: math.log1p((n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in vocabulary}
     postings: list[dict[str, list[int]]] = [{}, {}]
-    for k, p in enumerate(passages):
-        at = {w: i for i, w in sorted(p.mandatory().items(), reverse=True)}
+    for k, words in enumerate(phrases):
+        at = {w: i for i, w in reversed(list(enumerate(words)))}
         rare = sorted(at, key=lambda w: (df.get(w, 0), w))
         for half, w in zip(postings, (rare[0], rare[min(1, len(rare) - 1)]), strict=True):
             half.setdefault(w, []).append((k << SHIFT) + REACH - at[w])
@@ -168,21 +189,32 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         here = F.filter("seen", lambda s: s["w"].isin(list(half)))
         return F.flatten(F.transform(here, lambda s: F.transform(F.element_at(index, s["w"]), lambda x: x + s["i"])))
 
-    keys = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), F.lit(len(k)).alias("size"), F.lit(" ".join(k)).alias("text")) for at, k in p.parts()]) for p in passages])
+    keys = F.array(*[F.struct(F.lit(len(k)).alias("size"), F.lit(" ".join(k)).alias("text")) for k in phrases])
 
     def stands(p: Column) -> Column:
-        """Every key phrase in its place. Comparing the joined words keeps the length in the comparison."""
+        """The whole phrase in its place. Comparing the joined words keeps the length in the comparison."""
+        key = F.element_at(keys, p["phrase"] + 1)
+        return (p["start"] >= 0) & (F.array_join(F.slice("words", F.greatest(p["start"], F.lit(0)) + 1, key["size"]), " ") == key["text"])
+
+    # each passage's phrases from the last to the first: what is left in the end are starts from which all others follow
+    steps = F.array(*[_steps(k, p, phrases) for k, p in enumerate(passages)])
 
-        def one(k: Column) -> Column:
-            first = p["start"] + k["at"]
-            return (first >= 0) & (F.array_join(F.slice("words", F.greatest(first, F.lit(0)) + 1, k["size"]), " ") == k["text"])
+    def chained(p: Column) -> Column:
+        def before(later: Column, step: Column) -> Column:
+            here = F.transform(F.filter("stood", lambda q: q["phrase"] == step["phrase"]), lambda q: q["start"])
+            # all starts from which a later one is near enough, met by hashing: linear, however often phrases stand
+            reach = lambda y: F.sequence(y - step["gap"] - slack, F.least(y - step["gap"] + slack, y - step["size"]))
+            return F.when(step["last"], here).otherwise(F.array_intersect(here, F.array_distinct(F.flatten(F.transform(later, reach)))))
 
-        return F.forall(F.element_at(keys, p["passage"] + 1), one)
+        first = F.aggregate(p["steps"], F.array().cast("array<int>"), before)
+        return F.transform(first, lambda x: F.struct(p["passage"].alias("passage"), (x - p["at"]).alias("start")))
 
     seen = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(anchors))
     found = low.select("doc_id", "n_words", "words", seen.alias("seen")).select("doc_id", "n_words", "words", F.array_intersect(starts(postings[0]), starts(postings[1])).alias("candidates"))
-    decoded = F.transform("candidates", lambda c: F.struct(F.shiftright(c, SHIFT).cast("int").alias("passage"), (c.bitwiseAND((1 << SHIFT) - 1) - REACH).cast("int").alias("start")))
-    places = found.select("doc_id", "n_words", "words", decoded.alias("decoded")).select("doc_id", "n_words", F.filter("decoded", stands).alias("places"))
+    decoded = F.transform("candidates", lambda c: F.struct(F.shiftright(c, SHIFT).cast("int").alias("phrase"), (c.bitwiseAND((1 << SHIFT) - 1) - REACH).cast("int").alias("start")))
+    stood = found.select("doc_id", "n_words", "words", decoded.alias("decoded")).select("doc_id", "n_words", F.filter("decoded", stands).alias("stood"))
+    none = F.array().cast("array<struct<passage:int,start:int>>")
+    places = stood.select("doc_id", "n_words", F.when(F.size("stood") > 0, F.flatten(F.transform(steps, chained))).otherwise(none).alias("places"))
     places = places.withColumn("passages", F.array_distinct(F.transform("places", lambda p: p["passage"])))
 
     number = {p: k for k, p in enumerate(passages)}
@@ -208,21 +240,27 @@ def op3_licence_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """Every mandatory word at every word, without an index."""
+    """Every word of every phrase at every word, without an index; then phrase after phrase."""
     passages = passages_of(TEMPLATES)
+    phrases = phrases_of(passages)
     number = {p: k for k, p in enumerate(passages)}
-    rows = ", ".join(f"({k}, {j}, '{w}', {len(p.mandatory())})" for k, p in enumerate(passages) for j, w in p.mandatory().items())
+    rows = ", ".join(f"({k}, {j}, '{w}', {len(words)})" for k, words in enumerate(phrases) for j, w in enumerate(words))
+    parts = ", ".join(f"({k}, {j}, {phrases.index(tuple(words))}, {at}, {len(words)}, {len(p.parts())})" for k, p in enumerate(passages) for j, (at, words) in enumerate(p.parts()))
     needs = [(i, t.label, t.base, number[p], len(t.passages)) for i, t in enumerate(TEMPLATES) for p in t.passages]
     needed = ", ".join(f"({i}, '{label}', {str(base).lower()}, {k}, {n})" for i, label, base, k, n in needs)
     return f"""
-WITH p(passage, rel, word, size) AS (VALUES {rows}), t(template, label, base, passage, needs) AS (VALUES {needed}),
+WITH RECURSIVE p(phrase, rel, word, size) AS (VALUES {rows}), q(passage, j, phrase, pos, size, many) AS (VALUES {parts}), t(template, label, base, passage, needs) AS (VALUES {needed}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
 w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d),
 v AS (SELECT * FROM w WHERE word IN (SELECT word FROM p)),
 f AS (SELECT word, count(DISTINCT r) AS df FROM v GROUP BY word),
 idf AS (SELECT word, ln(1 + ((SELECT count(*) FROM d) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT word FROM p) LEFT JOIN f USING (word)),
-weight AS (SELECT passage, round(sum(idf), 6) AS weight FROM (SELECT DISTINCT passage, word FROM p) JOIN idf USING (word) GROUP BY passage),
-place AS (SELECT r, passage, i - rel AS start FROM v JOIN p USING (word) GROUP BY r, passage, i - rel, size HAVING count(*) = size),
+weight AS (SELECT passage, round(sum(idf), 6) AS weight FROM (SELECT DISTINCT passage, word FROM q JOIN p USING (phrase)) JOIN idf USING (word) GROUP BY passage),
+stood AS (SELECT r, phrase, i - rel AS start FROM v JOIN p USING (word) GROUP BY r, phrase, i - rel, size HAVING count(*) = size),
+s AS (SELECT r, passage, j, start, pos, size, many FROM stood JOIN q USING (phrase)),
+chain AS (SELECT r, passage, j, start AS first, start - pos AS place, start, pos, size, many FROM s WHERE j = 0
+  UNION SELECT c.r, c.passage, s.j, c.first, c.place, s.start, s.pos, s.size, s.many FROM chain c JOIN s ON s.r = c.r AND s.passage = c.passage AND s.j = c.j + 1 AND s.start >= c.start + c.size AND abs(s.start - c.start - (s.pos - c.pos)) <= {SLACK}),
+place AS (SELECT DISTINCT r, passage, place AS start FROM chain WHERE j = many - 1),
 held AS (SELECT r, label, base FROM (SELECT DISTINCT r, passage FROM place) JOIN t USING (passage) GROUP BY r, template, label, base, needs HAVING count(*) = needs),
 lab AS (SELECT r, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM held GROUP BY r),
 b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM place WHERE passage IN (SELECT passage FROM t WHERE base) GROUP BY r),

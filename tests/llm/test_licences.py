@@ -37,6 +37,35 @@ def brute(text):
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), labels([t for t in held if t.base]), labels(held)
 
 
+def chains(words, passage, slack=L.SLACK):
+    """Starts of a passage: all ways to place its phrases one after the other."""
+    parts = passage.parts()
+    open_ = [(i - parts[0][0], i) for i in range(len(words)) if words[i : i + len(parts[0][1])] == parts[0][1]]
+    for (a, k), (b, after) in zip(parts, parts[1:]):
+        open_ = [(first, j) for first, i in open_ for j in range(i + len(k), min(len(words), i + b - a + slack + 1)) if abs(j - i - (b - a)) <= slack and words[j : j + len(after)] == after]
+    return {first for first, _ in open_}
+
+
+def test_words_between_phrases_may_come_and_go(spark):
+    mit = next(t for t in L.TEMPLATES if t.label == "mit" and len(t.passages) > 1)
+    whole = " ".join(p.text for p in mit.passages)
+    texts = {
+        "as it is": whole, "inserted": whole.replace("associated documentation", "its associated documentation"), "and": whole.replace("as is without", '"as is" and, without'),
+        "dropped": whole.replace("and associated documentation", "and documentation"), "wrapped": whole.replace(" ", "\n * ").upper(), "far": whole.replace("as is without", "as is " + "word " * 40 + "without"),
+        "backwards": " ".join(" ".join(k) for p in mit.passages for _, k in reversed(p.parts())),
+    }
+    rows = list(enumerate([*texts.values(), *ODD[:-4]]))
+    out = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    passages = L.passages_of(L.TEMPLATES)
+    for i, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        if len(words) < 5000:
+            assert {(p.passage, p.start) for p in out[i].places} == {(k, at) for k, p in enumerate(passages) for at in chains(words, p)}
+    held = {name: "mit" in out[i].labels.split(",") for i, name in enumerate(texts)}
+    assert held == {"as it is": True, "inserted": True, "and": True, "dropped": True, "wrapped": True, "far": False, "backwards": False}
+    assert out[1].score == out[0].score == out[2].score
+
+
 def test_matches_brute_force(spark):
     rows = [*enumerate(ODD), (5, ODD[5]), (None, ODD[3])]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, labels string")
@@ -54,6 +83,10 @@ def test_a_million_words_take_seconds(spark):
     out = L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_words", "n_base", "last_word", "labels").orderBy("doc_id").collect()
     assert [tuple(r) for r in out] == [(0, 1_000_000, 500_000, 999_998, "mit"), (1, 900_002, 300_000, 899_997, "gpl,gpl-3.0")]
     assert time.monotonic() - began < 60
+    began = time.monotonic()
+    phrases = (L.AS_IS.text + " ") * 30_000
+    out = L.scan(spark.createDataFrame([(1, phrases)], "doc_id long, text string")).select(L.F.size("places").alias("n")).first()
+    assert out.n == 30_000 and time.monotonic() - began < 60
 
 
 def test_query_matches_sql_and_stays_native(spark):
