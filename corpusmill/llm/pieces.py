@@ -37,7 +37,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
 #: Stretches that a worker remembers, and the longest that is worth it.
-REMEMBERED, LONGEST = 1 << 19, 48
+REMEMBERED, LONGEST = 1 << 18, 48
 #: Stretches up to SHORT characters are worked off side by side, ROWS of them at a time.
 SHORT, ROWS = 32, 1 << 13
 #: More than all pieces and characters together.
