@@ -107,9 +107,16 @@ def context(results: DataFrame, budget: int, preamble: int) -> DataFrame:
     return within_budget(safe, "position", F.char_length("block"), budget, preamble)
 
 
-def gram_index(texts: DataFrame, key: str, name: str = "gram-index") -> DataFrame:
-    """texts (key, text) -> (gram, key) as a written table: every stretch of GRAM characters of each folded text, once."""
-    return written(texts.select(key, F.explode(X.grams(X.fold(F.col("text")), GRAM)).alias("gram")).select("gram", key), name)
+def grams_of(needles: DataFrame) -> DataFrame:
+    """needle_id, gram of needles that are long enough to have one."""
+    return needles.where(F.char_length("needle") >= GRAM).select("needle_id", F.explode(X.grams(F.col("needle"), GRAM)).alias("gram"))
+
+
+def gram_index(texts: DataFrame, key: str, name: str = "gram-index", needles: DataFrame | None = None) -> DataFrame:
+    """texts (key, text) -> (gram, key) as a written table: every stretch of GRAM characters of each folded text, once; with
+    needles only those that one of them has."""
+    rows = texts.select(key, F.explode(X.grams(X.fold(F.col("text")), GRAM)).alias("gram")).select("gram", key)
+    return written(rows if needles is None else rows.join(grams_of(needles).select("gram").distinct(), "gram", "left_semi"), name)
 
 
 def holding(index: DataFrame, texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
@@ -118,7 +125,7 @@ def holding(index: DataFrame, texts: DataFrame, needles: DataFrame, key: str) ->
 
     Each needle is filed under its rarest stretch in the index; texts with that stretch are its candidates, and only
     those are looked through. A text that holds the needle has all of its stretches, so none is lost."""
-    own = needles.where(F.char_length("needle") >= GRAM).select("needle_id", F.explode(X.grams(F.col("needle"), GRAM)).alias("gram"))
+    own = grams_of(needles)
     seen = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     filed = own.join(seen, "gram", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("needle_id", F.col("r.gram").alias("gram"))
     pairs = written(index.join(filed, "gram").select(key, "needle_id"), "gram-candidates")
@@ -137,7 +144,8 @@ def mention_links(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     a module the path counts more, for others the name."""
     texts = docs.where(~suffix(F.col("path")).isin(*CODE)).select("doc_id", "text")
     needles = symbols.select("symbol_id", "kind", F.posexplode(F.array(X.fold(F.col("name")), X.fold(F.col("path")))).alias("what", "needle")).withColumn("needle_id", F.struct("symbol_id", "what"))
-    found = holding(gram_index(texts, "doc_id"), texts, needles.select("needle_id", "needle"), "doc_id")
+    looked_for = needles.select("needle_id", "needle")
+    found = holding(gram_index(texts, "doc_id", needles=looked_for), texts, looked_for, "doc_id")
     by = found.groupBy("doc_id", F.col("needle_id.symbol_id").alias("symbol_id")).agg(F.max(F.col("needle_id.what") == 0).alias("named"), F.max(F.col("needle_id.what") == 1).alias("placed")).join(symbols.select("symbol_id", "kind"), "symbol_id")
     to = lambda method, score: F.struct(F.lit(method).alias("method"), F.lit(score).alias("score"))
     module = F.col("kind") == "module"
