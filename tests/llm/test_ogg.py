@@ -61,3 +61,27 @@ def test_rows(spark):
     bad = spark.createDataFrame([(1, None), (2, b"junk"), (3, O.encode(b"ok")[:-1])], "doc_id long, media binary")
     assert all(r.payload_bytes is None and r.error for r in O.from_media(bad).collect())
     assert O.from_media(O.to_media(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_features_by_a_second_way(spark):
+    """Every part of the feature from the stored bytes by plain loops: pages are looked for by their capture pattern."""
+    rows = [(1, "Hello, wörld! " * 700), (2, ""), (3, "ab" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in O.to_media(docs).collect()}
+    got = {r.doc_id: r.feature for r in O.from_media(O.to_media(docs)).collect()}
+    for i, text in rows:
+        data = text.encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        pages, ends, serials, at = 0, 0, set(), 0
+        while at < len(media[i]):
+            assert media[i][at : at + 4] == b"OggS"
+            n = media[i][at + 26]
+            laces = media[i][at + 27 : at + 27 + n]
+            serials.add(media[i][at + 14 : at + 18])
+            pages, ends, at = pages + 1, ends + sum(x < 255 for x in laces), at + 27 + n + sum(laces)
+        mean = sum(payload) / len(payload)
+        spread = sum((b - mean) ** 2 for b in payload) / len(payload)
+        crossings = sum((a > mean) != (b > mean) for a, b in zip(payload, payload[1:]))
+        told = dict(p.split("=") for p in got[i].split(";"))
+        assert (int(told["ms"]), int(told["streams"]), int(told["pages"]), int(told["packets"]), int(told["crossings"])) == (len(payload) // 8, len(serials), pages, ends, crossings)
+        assert abs(float(told["mean"]) - mean) < 1e-3 and abs(float(told["var"]) - spread) < 1e-2
