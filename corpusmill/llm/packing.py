@@ -97,8 +97,9 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         names = ["doc_id", "n", "ids", "terms"]
         for b in batches:
             ids = [enc.ids(t) for t in b.column("text").to_pylist()]
-            for x in ids:
-                seen[np.unique(x)] += 1
+            once = [pd.unique(x) for x in ids]
+            if once:  # a document's term counts once, and a batch is added in one go
+                seen += np.bincount(np.concatenate(once), minlength=enc.size).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names)
 
