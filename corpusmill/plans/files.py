@@ -40,7 +40,7 @@ def probed_kinds(spark: SparkSession, d: str) -> DataFrame:
 def mail_texts(spark: SparkSession, d: str) -> DataFrame:
     """Headers and body of messages that carry a customer's name; every third has an attachment. The line break before a
     boundary belongs to the boundary."""
-    c = read(spark, d, "customer")
+    c = T.dealt(read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     head = F.concat(F.lit("From: a@example.org\nTo: "), "c_name", F.lit("@example.org\nSubject: About "), "c_mktsegment", F.lit("\nMIME-Version: 1.0\n"))
     plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\n\nBalance of "), "c_name", F.lit("\n"))
     many = F.concat(F.lit("Content-Type: multipart/mixed; boundary=XX\n\n--XX\n"), plain, F.lit("--XX\nContent-Type: application/pdf\nContent-Disposition: attachment; filename=\"bill.pdf\"\n\nxx\n--XX--\n"))
