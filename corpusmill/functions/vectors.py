@@ -6,11 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries of a block that every task holds, and rows that it compares with them at a time.
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+#: Queries of a block that are compared at a time: what a task holds besides the block is a tile of these and those rows.
+QUERY_TILE = 256
+#: Stands for a neighbour that is not found yet.
+NO_ID = np.iinfo(np.int64).max
+#: A distance of or to a vector that has a null: after all others.
+UNKNOWN = 1e300
+#: Bytes of texts that are embedded at a time.
+TEXT_BYTES = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,16 +41,36 @@ def l2_normalise(a: Column) -> Column:
 
 def byte_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for a model: (byte + 1) / 256 summed at its place modulo size, then normalised."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    places = F.sequence(F.lit(0), F.greatest(F.octet_length(text) - 1, F.lit(0)))
-    value = lambda i: F.when(i < F.octet_length(text), (F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("double") + 1) / 256).otherwise(0.0)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(places, lambda i: i % size == k), F.lit(0.0), lambda s, i: s + value(i)))
-    return l2_normalise(sums)
+
+    @F.arrow_udf("array<double>")
+    def embedded(texts: pa.Array) -> pa.Array:
+        return _embedded(texts, size)
+
+    return embedded(text)
+
+
+def _embedded(texts: pa.Array, size: int) -> pa.Array:
+    """byte_embedding of an array of texts; a null is as an empty text. Sums are made in the order of the bytes."""
+    data = pa.array([], pa.large_binary()) if not len(texts) else pc.fill_null(pc.cast(pc.cast(texts, pa.large_string()), pa.large_binary()), b"")
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    held = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    out, at = [np.zeros((0, size))], 0
+    while at < len(data):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1)
+        lengths = np.diff(ends[at : upto + 1])
+        place = np.repeat(np.arange(upto - at) * size, lengths) + (np.arange(ends[at], ends[upto]) - np.repeat(ends[at:upto], lengths)) % size
+        sums = np.bincount(place, (held[ends[at] : ends[upto]] + 1.0) / 256, (upto - at) * size).reshape(-1, size)
+        square = np.zeros(upto - at)
+        for k in range(size):
+            square += sums[:, k] * sums[:, k]
+        out.append(sums / np.maximum(np.sqrt(square), 1e-12)[:, None])
+        at = upto
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1) * size, pa.int32()), pa.array(np.concatenate(out).ravel()))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, dimensions: int) -> DataFrame:
     """queries and rows (id, vector) -> query_id, id, distance: the k rows of least cosine distance to each query, exactly;
-    ties by id. Vectors of another size or none are left out.
+    ties, at twelve digits, by id. Vectors of another size or none are left out.
 
     Queries go to all tasks in blocks of a bounded size, rows pass by once for each block, and a task keeps the k best of
     each query; so what is shuffled grows with tasks, not with pairs."""
@@ -53,19 +82,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, dimensions: int) -> Dat
         shared = rows.sparkSession.sparkContext.broadcast((part["id"].to_numpy(np.int64), _unit(np.array(part["vector"].tolist(), float).reshape(-1, dimensions))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, wanted = shared.value
-            ids, distances = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
-            for b in batches:
-                own = b.column("id").to_numpy(zero_copy_only=False)
-                flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-                for at in range(0, len(own), ROW_BLOCK):
-                    found = 1 - wanted @ _unit(flat[at : at + ROW_BLOCK]).T
-                    ids = np.concatenate([ids, np.broadcast_to(own[at : at + ROW_BLOCK], found.shape)], axis=1)
-                    distances = np.concatenate([distances, found], axis=1)
-                    first = np.lexsort((ids, distances), axis=1)[:, :k]
-                    ids, distances = np.take_along_axis(ids, first, 1), np.take_along_axis(distances, first, 1)
-            n = ids.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(distances.ravel())], ["query_id", "id", "distance"])
+            yield _compared(batches, *shared.value, k, dimensions)
 
         fit = rows.where((F.size("vector") == dimensions) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
         found = fit.mapInArrow(run, "query_id long, id long, distance double")
@@ -74,5 +91,36 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, dimensions: int) -> Dat
     return best.withColumn("n", nth).where(F.col("n") <= k).drop("n")
 
 
+def _compared(batches: Iterator[pa.RecordBatch], names: np.ndarray, wanted: np.ndarray, k: int, dimensions: int) -> pa.RecordBatch:
+    """The k best rows (id, vector) of a task for each query."""
+    ids, distances = np.full((len(names), k), NO_ID), np.full((len(names), k), np.inf)
+    for b in batches:
+        own = b.column("id").to_numpy(zero_copy_only=False)
+        flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+        for at in range(0, len(own), ROW_BLOCK):
+            some = _unit(flat[at : at + ROW_BLOCK]).T
+            for q in range(0, len(names), QUERY_TILE):
+                found = np.nan_to_num(np.round(1 - wanted[q : q + QUERY_TILE] @ some, 12), nan=UNKNOWN)
+                _take(ids[q : q + QUERY_TILE], distances[q : q + QUERY_TILE], own[at : at + ROW_BLOCK], found)
+    held = np.isfinite(distances)
+    distances[distances == UNKNOWN] = np.nan
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held.sum(axis=1))), pa.array(ids[held]), pa.array(distances[held])], ["query_id", "id", "distance"])
+
+
+def _take(ids: np.ndarray, distances: np.ndarray, own: np.ndarray, found: np.ndarray) -> None:
+    """Put what is nearer among found (query, row of own) into the k best of each query, in place; ties by id."""
+    k = ids.shape[1]
+    query, row = np.nonzero(found <= distances[:, -1:])
+    if not len(query):
+        return
+    asked = np.unique(query)
+    query = np.concatenate([query, np.repeat(asked, k)])
+    far = np.concatenate([found[query[: len(row)], row], distances[asked].ravel()])
+    near = np.concatenate([own[row], ids[asked].ravel()])
+    order = np.lexsort((near, far, query))
+    first = np.searchsorted(query[order], asked)[:, None] + np.arange(k)
+    ids[asked], distances[asked] = near[order][first], far[order][first]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)

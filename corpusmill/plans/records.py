@@ -14,7 +14,7 @@ from corpusmill.functions import values as V
 from corpusmill.functions import vectors as N
 from corpusmill.operators import merge as M
 from corpusmill.operators import windows as W
-from corpusmill.sources.tables import entries, read
+from corpusmill.sources.tables import dealt, entries, read
 
 
 def _day(text: str) -> F.Column:
@@ -189,7 +189,7 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stand_in_vectors(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part")
+    p = dealt(read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
     v = N.byte_embedding(F.col("p_name"), 8)
     return p.select("p_partkey", F.round(N.norm(v), 6).alias("norm"), F.size(v).cast("long").alias("size"))
 
