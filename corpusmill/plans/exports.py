@@ -135,7 +135,7 @@ def memoised_vectors(spark: SparkSession, d: str) -> DataFrame:
     memoised(urls, cache, 1)
     if memoised(urls, cache, 2):
         raise AssertionError("vectors were made twice")
-    return urls.select("page_id", F.sha2("text", 256).alias("text_hash")).join(cache.read(), "text_hash").select("page_id", "round", F.size("vector").alias("dimensions"))
+    return urls.select("page_id", F.sha2("text", 256).alias("text_hash")).join(cache.read().select("text_hash", "round", F.size("vector").alias("dimensions")), "text_hash").select("page_id", "round", "dimensions")
 
 
 def registered(configs: DataFrame) -> DataFrame:
