@@ -25,6 +25,11 @@ NAMES = "key string, symbol_id long"
 EDGES = "key string, file_id long, source_id long, target string, target_id long, confidence double"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that is not to be sent through the driver: tables just written are many times their files."""
+    return df.hint("merge")
+
+
 @dataclass(frozen=True)
 class Touched:
     """What an update has looked at: symbols that came or went, names that they changed, references resolved again."""
@@ -60,20 +65,20 @@ class CodeGraph:
         new_r = written(new_r.distinct(), "new-references")
         old_s = written(self.table("symbols").lookup(changed).select("file_id", "symbol_id", "key"), "old-symbols")
         old_r = written(self.table("references").lookup(changed).select("file_id", "source_id", "target", "key"), "old-references")
-        gone_s, come_s = (written(a.join(b, a.columns, "left_anti"), "symbols-moved") for a, b in ((old_s, new_s), (new_s, old_s)))
-        gone_r, come_r = (written(a.join(b, a.columns, "left_anti"), "references-moved") for a, b in ((old_r, new_r), (new_r, old_r)))
+        gone_s, come_s = (written(a.join(large(b), a.columns, "left_anti"), "symbols-moved") for a, b in ((old_s, new_s), (new_s, old_s)))
+        gone_r, come_r = (written(a.join(large(b), a.columns, "left_anti"), "references-moved") for a, b in ((old_r, new_r), (new_r, old_r)))
         names = written(gone_s.select("key").unionByName(come_s.select("key")).distinct(), "names-moved")
         # edges of names that moved, but for those that went with their file's references
-        again = self.table("edges").lookup(names).select("file_id", "source_id", "target", "key").join(gone_r, ["file_id", "source_id", "target"], "left_anti")
+        again = self.table("edges").lookup(names).select("file_id", "source_id", "target", "key").join(large(gone_r), ["file_id", "source_id", "target"], "left_anti")
         open_ = written(again.unionByName(come_r).distinct(), "references-open")
         sizes = [df.count() for df in (gone_s, come_s, names, open_)]
         if not gone_s.isEmpty() or not come_s.isEmpty():
-            self.table("symbols").commit(come_s, gone_s.join(come_s, ["file_id", "symbol_id"], "left_anti"))
-            self.table("names").commit(come_s.select("key", "symbol_id"), gone_s.select("key", "symbol_id").join(come_s, ["key", "symbol_id"], "left_anti"))
+            self.table("symbols").commit(come_s, gone_s.join(large(come_s), ["file_id", "symbol_id"], "left_anti"))
+            self.table("names").commit(come_s.select("key", "symbol_id"), gone_s.select("key", "symbol_id").join(large(come_s), ["key", "symbol_id"], "left_anti"))
         if not gone_r.isEmpty() or not come_r.isEmpty():
             self.table("references").commit(come_r, gone_r)
         if sizes[-1] or not gone_r.isEmpty():
             known = self.table("names").lookup(open_.select("key").distinct())
             told = resolve(open_.select("source_id", "target").distinct(), known.select(F.col("key").alias("name"), "symbol_id"))
-            self.table("edges").commit(open_.join(told, ["source_id", "target"]).select("key", "file_id", "source_id", "target", "target_id", "confidence"), gone_r)
+            self.table("edges").commit(open_.join(large(told), ["source_id", "target"]).select("key", "file_id", "source_id", "target", "target_id", "confidence"), gone_r)
         return Touched(sizes[0] + sizes[1], sizes[2], sizes[3])

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 BUCKET = "_bucket"
 #: Keys that are looked up by a filter; more of them are joined.
 FEW = 1000
+#: Keys of a commit that may be sent to all tasks; more of them are joined by a shuffle.
+SENT = 100_000
 #: What an entry names besides its files, and the new version's number -> what the new entry names.
 Attach = Callable[[dict, int], dict]
 
@@ -157,8 +159,10 @@ class Table:
         entry = self.entry(base)
         keys = entry["keys"]
         gone = changes.select(*keys) if deleted is None else changes.select(*keys).unionByName(deleted.select(*keys))
-        touched = sorted(r[0] for r in gone.select(self.bucket(entry)).distinct().collect())
-        kept = self._read(entry, touched).join(gone.distinct(), keys, "left_anti")
+        each = {r[0]: r[1] for r in gone.groupBy(self.bucket(entry)).count().collect()}  # a row for each bucket
+        touched = sorted(each)
+        taken = gone.distinct() if sum(each.values()) <= SENT else gone.distinct().hint("merge")
+        kept = self._read(entry, touched).join(taken, keys, "left_anti")
         files = self._write(kept.unionByName(changes.select(kept.columns)), entry) if touched else {}
         while True:
             head = {k: entry[k] for k in ("keys", "by", "buckets", "schema")}
