@@ -108,3 +108,89 @@ def test_late_and_repeated_commands(spark, tmp_path):
     put(spark, further, folder, "1")
     put(spark, [(r[0], START, 9999, "cancel") for r in rows[:20]], folder, "2")  # their slot was settled a batch ago
     assert states(run(spark, folder, str(tmp_path / "offsets"), delay="30 seconds")) == in_order(rows + further, 30_000)
+
+
+def test_a_group_costs_few_calls_of_the_store(spark):
+    """Forty items with five hundred commands: one value is read and written for all of them, and one timer is set."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, held):
+            calls.append("update")
+            self.held = held
+
+    class Slots(dict):
+        def containsKey(self, key):
+            calls.append("contains")
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Slots()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return ms(START) + 600_000
+
+    class Expired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    def drive(rows, split):
+        leases = L.Leases(LEASE)
+        handle = Handle()
+        leases.init(handle)
+        calls.clear()
+        for part in split(rows):
+            list(leases.handleInputRows((0,), iter([Row(item=i, at=a, ms=ms(a), n=n, kind=k or "") for i, a, n, k in part]), Times()))
+        last = {}
+        for at in sorted(handle.timers):
+            if at <= Times().getCurrentWatermarkInMs():
+                last |= {r.item: (r.status, r.attempts) for r in leases.handleExpiredTimer((0,), Times(), Expired(at))}
+        return last, len(calls)
+
+    rows = commands()
+    want = {}
+    for item, at, _, kind in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[item] = L.step(want.get(item, L.Item()), kind, ms(at), LEASE)
+    edge = (ms(START) + 600_001) // (LEASE // L.SLOTS) * (LEASE // L.SLOTS) - 1
+    want = {i: (s.status, s.attempts) for i, s in ((i, L.expired(s, edge)) for i, s in want.items()) if s.changes}
+    told, cost = drive(rows, lambda r: [r])
+    assert told == want and cost <= 8
+    assert drive(rows, lambda r: [r[:200], r[200:]])[0] == want
+    before, L.WAITING = L.WAITING, 50  # more than may wait in one value
+    try:
+        assert drive(rows, lambda r: [r])[0] == want
+        assert drive(rows, lambda r: [r[:30], r[30:60], r[60:]])[0] == want
+    finally:
+        L.WAITING = before
