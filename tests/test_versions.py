@@ -155,3 +155,30 @@ def test_a_search_reads_postings_and_candidates_alone(spark, tmp_path):
     assert read == {"postings", "data"} and len(postings) <= 8 and len(data) == 1
     plan = found._jdf.queryExecution().toString()
     assert "PushedFilters: [In(gram" in plan and "id" in plan and "EqualTo(id,1234)" in plan
+
+
+def test_postings_are_lists_and_large_alphabets_count(spark, tmp_path):
+    """A gram that many texts have is a row with their keys, not a row for each, in the first segment and after compaction;
+    slices and the way for many letters give what the scan gives."""
+    from corpusmill.operators import postings as P
+
+    rows = spark.range(2000).select(F.col("id"), F.concat(F.lit("the same words again "), F.col("id") % 10).alias("text"))
+    index = PostingIndex.create(rows, str(tmp_path / "i"), "id", buckets=4)
+    index.commit(spark.createDataFrame([(3, "other")], "id long, text string"), spark.createDataFrame([(5,)], "id long"))
+    index.compact()
+    for folder in os.listdir(tmp_path / "i" / "postings"):
+        assert spark.read.parquet(f"{tmp_path}/i/postings/{folder}").count() < 1000
+    assert {r.key for r in index.holding(["same"]).collect()} == set(range(2000)) - {3, 5}
+    texts = ["abcab", "ab", "日本語x", "\U0001f600a\U0001f600ab", "", "ab\0"]
+    want = {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    before = P.PLACES
+    try:
+        for P.PLACES in (1 << 26, 40, 1):
+            grams, ends, places = P.postings_of(texts)
+            starts = [0, *ends[:-1]]
+            told = [(int(g), int(k)) for g, a, b in zip(grams, starts, ends, strict=True) for k in places[a:b]]
+            assert len(told) == len(want) and set(told) == {(P.code(g), k) for g, k in want}
+    finally:
+        P.PLACES = before
+    assert [len(x) for x in P.postings_of([])] == [len(x) for x in P.postings_of(["", "ab"])] == [0, 0, 0]
+    assert list(P.slices([P.SLICE, 1, P.SLICE * 3, 5, 6])) == [(0, 1), (1, 2), (2, 3), (3, 5)] and list(P.slices([])) == []
