@@ -65,3 +65,54 @@ def test_digest_is_of_rows_in_order(spark):
     a, _ = both(spark, [("b", "2"), ("a", "1")], [])
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert a.root() == sha(f"a\x1f{sha('1')}\x1f1\nb\x1f{sha('2')}\x1f1")
+
+
+def test_a_row_is_written_once(spark):
+    """The tables written for trees of two copies take less than two digests of 32 bytes a row."""
+    import os
+
+    from corpusmill.sources import tables
+
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    since = tables.mark()
+    a, b = M.trees(rows, rows.where("k <> '777'"), ["k"], F.col("v"), 64)
+    size = sum(os.path.getsize(os.path.join(d, f)) for top in tables._WRITTEN[since:] for d, _, names in os.walk(top) for f in names if f.startswith("part-"))
+    assert size < 64 * 40_000 and dict(a.rows.dtypes)["_h"] == "binary"
+    assert found(a, b) == {("777", "removed")}
+
+
+def test_cuts_do_not_depend_on_batches():
+    """Two copies in order, whichever way they are cut into batches, also between the two rows of a place."""
+    import random
+
+    import pyarrow as pa
+
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        sides = rng.choice([(0, 1)] * 6 + [(0,), (1,)])
+        rows += [(s, f"k{k:04d}", 1 + (k % 50 == 0)) for s in sides]
+
+    def told(sizes):
+        at, parts = 0, []
+        while at < len(rows):
+            n = next(sizes)
+            s, p, c = zip(*rows[at : at + n])
+            parts.append(pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([3] * len(s)), pa.array(p), pa.array(p), pa.array(c)], ["_side", "_p", "_place", "k", "_n"]))
+            at += n
+        return [r for b in M.cut(7)(iter(parts)) for r in b.to_pylist()]
+
+    from itertools import repeat
+
+    whole = told(repeat(10_000))
+    data = [r for r in whole if r["_side"] < 2]
+    assert [(r["_side"], r["k"], r["_n"]) for r in data] == rows
+    by_leaf, by_key = {}, {}
+    for r in data:
+        by_leaf.setdefault((r["_side"], r["leaf"]), []).append(f"{r['k']}\x1f{r['_n']}")
+        by_key.setdefault(r["k"], set()).add(r["leaf"])
+    assert max(map(len, by_leaf.values())) <= 7 and all(len(x) == 1 for x in by_key.values()) and min(r["leaf"] for r in data) == 3 << M.PLACE_BITS
+    want = {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in by_leaf.items()}
+    assert {(r["_copy"], r["leaf"]): r["digest"] for r in whole if r["_side"] == 2} == want
+    key = lambda r: tuple(map(str, r.values()))
+    for sizes in (repeat(1), repeat(2), repeat(3), (rng.randrange(1, 40) for _ in repeat(0))):
+        assert sorted(told(sizes), key=key) == sorted(whole, key=key)
