@@ -45,6 +45,10 @@ K1, B = 1.2, 0.75
 SEED_BLOCK = 512
 #: Runs of blanks over this length go through the slower encoder.
 LONG_RUN = " " * 512
+#: The pattern of the pieces that are encoded each, as it is published, and a form that finds the same ones in less time: what
+#: may begin with a blank is one alternative, and at the end of a text no white space is followed by anything else.
+SPELLED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+(?!\S)|\s"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,17 +74,16 @@ class Encoder:
         alphabet = byte_alphabet()
         vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items()}
-        self.fast = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("from-file", pat_str=PIECES if PATTERN == SPELLED else PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max([END_ID, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
 
     def ids(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added) or LONG_RUN in text:
             return np.array([*self.plain.encode(text, add_special_tokens=False).ids, END_ID], self.kind)
-        found = self.fast.encode_to_numpy(text)
-        out = np.empty(len(found) + 1, self.kind)
-        out[:-1], out[-1] = found, END_ID
-        return out
+        found = self.fast.encode_ordinary(text)
+        found.append(END_ID)
+        return np.fromiter(found, self.kind, len(found))
 
 
 @lru_cache(maxsize=2)

@@ -159,3 +159,18 @@ def test_neighbours_of_odd_rows(spark):
     out = K.neighbours_of(docs, spark.createDataFrame([(1,), (99,), (None,)], "doc_id long"), K.default_vocabulary(), 10, 4)
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "4", "5", "None"]  # every document ends with the same id
     assert K.neighbours_of(docs.limit(0), docs.select("doc_id"), K.default_vocabulary()).count() == 0
+
+
+def test_pieces_are_those_of_the_published_pattern():
+    """The faster form of the pattern is used, and gives the ids of the tokenizer's own for any mixture of kinds of characters."""
+    import random
+
+    from corpusmill.llm import packing
+
+    enc = packing.encoder(packing.default_vocabulary())
+    assert enc.fast._pat_str == packing.PIECES
+    rng = random.Random(7)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "a", "word", "Ünï", "日本", "7", "12", "½", "٣", "'s", "'ll", "'", "'re", "'Re", "!", "...", "😀", "e\u0301", "\u200b", "\0", "_"]
+    for k in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(k % 12))
+        assert enc.ids(text).tolist() == [*enc.plain.encode(text, add_special_tokens=False).ids, packing.END_ID], repr(text)
